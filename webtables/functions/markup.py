@@ -62,6 +62,22 @@ def attr(tok: Column, name: str) -> Column:
     return unescape(raw_attr(tok, name))
 
 
+def set_attr(tok: Column, name: str, value: Column) -> Column:
+    """The tag with one present attribute set to ``value``, double-quoted and escaped."""
+    matched = F.regexp_extract(tok, _attr_pattern(name), 0)
+    old = F.regexp_extract(tok, _attr_pattern(name), 1)
+    head = F.substring(matched, F.lit(1), F.length(matched) - F.length(old))
+    equals = F.when((old == "") & ~head.rlike(r"=\s*$"), "=").otherwise("")
+    tail = F.substring(tok, F.length(matched) + 1, F.length(tok))
+    return F.concat(head, equals, F.lit('"'), escape(value), F.lit('"'), tail)
+
+
+def escape(text: Column) -> Column:
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(ref))
+    return text
+
+
 def has_class(tok: Column, *names: str) -> Column:
     """The class list of the tag holds one of ``names``."""
     padded = F.concat(F.lit(" "), F.regexp_replace(raw_attr(tok, "class"), r"\s+", " "), F.lit(" "))

@@ -9,12 +9,13 @@ again. A table already bucketed by page_id skips even that one exchange
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from webtables.functions import markup as M
 
-IN_PAGE = Window.partitionBy("page_id").orderBy("pos")
+def in_page() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("pos")
 
 
 def tokenize(
