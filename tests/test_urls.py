@@ -62,7 +62,7 @@ def test_rel_path_equals_stdlib(spark):
     pairs = [("out/a/b.md", "out/a"), ("out/x.md", "out/a/b"), ("out/a/b/c.md", "out"), ("out/a/b.md", "out/c/d/e"),
              ("out/a//b.md", "out/a"), ("out/a", "out/a"), ("x/y.md", "z")]
     df = spark.createDataFrame(pairs, "t string, s string")
-    got = df.select("t", "s", U.rel_path(F.col("t"), F.col("s")).alias("r")).collect()
+    got = U.with_rel_path(df, "t", "s", "r").collect()
     assert [r.r for r in got] == [os.path.relpath(t, s) for t, s in pairs]
 
 

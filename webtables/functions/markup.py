@@ -7,6 +7,8 @@ or a data: URI of some MB neither recurses nor backtracks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,11 +82,9 @@ def escape(text: Column) -> Column:
 
 def has_class(tok: Column, *names: str) -> Column:
     """The class list of the tag holds one of ``names``."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(raw_attr(tok, "class"), r"\s+", " "), F.lit(" "))
-    hit = F.lit(False)
-    for n in names:
-        hit = hit | padded.contains(f" {n} ")
-    return tok.rlike("(?i)class") & hit
+    listed = F.concat(F.lit(" "), F.regexp_replace(raw_attr(tok, "class"), r"\s+", " "), F.lit(" "))
+    wanted = "|".join(re.escape(n) for n in names)
+    return tok.rlike("(?i)class") & listed.rlike(f" (?:{wanted}) ")
 
 
 def _code_point(number: Column) -> Column:

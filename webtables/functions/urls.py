@@ -221,19 +221,22 @@ def extension(fmt: str) -> str:
     return ".md" if fmt == "markdown" else ".html"
 
 
-def local_path(c: Column | str, fmt: str = "markdown", out_dir: str = "out") -> Column:
-    """File a page is stored under."""
+def with_local_path(
+    df: DataFrame, col: str = "clean_url", fmt: str = "markdown", out_dir: str = "out", out: str = "local_path"
+) -> DataFrame:
+    """File a page is stored under. Staged, so that every step runs once per row."""
     ext = extension(fmt)
-    prefixes = "|".join(LOCAL_PATH_PREFIXES)
-    p = F.regexp_replace(path(c), f"^(?:{prefixes})", "")
-    p = F.when(p.isin("", "/"), "index").otherwise(p)
-    p = (
-        F.when(p.endswith("/"), F.concat(p, F.lit(f"index{ext}")))
+    p = F.col("__path")
+    df = df.withColumn("__path", F.regexp_replace(path(col), f"^(?:{'|'.join(LOCAL_PATH_PREFIXES)})", ""))
+    named = (
+        F.when(p.isin("", "/"), f"index{ext}")
+        .when(p.endswith("/"), F.concat(p, F.lit(f"index{ext}")))
         .when(p.endswith(".html") | p.endswith(".md"), p)
         .otherwise(F.concat(p, F.lit(ext)))
     )
-    p = percent_decode(F.translate(p, '<>:"|?*', "_______"))
-    return F.concat(F.lit(f"{out_dir}/"), F.regexp_replace(p, "^/+", ""))
+    df = df.withColumn("__path", F.translate(named, '<>:"|?*', "_______"))
+    df = df.withColumn("__path", percent_decode(p))
+    return df.withColumn(out, F.concat(F.lit(f"{out_dir}/"), F.regexp_replace(p, "^/+", ""))).drop("__path")
 
 
 def page_dir(c: Column | str, space: Column, fmt: str = "markdown", out_dir: str = "out") -> Column:
@@ -250,25 +253,21 @@ def dirname(p: Column) -> Column:
     return F.regexp_replace(p, r"/?[^/]*$", "")
 
 
-def rel_path(target: Column, start_dir: Column) -> Column:
-    """Relative path from a directory to a file, '/' separators."""
+def _flat_parts(p: Column) -> Column:
+    return F.filter(F.split(fold_dots(F.regexp_replace(p, "/{2,}", "/")), "/", -1), lambda s: s != "")
 
-    def parts(p: Column) -> Column:
-        flat = F.regexp_replace(fold_dots(F.regexp_replace(p, "/{2,}", "/")), "/$", "")
-        return F.filter(F.split(flat, "/", -1), lambda s: s != "")
 
-    a, b = parts(target), parts(start_dir)
+def with_rel_path(df: DataFrame, target: str, start_dir: str, out: str = "rel_path") -> DataFrame:
+    """Relative path from a directory to a file, '/' separators. NULL in, NULL out."""
+    a, b, n = F.col("__to"), F.col("__from"), F.col("__same")
+    df = df.withColumns({"__to": _flat_parts(F.col(target)), "__from": _flat_parts(F.col(start_dir))})
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first_diff = F.array_position(same, False)
-    common = F.when(first_diff == 0, F.least(F.size(a), F.size(b))).otherwise(first_diff - 1).cast("int")
-    ups = F.array_repeat(F.lit(".."), F.size(b) - common)
-    rest = F.slice(a, common + 1, F.size(a))
-    joined = F.array_join(F.concat(ups, rest), "/")
-    return F.when(joined == "", ".").otherwise(joined)
-
-
-def with_local_path(df: DataFrame, col: str = "clean_url", fmt: str = "markdown", out_dir: str = "out") -> DataFrame:
-    return df.withColumn("local_path", local_path(col, fmt, out_dir))
+    df = df.withColumn("__same", F.array_position(same, False))
+    df = df.withColumn("__same", F.when(n == 0, F.least(F.size(a), F.size(b))).otherwise(n - 1).cast("int"))
+    ups = F.array_repeat(F.lit(".."), F.size(b) - n)
+    joined = F.array_join(F.concat(ups, F.slice(a, n + 1, F.size(a))), "/")
+    df = df.withColumn("__to", F.when(a.isNotNull() & b.isNotNull(), joined))
+    return df.withColumn(out, F.when(F.col("__to") == "", ".").otherwise(F.col("__to"))).drop("__to", "__from", "__same")
 
 
 def safe_file_name(c: Column) -> Column:

@@ -106,5 +106,5 @@ def canonical_groups(urls: DataFrame, col: str = "url") -> DataFrame:
 
 def path_collisions(urls: DataFrame, fmt: str = "markdown", out_dir: str = "out") -> DataFrame:
     """(local_path, n_urls): files that several clean URLs would overwrite."""
-    paths = urls.select("clean_url").distinct().select(U.local_path("clean_url", fmt, out_dir).alias("local_path"))
+    paths = U.with_local_path(urls.select("clean_url").distinct(), "clean_url", fmt, out_dir)
     return paths.groupBy("local_path").agg(F.count("*").alias("n_urls")).where("n_urls > 1")
