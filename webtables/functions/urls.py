@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webtables.functions.stages import pin
+
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _RE_SCHEME = rf"^({_SCHEME}):"
 _RE_NETLOC = rf"^(?:{_SCHEME}:)?//([^/?#]*)"
@@ -158,8 +160,8 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str = "abs_url") ->
         .when(c["hp"] == "", F.concat(origin, c["bp"], F.when(c["hq"] != "", q).otherwise(base_q), f))
         .otherwise(F.concat(origin, rooted, params, q, f))
     )
-    temps = [n for n in staged.columns if n.startswith(t)]
-    return staged.withColumn(out, result).drop(*temps)
+    temps = tuple(n for n in staged.columns if n.startswith(t))
+    return pin(staged, {out: result}, drop=temps)
 
 
 def with_wiki_resolved(df: DataFrame, base_url: str, href: str = "href", out: str = "abs_url") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webtables.functions import markup as M
 from webtables.functions import urls as U
+from webtables.functions.stages import pin
 
 # Hosts whose files go to the cdn_images folder.
 CDN_HOSTS = (
@@ -61,8 +62,8 @@ def resource_refs(pages: DataFrame, hosts: tuple[str, ...] = (), types: tuple[st
     toks = F.filter(M.tokens(M.visible(F.col("html"))), lambda t: t.rlike(r"(?i)^<(?:link|img)[\s/]"))
     rows = pages.select("page_id", U.clean_url("url").alias("src"), F.explode(toks).alias("tok"))
     kind, value = reference_attr(F.col("tok"))
-    rows = rows.select("page_id", "src", kind.alias("kind"), value.alias("ref")).where("ref <> ''")
-    rows = rows.where(F.col("kind").isin(*types))
+    rows = pin(rows, {"kind": kind, "ref": value}, drop=("tok",))
+    rows = rows.where((F.col("ref") != "") & F.col("kind").isin(*types))
     rows = U.with_resolved(rows, "src", "ref", "url")
     if hosts:
         rows = rows.where(_any_in(F.col("url"), hosts))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from webtables.functions import markup as M
+from webtables.functions.stages import pin
 
 def in_page() -> WindowSpec:
     return Window.partitionBy("page_id").orderBy("pos")
@@ -30,7 +31,7 @@ def tokenize(
         src = src.repartition("page_id")
     body = M.visible(F.col("html"), drop)
     toks = src.select("page_id", *keep, F.posexplode(M.tokens(body)).alias("pos", "tok"))
-    toks = toks.withColumn("tag", M.tag_name(F.col("tok")))
+    toks = pin(toks, {"tag": M.tag_name(F.col("tok"))})
     kind = F.when(F.col("tag") != "", "tag").when(F.col("tok").startswith("<!"), "decl").otherwise("text")
     return toks.select(
         "page_id", *keep, "pos", "tok", kind.alias("kind"), "tag", F.col("tok").startswith("</").alias("is_close")
