@@ -78,7 +78,7 @@ def main() -> int:
         try:
             ok, message, seconds = compare(spark, con, sf_dir, queries[key], oracle.get(key))
         except Exception as exc:  # report and go on with the next key
-            ok, message, seconds = False, "".join(traceback.format_exception_only(exc))[:1500], 0.0
+            ok, message, seconds = False, "".join(traceback.format_exception_only(exc))[:400], 0.0
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {key:28} {seconds:6.2f}s  {message}", flush=True)
     print(f"{bad} failed")

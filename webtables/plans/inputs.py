@@ -37,7 +37,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 SNIPPET = (
     """'<table><tr><th>k</th><th>v</th></tr><tr><td>' || page_id || '</td><td>x</td></tr></table>"""
     """<img src="/static/i' || (page_id % 7) || '.png" alt="i" onclick="go(1)">"""
-    """<img src=''//secure.gravatar.com/avatar/' || (page_id % 5) || '''>"""
+    """<img src=' || chr(39) || '//secure.gravatar.com/avatar/' || (page_id % 5) || chr(39) || '>"""
     """<link rel="stylesheet" href="https://cdn' || (page_id % 2) || '.example.net/s' || (page_id % 3) || '.css?v=2">"""
     """<div class="x breadcrumbs">crumb<div>deep</div></div><meta http-equiv="refresh" content="5">"""
     """<noscript><img src="/no.png"></noscript><nav>menu</nav>"""
@@ -46,13 +46,8 @@ SNIPPET = (
 )
 
 
-def _snippet_spark() -> str:
-    """Same literal for Spark, whose strings escape with a backslash instead of doubling."""
-    return SNIPPET.replace("''", "\\'")
-
-
 def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).withColumn("html", F.expr(f"replace(html, '</article>', {_snippet_spark()})"))
+    return pages(spark, sf).withColumn("html", F.expr(f"replace(html, '</article>', {SNIPPET})"))
 
 
 RICH_PAGES = f"rich AS (SELECT page_id, url, replace(html, '</article>', {SNIPPET}) AS html FROM pages)"

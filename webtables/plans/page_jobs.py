@@ -1,4 +1,292 @@
-"""Placeholder."""
+"""Queries over page content: links, tokens, main content, rewriting, resources."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from webtables.functions import urls as U
+from webtables.operators import content as C
+from webtables.operators import links as L
+from webtables.operators import markdown as M
+from webtables.operators import resources as R
+from webtables.operators import rewrite as W
+from webtables.operators.scope import Rules
+from webtables.operators.tokens import tokenize
+from webtables.plans import duck as D
+from webtables.plans import inputs as I
+
+LINKS = Rules(exclude=("/login", "?delete", "action=", "/th"), valid=("/",))
+OUT_OF_REWRITE = ("/login", "/th", "other.example.org")
+REWRITE = Rules(exclude=OUT_OF_REWRITE)
+HOSTS = ("secure.gravatar.com", "cdn0.example.net", "example.com")
+
+
+def html_tokens(spark, sf):
+    return tokenize(I.pages(spark, sf)).select("page_id", "pos", "tok", "kind", "tag", "is_close")
+
+
+def html_links(spark, sf):
+    return L.extract_links(I.pages(spark, sf), LINKS)
+
+
+def html_strip_active(spark, sf):
+    return C.assemble(C.strip_active(tokenize(I.rich_pages(spark, sf))))
+
+
+def _main_tokens(spark, sf):
+    return C.main_content(tokenize(I.rich_pages(spark, sf), keep=("url",)))
+
+
+def html_main(spark, sf):
+    return C.assemble(_main_tokens(spark, sf))
+
+
+def html_boilerplate(spark, sf):
+    return C.assemble(C.drop_boilerplate(_main_tokens(spark, sf)))
+
+
+def html_title(spark, sf):
+    return C.page_titles(I.pages(spark, sf))
+
+
+def html_text(spark, sf):
+    return C.main_text(C.drop_boilerplate(_main_tokens(spark, sf)))
+
+
+def html_markdown(spark, sf):
+    return M.to_markdown(C.drop_boilerplate(_main_tokens(spark, sf)))
+
+
+def _documents(spark, sf):
+    """Plain documents (title, url, text) as the body under the headers."""
+    docs = I.table(spark, sf, "documents")
+    ident = F.col("doc_id").cast("string")
+    return docs.select(
+        "doc_id", F.concat(F.lit("https://wiki.example.com/pages/"), ident).alias("url"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("Doc "), ident)).alias("title"),
+        F.upper("source").alias("space_key"), F.concat(F.lit("Space "), "source").alias("space_name"),
+        ident.alias("page_id"),
+        F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
+        .alias("updated_when"),
+        F.col("text").alias("markdown"),
+    )
+
+
+def md_header(spark, sf):
+    docs = _documents(spark, sf)
+    html = M.with_md_header(docs, "html").select("doc_id", F.lit("html").alias("mode"), "content")
+    return html.unionByName(M.with_md_header(docs, "api").select("doc_id", F.lit("api").alias("mode"), "content"))
+
+
+def html_rewrite_links(spark, sf):
+    return C.assemble(W.rewrite_links(tokenize(I.rich_pages(spark, sf), keep=("url",)), REWRITE))
+
+
+def html_resources(spark, sf):
+    return R.resource_refs(I.rich_pages(spark, sf), HOSTS)
+
+
+def resource_registry(spark, sf):
+    return R.resource_registry(R.resource_refs(I.rich_pages(spark, sf)))
+
+
+def resource_type(spark, sf):
+    shown = I.resource_uses(spark, sf).select("url").distinct()
+    return R.with_resource_type(shown)
+
+
+def resource_rewrite(spark, sf):
+    pages = I.rich_pages(spark, sf)
+    refs = R.resource_refs(pages)
+    stored = R.resource_registry(refs).where("url NOT LIKE '%/static/i3.png'")
+    toks = tokenize(W.with_stored_resources(pages, refs, stored), keep=("url", "stored"))
+    return C.assemble(W.rewrite_resources(toks))
+
+
+def resource_collisions(spark, sf):
+    return R.resource_collisions(R.resource_registry(R.resource_refs(I.rich_pages(spark, sf))))
+
+
+def content_stats(spark, sf):
+    pages = I.rich_pages(spark, sf)
+    return C.content_stats(pages.withColumn("html", F.expr("if(page_id % 2 = 0, html, replace(html, 'table', 'TaBle'))"))).unionByName(
+        C.content_stats(I.pages(spark, sf))
+    )
+
+
+def auth_wall(spark, sf):
+    """Pages, pages with a phrase in them, and documents cut to short ones by their own text."""
+    pages = I.pages(spark, sf).select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
+        F.expr("if(page_id % 9 = 0, replace(html, '</article>', 'you MUST log In</article>'), html)").alias("html"),
+    )
+    docs = I.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit(" \n\t"), "text", F.lit("\n ")).alias("html"),
+    )
+    return C.flag_auth_walls(pages.unionByName(docs)).select("id", "is_auth_wall")
+
+
+def attachment_rewrite(spark, sf):
+    pages = attachment_pages(spark, sf)
+    atts = page_attachment_list(spark, sf)
+    return C.assemble(W.rewrite_attachments(tokenize(W.with_shown_attachments(pages, atts), keep=("shown",))))
+
+
+_SHOWN_FORMS = (
+    "'https://wiki.example.com/wiki/download/attachments/' || page_id || '/f0.png?v=1'",
+    "'/wiki/download/attachments/' || page_id || '/f1.png'",
+    "'/download/attachments/' || page_id || '/f0.png?x=1'",
+    "'download/attachments/' || page_id || '/f1.png'",
+    "'https://cdn.example.org/wiki/download/thumbnails/' || page_id || '/f0.png?w=9'",
+    "'/wiki/download/thumbnails/' || page_id || '/f1.png'",
+    "'/wiki/download/attachments/' || page_id || '/missing.png'",
+    "'https://else.example.org/wiki/download/attachments/' || page_id || '/f0.png'",
+)
+_SHOWN_HTML = " || ".join(f"'<img src=\"' || {form} || '\">'" for form in _SHOWN_FORMS)
+
+
+def attachment_pages(spark, sf):
+    return I.pages(spark, sf).withColumn("html", F.expr(f"replace(html, '</article>', {_SHOWN_HTML} || '</article>')"))
+
+
+def page_attachment_list(spark, sf):
+    """Two attachments of every page that is no multiple of four."""
+    pages = I.pages(spark, sf).where("page_id % 4 <> 0")
+    ident = F.col("page_id").cast("string")
+    return pages.select("page_id", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("n")).select(
+        "page_id",
+        F.concat(F.lit("https://wiki.example.com/wiki/download/attachments/"), ident, F.lit("/f"), "n", F.lit(".png?v=2")).alias("download_url"),
+        F.concat(F.lit("spaces/S/pages/"), ident, F.lit("/attachments/a"), "n", F.lit("_f"), "n", F.lit(".png")).alias("local_path"),
+    )
+
+
+def broken_links(spark, sf):
+    """Links to pages that are not stored; the home page of every host is."""
+    pages = I.pages(spark, sf)
+    stored = pages.select(
+        F.explode(F.array(U.clean_url("url"), F.concat(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0), F.lit("/to")))).alias("clean_url")
+    )
+    return L.broken_links(L.extract_links(pages, Rules()), stored).select("page_id", "src", "dst")
+
+
+def set_link_union(spark, sf):
+    edges = L.extract_links(I.pages(spark, sf), LINKS).select("src", "dst")
+    rich = L.extract_links(I.rich_pages(spark, sf), LINKS).select("src", "dst")
+    return L.union_links(edges, rich)
+
+
+def link_degree(spark, sf):
+    return L.degrees(L.extract_links(I.rich_pages(spark, sf), LINKS))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        html_tokens, html_links, html_strip_active, html_main, html_boilerplate, html_title, html_text, html_markdown,
+        md_header, html_rewrite_links, html_resources, resource_registry, resource_type, resource_rewrite,
+        resource_collisions, content_stats, auth_wall, attachment_rewrite, broken_links, set_link_union, link_degree,
+    )
+}
+
+
+# --- twins ---------------------------------------------------------------------------------
+
+_ANCHOR = "regexp_matches(tok, '(?i)^<a[\\s/]') AND regexp_matches(tok, '(?i)[\\s/]href[\\s=/>]')"
+
+
+def _links(source: str, name: str = "found", valid: str = "true") -> str:
+    """CTEs ending in ``name``: (page_id, src, dst)."""
+    n = name
+    return f"""{D.tokens(source, ('script', 'style'), name=n + '_t')},
+{n}_a AS (SELECT page_id, {D.clean_url('url')} AS src, {D.attr('tok', 'href')} AS href FROM {n}_t WHERE {_ANCHOR}),
+{D.resolved(n + '_a', 'src', 'href', name=n + '_x')},
+{n} AS (SELECT DISTINCT page_id, src, {D.clean_url('abs_url')} AS dst FROM {n}_x
+  WHERE (abs_url LIKE 'http://%' OR abs_url LIKE 'https://%') AND {valid})"""
+
+
+_IN_LINKS = "NOT (contains(abs_url, '/login') OR contains(abs_url, '?delete') OR contains(abs_url, 'action=') OR contains(abs_url, '/th'))"
+_MAIN = f"WITH {I.RICH_PAGES}, {D.tokens('rich')}, {D.main()}"
+_CHAIN = "string_agg({piece}, '' ORDER BY pos)"
+_VALUE = """(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s>"'']+))?"""
+_HANDLERS = f"""(?i)[\\s/]+on[^\\s=/>"'']*{_VALUE}|([\\s/]+[^\\s=/>"'']+{_VALUE})"""
+
+
+def _set_attr(name: str, value: str) -> str:
+    v = """(?:"[^"]*"|''[^'']*''|[^\\s>"'']+)"""
+    other = f"""(?:[\\s/]+[^\\s=/>"'']+(?:\\s*=\\s*{v})?)*?"""
+    head = f"""regexp_extract(tok, '(?is)^(<[A-Za-z][^\\s/>]*{other}[\\s/]+{name}\\s*=\\s*){v}', 1)"""
+    whole = f"""regexp_extract(tok, '(?is)^<[A-Za-z][^\\s/>]*{other}[\\s/]+{name}\\s*=\\s*{v}', 0)"""
+    return f"""({head} || '"' || {value} || '"' || substring(tok, length({whole}) + 1))"""
+
+
+_REF = f"""CASE WHEN regexp_matches(tok, '(?i)^<link[\\s/]') AND ' ' || {D.attr('tok', 'rel')} || ' ' LIKE '% stylesheet %' THEN {D.attr('tok', 'href')}
+  WHEN regexp_matches(tok, '(?i)^<img[\\s/]') THEN {D.attr('tok', 'src')} END"""
+_REFS = f"""{I.RICH_PAGES}, {D.tokens('rich')},
+ref0 AS (SELECT *, {D.clean_url('url')} AS src, {_REF} AS ref, CASE WHEN tag = 'link' THEN 'css' ELSE 'img' END AS rkind FROM tok),
+ref1 AS (SELECT page_id, pos, src, rkind, ref FROM ref0 WHERE ref <> ''), {D.resolved('ref1', 'src', 'ref', 'rurl', 'refs')}"""
+_NAME = "regexp_extract({p}, '([^/]+)/*$', 1)".format(p=D.path("rurl"))
+_REGISTRY = f"""{_REFS}, reg0 AS (SELECT rurl, min(rkind) AS rkind, count(DISTINCT page_id) AS n_pages FROM refs GROUP BY rurl),
+registry AS (SELECT rurl AS url, 'out/shared_resources/' || CASE WHEN contains(rurl, 'media-cdn.atlassian.com') OR contains(rurl, 'secure.gravatar.com')
+   OR contains(rurl, 'avatar-management--avatars.us-west-2.prod.public.atl-paas.net') THEN 'cdn_images/' ELSE '' END
+   || CASE WHEN contains({_NAME}, '.') THEN {_NAME} ELSE 'resource_' || (CAST('0x' || substring(md5(rurl), 1, 8) AS BIGINT) % 10000)
+   || CASE WHEN rkind = 'css' THEN '.css' ELSE '.png' END END AS local_path,
+   rkind AS resource_type, true AS is_transversal, CAST(NULL AS VARCHAR) AS referenced_by, n_pages FROM reg0)"""
+_SHOWN_SQL = f"shown AS (SELECT page_id, url, replace(html, '</article>', {_SHOWN_HTML} || '</article>') AS html FROM pages)"
+_PHRASES = (
+    "log in with atlassian account|we tried to load scripts but something went wrong|id-frontend\\.prod-east\\.frontend\\.public\\.atl-paas\\.net|"
+    "sign in to atlassian|please log in to access this page|authentication required|access denied|you must log in|session expired"
+)
+_DOC_SQL = """SELECT doc_id, 'https://wiki.example.com/pages/' || doc_id AS url, CASE WHEN doc_id % 7 <> 0 THEN 'Doc ' || doc_id ELSE 'Confluence Page' END AS title,
+  upper(source) AS space_key, 'Space ' || source AS space_name,
+  CASE WHEN doc_id % 5 <> 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE 'N/A' END AS updated_when, text FROM documents"""
+
+ORACLE = {
+    "html_tokens": f"WITH {D.tokens('pages')} SELECT page_id, pos, tok, kind, tag, is_close FROM tok",
+    "html_links": f"WITH {_links('pages', valid=_IN_LINKS)} SELECT page_id, src, dst FROM found",
+    "html_strip_active": f"""WITH {I.RICH_PAGES}, {D.tokens('rich')} SELECT page_id, string_agg(CASE WHEN tag <> '' AND NOT is_close AND regexp_matches(tok, '(?i)[\\s/]on')
+      THEN regexp_replace(tok, '{_HANDLERS}', '\\1', 'g') ELSE tok END, '' ORDER BY pos) AS html FROM tok
+      WHERE NOT (tag = 'meta' AND lower({D.attr('tok', 'http-equiv')}) = 'refresh') GROUP BY page_id""",
+    "html_main": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_all GROUP BY page_id",
+    "html_boilerplate": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_kept GROUP BY page_id",
+    "html_title": f"""SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, ''), 'Confluence Page') AS title FROM pages""",
+    "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
+    "md_header": f"""WITH d AS ({_DOC_SQL}) SELECT doc_id, 'html' AS mode, '# ' || title || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10)
+      || '---' || chr(10) || chr(10) || text AS content FROM d UNION ALL SELECT doc_id, 'api', '# ' || title || chr(10) || chr(10) || '**Space:** ' || space_key || ' - ' || space_name
+      || chr(10) || chr(10) || '**Page ID:** ' || doc_id || chr(10) || chr(10) || '**Last Updated:** ' || updated_when || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text FROM d""",
+    "html_rewrite_links": f"""WITH {I.RICH_PAGES}, {D.tokens('rich')},
+      anch AS (SELECT page_id, pos, {D.clean_url('url')} AS src, {D.attr('tok', 'href')} AS href FROM tok WHERE {_ANCHOR}), {D.resolved('anch', 'src', 'href')},
+      dst0 AS (SELECT *, {D.clean_url('abs_url')} AS dst FROM resolved),
+      dst1 AS (SELECT page_id, pos, {D.local_path('dst')} AS target, regexp_replace({D.local_path('src')}, '/?[^/]*$', '') AS here FROM dst0
+        WHERE (dst LIKE 'http://%' OR dst LIKE 'https://%') AND NOT (contains(dst, '/login') OR contains(dst, '/th') OR contains(dst, 'other.example.org'))),
+      rel AS (SELECT page_id, pos, replace(replace(replace({D.rel_path('target', 'here')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS rel FROM dst1)
+      SELECT page_id, string_agg(CASE WHEN rel IS NULL THEN tok ELSE {_set_attr('href', 'rel')} END, '' ORDER BY pos) AS html
+      FROM tok LEFT JOIN rel USING (page_id, pos) GROUP BY page_id""",
+    "html_resources": f"""WITH {_REFS} SELECT page_id, rkind AS kind, rurl AS url FROM refs
+      WHERE contains(rurl, 'secure.gravatar.com') OR contains(rurl, 'cdn0.example.net') OR contains(rurl, 'example.com')""",
+    "resource_registry": f"WITH {_REGISTRY} SELECT * FROM registry",
+    "resource_type": f"WITH {I.RESOURCE_USES}, u AS (SELECT DISTINCT url FROM uses) SELECT url, {I._TYPE_SQL} AS resource_type FROM u",
+    "resource_rewrite": f"""WITH {_REGISTRY}, hit AS (SELECT r.page_id, r.pos, g.local_path, regexp_replace({D.local_path('r.src')}, '/?[^/]*$', '') AS here
+        FROM refs r JOIN registry g ON r.rurl = g.url WHERE g.url NOT LIKE '%/static/i3.png'),
+      rel AS (SELECT page_id, pos, {D.rel_path('local_path', 'here')} AS rel FROM hit)
+      SELECT page_id, string_agg(CASE WHEN rel IS NULL THEN tok WHEN tag = 'link' THEN {_set_attr('href', 'rel')} ELSE {_set_attr('src', 'rel')} END, '' ORDER BY pos) AS html
+      FROM tok LEFT JOIN rel USING (page_id, pos) GROUP BY page_id""",
+    "resource_collisions": f"WITH {_REGISTRY} SELECT local_path, count(*) AS n_urls FROM registry GROUP BY 1 HAVING count(*) > 1",
+    "content_stats": f"""WITH {I.RICH_PAGES} SELECT page_id, length(html) AS content_char_count, contains(lower(html), '<table') AS has_tables FROM rich
+      UNION ALL SELECT page_id, length(html), contains(lower(html), '<table') FROM pages""",
+    "auth_wall": f"""WITH a AS (SELECT 'page-' || page_id AS id, CASE WHEN page_id % 9 = 0 THEN replace(html, '</article>', 'you MUST log In</article>') ELSE html END AS html FROM pages
+      UNION ALL SELECT 'doc-' || doc_id, ' ' || chr(10) || chr(9) || text || chr(10) || ' ' FROM documents)
+      SELECT id, regexp_matches(lower(html), '{_PHRASES}') OR length(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) < 500 AS is_auth_wall FROM a""",
+    "attachment_rewrite": f"""WITH {_SHOWN_SQL}, {D.tokens('shown', keep='page_id')},
+      ref AS (SELECT page_id, pos, CASE WHEN page_id % 4 <> 0 THEN regexp_extract({D.attr('tok', 'src')},
+        '^(?:(?:https://wiki\\.example\\.com)?/?(?:wiki/)?download/attachments/' || '\\d+/f([01])\\.png|(?:https?://[^/]+)?/wiki/download/thumbnails/\\d+/f([01])\\.png)', 1)
+        || regexp_extract({D.attr('tok', 'src')}, '^(?:https?://[^/]+)?/wiki/download/thumbnails/\\d+/f([01])\\.png', 1) END AS n FROM tok WHERE tag = 'img')
+      SELECT page_id, string_agg(CASE WHEN coalesce(n, '') = '' THEN tok ELSE '<img src="attachments/a' || n || '_f' || n || '.png">' END, '' ORDER BY pos) AS html
+      FROM tok LEFT JOIN ref USING (page_id, pos) GROUP BY page_id""",
+    "broken_links": f"""WITH {_links('pages')}, stored AS (SELECT {D.clean_url('url')} AS u FROM pages UNION SELECT regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/to' FROM pages)
+      SELECT page_id, src, dst FROM found WHERE dst NOT IN (SELECT u FROM stored)""",
+    "set_link_union": f"""WITH {_links('pages', 'f1', _IN_LINKS)}, {I.RICH_PAGES}, {_links('rich', 'f2', _IN_LINKS)}
+      SELECT src, dst FROM f1 UNION SELECT src, dst FROM f2""",
+    "link_degree": f"""WITH {I.RICH_PAGES}, {_links('rich', valid=_IN_LINKS)}, e AS (SELECT src AS url, 1 AS o, 0 AS i FROM found UNION ALL SELECT dst, 0, 1 FROM found)
+      SELECT url, CAST(sum(o) AS BIGINT) AS out_links, CAST(sum(i) AS BIGINT) AS in_links FROM e GROUP BY url""",
+}
