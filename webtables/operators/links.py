@@ -31,6 +31,15 @@ def resolve_links(edges: DataFrame, base: str = "src", href: str = "href") -> Da
     return U.with_resolved(edges, base, href, "abs_url")
 
 
+def link_rows(pages: DataFrame, rules: Rules) -> DataFrame:
+    """(page_id, src, dst) of every in-scope link, without a shuffle.
+
+    Hrefs are distinct per page, but two of them may clean to one URL.
+    """
+    edges = filter_scope(resolve_links(page_hrefs(pages)), rules, "abs_url")
+    return edges.select("page_id", "src", U.clean_url("abs_url").alias("dst"))
+
+
 def extract_links(pages: DataFrame, rules: Rules) -> DataFrame:
     """(page_id, src, dst): the set of cleaned in-scope links of every page.
 
@@ -38,8 +47,7 @@ def extract_links(pages: DataFrame, rules: Rules) -> DataFrame:
     task, so the partial aggregate of the final distinct already removes what duplicates
     cleaning creates and the exchange carries each edge once.
     """
-    edges = filter_scope(resolve_links(page_hrefs(pages)), rules, "abs_url")
-    return edges.select("page_id", "src", U.clean_url("abs_url").alias("dst")).distinct()
+    return link_rows(pages, rules).distinct()
 
 
 def resolve_wiki_links(edges: DataFrame, base_url: str) -> DataFrame:

@@ -68,43 +68,49 @@ def upsert(
     return untouched.select(*table.columns).unionByName(rows)
 
 
-def fold_log(log: DataFrame) -> DataFrame:
+def partial_fold(log: DataFrame) -> DataFrame:
     """One row per clean_url with what its claims, completions and failures amount to.
 
     ``log`` has clean_url, action (claim, complete, fail or anything else), ts, event_id
     and error. The closed form needs no state machine: completion and failure always
-    apply, a claim only matters while nothing else has happened.
+    apply, a claim only matters while nothing else has happened. Partial folds of disjoint
+    pieces of a log can be merged.
     """
     action = F.col("action")
-    at = F.struct("ts", "event_id")
     return log.groupBy("clean_url").agg(
-        F.max(F.when(action.isin("complete", "fail"), F.struct("ts", "event_id", "action"))).alias("__terminal"),
+        F.max(F.when(action.isin("complete", "fail"), F.struct("ts", "event_id", "action"))).alias("terminal"),
         F.count_if(action == "claim").alias("n_claims"),
         F.count_if(action == "fail").alias("n_fails"),
-        F.max(F.when(action == "fail", F.struct(at.alias("at"), F.col("error").alias("error")))).alias("__fail"),
-    ).select(
-        "clean_url",
-        F.when(F.col("__terminal.action") == "complete", "completed").when(F.col("__terminal.action") == "fail", "failed")
-        .alias("terminal_status"),
-        "n_claims", "n_fails", F.col("__fail.error").alias("last_error"),
+        F.max(F.when(action == "fail", F.struct("ts", "event_id", "error"))).alias("last_fail"),
     )
 
 
-def apply_status(discovered: DataFrame, log: DataFrame) -> DataFrame:
+def merge_folds(folds: DataFrame) -> DataFrame:
+    return folds.groupBy("clean_url").agg(
+        F.max("terminal").alias("terminal"), F.sum("n_claims").alias("n_claims"),
+        F.sum("n_fails").alias("n_fails"), F.max("last_fail").alias("last_fail"),
+    )
+
+
+def apply_fold(discovered: DataFrame, fold: DataFrame) -> DataFrame:
     """Next version of ``discovered``; a change hits every URL that shares the clean URL."""
-    joined = discovered.join(fold_log(log), "clean_url", "left")
+    joined = discovered.join(fold, "clean_url", "left")
+    terminal = F.when(F.col("terminal.action") == "complete", "completed").when(F.col("terminal.action") == "fail", "failed")
     claimed = (F.col("n_claims") > 0) & (F.col("status") == "pending")
-    status = F.coalesce("terminal_status", F.when(claimed, "downloading"), "status")
     failed = F.coalesce(F.col("n_fails") > 0, F.lit(False))
     return joined.withColumns(
         {
-            "status": status,
+            "status": F.coalesce(terminal, F.when(claimed, "downloading"), "status"),
             "retry_count": (F.col("retry_count") + F.coalesce("n_fails", F.lit(0))).cast("int"),
-            "error_message": F.when(failed, F.col("last_error")).otherwise(F.col("error_message")),
+            "error_message": F.when(failed, F.col("last_fail.error")).otherwise(F.col("error_message")),
         }
     ).select(*discovered.columns)
 
 
+def apply_status(discovered: DataFrame, log: DataFrame) -> DataFrame:
+    return apply_fold(discovered, partial_fold(log))
+
+
 def completed_documents(log: DataFrame) -> DataFrame:
     """Document rows of the completions in a log, last one per clean URL.
 

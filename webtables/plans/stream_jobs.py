@@ -1,4 +1,70 @@
-"""Placeholder."""
+"""Streaming queries run over the files that are there, then read back."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from webtables.functions import urls as U
+from webtables.plans import inputs as I
+from webtables.plans import page_jobs as P
+from webtables.session import checkpoint_dir, prepare
+from webtables.streaming import jobs as J
+
+
+def _room(spark) -> str:
+    """A fresh folder in the shared checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, name):
+    batch = I.table(spark, sf, name)
+    return prepare(spark).readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _run(stream, room, mode="append"):
+    J.to_batches(stream, f"{room}/out", f"{room}/ckpt", mode).awaitTermination()
+    return J.read_batches(stream.sparkSession, f"{room}/out").drop("batch")
+
+
+def stream_links(spark, sf):
+    return _run(J.stream_links(_stream(spark, sf, "pages"), P.LINKS), _room(spark)).distinct()
+
+
+def stream_dedup(spark, sf):
+    """First sight of every crawled URL; the whole log lies within one delay."""
+    log = I.log_of(_stream(spark, sf, "events")).select("ts", U.clean_url("clean_url").alias("clean_url"))
+    return _run(J.stream_new_urls(log, "60 days"), _room(spark)).select("clean_url")
+
+
+def stream_status(spark, sf):
+    room = _room(spark)
+    J.stream_status(I.log_of(_stream(spark, sf, "events")), f"{room}/out", f"{room}/ckpt").awaitTermination()
+    status = J.current_status(I.discovered_new(spark, sf), f"{room}/out")
+    return status.select("url", "status", "retry_count", "error_message")
+
+
+def stream_progress(spark, sf):
+    room = _room(spark)
+    windows = J.stream_progress(I.log_of(_stream(spark, sf, "events")), "1 hour")
+    J.to_batches(windows, f"{room}/out", f"{room}/ckpt", "update").awaitTermination()
+    rows = J.latest_windows(spark, f"{room}/out")
+    return rows.withColumn("window_start", F.date_format("window_start", I.TS_FORMAT))
+
+
+def stream_timeout(spark, sf):
+    """Claims of the log that nothing ended within twelve hours."""
+    stalled = J.stream_stalled(I.log_of(_stream(spark, sf, "events")), "12 hours", "0 seconds")
+    return _run(stalled, _room(spark)).withColumn("claimed_at", F.date_format("claimed_at", I.TS_FORMAT))
+
+
+QUERIES = {f.__name__: f for f in (stream_links, stream_dedup, stream_status, stream_progress, stream_timeout)}
+
+ORACLE = {
+    "stream_links": P.ORACLE["html_links"],
+    "stream_dedup": f"WITH {I.CRAWL_LOG} SELECT DISTINCT clean_url FROM log",
+    "stream_status": f"WITH {I.DISCOVERED} SELECT url, status, retry_count, error_message FROM discovered",
+    "stream_progress": f"""WITH {I.CRAWL_LOG} SELECT strftime(date_trunc('hour', ts), '{I.TS_FORMAT_SQL}') AS window_start, count(*) FILTER (action = 'complete') AS pages,
+      coalesce(sum(file_size) FILTER (action = 'complete'), 0)::BIGINT AS bytes, count(*) FILTER (action = 'fail') AS errors FROM log GROUP BY 1""",
+}
