@@ -167,10 +167,8 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str = "abs_url") ->
 def with_wiki_resolved(df: DataFrame, base_url: str, href: str = "href", out: str = "abs_url") -> DataFrame:
     """Wiki-API rule: root-relative hrefs get the base in front, http ones stay, others go."""
     h = F.col(href)
-    base = base_url.rstrip("/")
-    return df.where(h.startswith("/") | h.startswith("http")).withColumn(
-        out, F.when(h.startswith("/"), F.concat(F.lit(base), h)).otherwise(h)
-    )
+    absolute = F.when(h.startswith("/"), F.concat(F.lit(base_url.rstrip("/")), h)).otherwise(h)
+    return pin(df.where(h.startswith("/") | h.startswith("http")), {out: absolute})
 
 
 # --- identify ------------------------------------------------------------------------

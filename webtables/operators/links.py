@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webtables.functions import markup as M
 from webtables.functions import urls as U
+from webtables.functions.stages import pin
 from webtables.operators.scope import Rules, filter_scope, filter_wiki_links
 
 
@@ -66,7 +67,7 @@ def extract_wiki_links(raw: DataFrame, rules: Rules) -> DataFrame:
     """
     base = (rules.base_url or "").rstrip("/")
     body = raw.select("url", F.explode(anchor_hrefs(F.col("page.body.view.value"))).alias("href"))
-    body = U.with_wiki_resolved(body.withColumn("href", M.unescape(F.col("href"))), base)
+    body = U.with_wiki_resolved(pin(body, {"href": M.unescape(F.col("href"))}), base)
     body = body.select("url", F.col("abs_url").alias("link"), F.lit(True).alias("must_be_page"))
     kids = raw.select("url", F.explode("page.children.page.results").alias("kid"))
     kids = kids.select("url", F.col("kid._links.webui").alias("w")).where("w <> ''")

@@ -271,7 +271,7 @@ def _imported(spark, sf):
     )
     files = first_done.join(queue, "user", "full").join(res, "user", "full")
     path = _room(spark)
-    files.repartition("user").write.json(path)
+    files.write.partitionBy("user").json(path)
     return P.import_progress(spark, path)
 
 
