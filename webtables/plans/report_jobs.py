@@ -57,7 +57,7 @@ def fmt_bytes(spark, sf):
     from webtables.functions.formats import human_size
 
     sizes = I.table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.array(*[(F.col("n_chars") * f).cast("bigint") for f in (0, 1, 1000, 1_000_000, 1_000_000_000, 10**12, 10**14)])).alias("size")
+        "doc_id", F.explode(F.array(*[(F.col("n_chars") * f).cast("bigint") for f in (0, 1, 1000, 1_000_000, 1_000_000_000, 10**12, 10**13)])).alias("size")
     )
     return sizes.select("doc_id", "size", human_size(F.col("size")).alias("size_text"))
 
@@ -115,7 +115,7 @@ ORACLE = {
       SELECT *, CASE WHEN pages_per_second > 0 AND queued > 0 THEN floor(queued / pages_per_second)::BIGINT END AS eta_seconds FROM s""",
     "run_state": f"""{_D} SELECT CASE WHEN {_N.format(s='pending')} > 0 THEN 'in progress' WHEN {_N.format(s='failed')} > {_N.format(s='completed')} THEN 'with errors'
       ELSE 'completed' END AS run_state FROM discovered""",
-    "fmt_bytes": f"""WITH s AS (SELECT doc_id, unnest([0, n_chars, n_chars * 1000, n_chars * 1000000, n_chars * 1000000000, n_chars * 1000000000000, n_chars * 100000000000000]) AS size FROM documents)
+    "fmt_bytes": f"""WITH s AS (SELECT doc_id, unnest([0, n_chars, n_chars * 1000, n_chars * 1000000, n_chars * 1000000000, n_chars * 1000000000000, n_chars * 10000000000000]) AS size FROM documents)
       SELECT doc_id, size, {_size('size')} AS size_text FROM s""",
     "snk_url_list": f"{_D} SELECT clean_url FROM discovered WHERE status = 'completed' ORDER BY clean_url",
 }

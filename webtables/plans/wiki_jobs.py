@@ -254,8 +254,9 @@ def snk_tables_json(spark, sf):
 
 
 def _imported(spark, sf):
-    """One legacy progress file per user, written from the crawl log and imported again."""
-    log = I.crawl_log(spark, sf).withColumn("user", F.regexp_extract("clean_url", r"/u(\d+)/", 1))
+    """One legacy progress file per 25 users, written from the crawl log and imported again."""
+    number = F.regexp_extract("clean_url", r"/u(\d+)/", 1).cast("bigint")
+    log = I.crawl_log(spark, sf).withColumn("user", F.floor(number / 25))
     done = F.col("action") == "complete"
     url = F.concat("clean_url", F.lit("?v=1#x"))
     item = F.array("clean_url", (F.col("k") % 5).cast("string"))
