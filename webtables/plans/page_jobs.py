@@ -14,6 +14,7 @@ from webtables.operators.scope import Rules
 from webtables.operators.tokens import tokenize
 from webtables.plans import duck as D
 from webtables.plans import inputs as I
+from webtables.session import cut_lineage
 
 LINKS = Rules(exclude=("/login", "?delete", "action=", "/th"), valid=("/",))
 OUT_OF_REWRITE = ("/login", "/th", "other.example.org")
@@ -97,7 +98,8 @@ def resource_type(spark, sf):
 
 def resource_rewrite(spark, sf):
     pages = I.rich_pages(spark, sf)
-    refs = R.resource_refs(pages)
+    # Read twice below: written out once instead of cutting every page into tokens again.
+    refs = cut_lineage(R.resource_refs(pages))
     stored = R.resource_registry(refs).where("url NOT LIKE '%/static/i3.png'")
     toks = tokenize(W.with_stored_resources(pages, refs, stored), keep=("url", "stored"))
     return C.assemble(W.rewrite_resources(toks))
