@@ -21,10 +21,13 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFr
     is below ``max_depth``. Where several pages of one hop lead to a URL the smallest
     parent is recorded, which makes the result independent of arrival order.
 
-    A source holding a large part of all edges is split by AQE's skew join; a popular
-    target is combined map-side by the aggregate before it is shuffled.
+    The edges are stored as they come and not partitioned by source, on purpose: a source
+    holding a large part of them would fill one partition, which no join could split any
+    more. As it is, a small hop is broadcast (by measured size), a large one joins by
+    shuffle with AQE splitting the hot source, and a popular target is combined map-side
+    before it is shuffled.
     """
-    graph = cut_lineage(edges.select("src", "dst").where("src <> dst").repartition("src"))
+    graph = cut_lineage(edges.select("src", "dst").where("src <> dst"))
     start = seeds.select(
         "clean_url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")
     ).dropDuplicates(["clean_url"])

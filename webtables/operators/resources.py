@@ -91,8 +91,11 @@ def resource_registry(
     A logo on every page is the normal case: the pages are first made distinct per
     (url, page) with map-side combining, so a hot URL never gathers in one task.
     """
-    per_page = refs.groupBy("url", "page_id").agg(F.min("kind").alias("kind"))
-    per_url = per_page.groupBy("url").agg(F.min("kind").alias("resource_type"), F.count("*").alias("n_pages"))
+    # A flag instead of the kind itself: flags aggregate by hash, strings only by sort.
+    css = F.col("kind") == "css"
+    per_page = refs.groupBy("url", "page_id").agg(F.max(css).alias("css"))
+    per_url = per_page.groupBy("url").agg(F.max("css").alias("css"), F.count("*").alias("n_pages"))
+    per_url = per_url.withColumn("resource_type", F.when(F.col("css"), "css").otherwise("img"))
     return per_url.select(
         "url",
         stored_path(F.col("url"), F.col("resource_type"), root, cdn_hosts).alias("local_path"),

@@ -67,4 +67,8 @@ ORACLE = {
     "stream_status": f"WITH {I.DISCOVERED} SELECT url, status, retry_count, error_message FROM discovered",
     "stream_progress": f"""WITH {I.CRAWL_LOG} SELECT strftime(date_trunc('hour', ts), '{I.TS_FORMAT_SQL}') AS window_start, count(*) FILTER (action = 'complete') AS pages,
       coalesce(sum(file_size) FILTER (action = 'complete'), 0)::BIGINT AS bytes, count(*) FILTER (action = 'fail') AS errors FROM log GROUP BY 1""",
+    "stream_timeout": f"""WITH {I.CRAWL_LOG}, ends AS (SELECT clean_url, ts FROM log WHERE action IN ('complete', 'fail')),
+      claims AS (SELECT clean_url, ts, event_id FROM log WHERE action = 'claim'), seen AS (SELECT least((SELECT max(ts) FROM claims), (SELECT max(ts) FROM ends)) AS until)
+      SELECT clean_url, strftime(ts, '{I.TS_FORMAT_SQL}') AS claimed_at, event_id AS claim_id FROM claims c, seen WHERE ts + INTERVAL 12 HOUR < until
+      AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.clean_url = c.clean_url AND e.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOUR)""",
 }

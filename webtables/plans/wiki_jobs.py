@@ -265,7 +265,8 @@ def _imported(spark, sf):
         F.map_from_entries(F.collect_list(F.when(~F.col("url").endswith("7?v=1#x"), F.struct("url", F.concat(F.lit("out/"), F.md5("url")).alias("p")))))
         .alias("url_to_filename"),
     )
-    queue = log.where("action = 'discover'").groupBy("user").agg(F.sort_array(F.collect_list(item)).alias("download_queue"))
+    queued = log.where("action = 'discover'").select("user", item.alias("item")).distinct()
+    queue = queued.groupBy("user").agg(F.sort_array(F.collect_list("item")).alias("download_queue"))
     res = log.where("action = 'fail'").select("user", F.concat("clean_url", F.lit(".css")).alias("r")).distinct().groupBy("user").agg(
         F.sort_array(F.collect_list("r")).alias("downloaded_resources"),
         F.map_from_entries(F.collect_list(F.struct("r", F.concat(F.lit("res/"), F.md5("r")).alias("p")))).alias("transversal_resources"),

@@ -51,13 +51,12 @@ def document_rows(docs: DataFrame, content: Column | str = "content") -> DataFra
 def write_documents(docs: DataFrame, path: str, by: str = "host", per_file: int = 1_000_000) -> None:
     """Rendered pages as Parquet partitioned by host (or space_key).
 
-    Rows are spread by (host, hash of the URL) and not by host alone: one huge host then
-    fills many tasks and many files of at most ``per_file`` rows instead of one.
+    The rebalance hint lets AQE size the writing tasks: one huge host is split over many
+    of them, many small hosts share one and get a single file each. With very many hosts
+    pass a coarser column as ``by``, for every value becomes a directory.
     """
-    spread = F.pmod(F.xxhash64("clean_url"), F.lit(64))
     (
-        docs.repartition(F.col(by), spread)
-        .sortWithinPartitions(by)
+        docs.hint("rebalance", by)
         .write.mode("errorifexists")
         .option("maxRecordsPerFile", per_file)
         .partitionBy(by)
