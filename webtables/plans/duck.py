@@ -70,9 +70,16 @@ def local_path(u: str, out_dir: str = "out", ext: str = ".md") -> str:
 
 
 def rel_path(target: str, start_dir: str) -> str:
-    """Relative path between two flat paths (no dot segments)."""
-    a = f"list_filter(string_split({target}, '/'), lambda s: s <> '')"
-    b = f"list_filter(string_split({start_dir}, '/'), lambda s: s <> '')"
+    """Relative path between two paths; dot segments are folded first."""
+
+    def flat(p: str) -> str:
+        folded = (
+            f"CASE WHEN regexp_matches({p}, '(?:^|/)\\.\\.?(?:/|$)') THEN list_reduce(string_split({p}, '/'), lambda acc, s: "
+            f"CASE WHEN s = '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN s IN ('.', '') THEN acc ELSE acc || '/' || s END) ELSE {p} END"
+        )
+        return f"list_filter(string_split({folded}, '/'), lambda s: s <> '')"
+
+    a, b = flat(target), flat(start_dir)
     n = f"list_max(list_filter(range(0, least(len({a}), len({b})) + 1), lambda i: ({a})[1:i] = ({b})[1:i]))"
     return f"(repeat('../', CAST(len({b}) - {n} AS INTEGER)) || array_to_string(({a})[{n} + 1:], '/'))"
 

@@ -153,8 +153,8 @@ def attachment_pages(spark, sf):
 
 
 def page_attachment_list(spark, sf):
-    """Two attachments of every page that is no multiple of four."""
-    pages = I.pages(spark, sf).where("page_id % 4 <> 0")
+    """Two attachments of every page."""
+    pages = I.pages(spark, sf)
     ident = F.col("page_id").cast("string")
     return pages.select("page_id", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("n")).select(
         "page_id",
@@ -280,9 +280,9 @@ ORACLE = {
       UNION ALL SELECT 'doc-' || doc_id, ' ' || chr(10) || chr(9) || text || chr(10) || ' ' FROM documents)
       SELECT id, regexp_matches(lower(html), '{_PHRASES}') OR length(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) < 500 AS is_auth_wall FROM a""",
     "attachment_rewrite": f"""WITH {_SHOWN_SQL}, {D.tokens('shown', keep='page_id')},
-      ref AS (SELECT page_id, pos, CASE WHEN page_id % 4 <> 0 THEN regexp_extract({D.attr('tok', 'src')},
+      ref AS (SELECT page_id, pos, regexp_extract({D.attr('tok', 'src')},
         '^(?:(?:https://wiki\\.example\\.com)?/?(?:wiki/)?download/attachments/' || '\\d+/f([01])\\.png|(?:https?://[^/]+)?/wiki/download/thumbnails/\\d+/f([01])\\.png)', 1)
-        || regexp_extract({D.attr('tok', 'src')}, '^(?:https?://[^/]+)?/wiki/download/thumbnails/\\d+/f([01])\\.png', 1) END AS n FROM tok WHERE tag = 'img')
+        || regexp_extract({D.attr('tok', 'src')}, '^(?:https?://[^/]+)?/wiki/download/thumbnails/\\d+/f([01])\\.png', 1) AS n FROM tok WHERE tag = 'img')
       SELECT page_id, string_agg(CASE WHEN coalesce(n, '') = '' THEN tok ELSE '<img src="attachments/a' || n || '_f' || n || '.png">' END, '' ORDER BY pos) AS html
       FROM tok LEFT JOIN ref USING (page_id, pos) GROUP BY page_id""",
     "broken_links": f"""WITH {_links('pages')}, stored AS (SELECT {D.clean_url('url')} AS u FROM pages UNION SELECT regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/to' FROM pages)

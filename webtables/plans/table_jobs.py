@@ -47,7 +47,7 @@ def join_resource_path(spark, sf):
 def fk_audit(spark, sf):
     """Wiki pages (as saved versions) whose document was never stored, and line items without a part."""
     meta = I.page_versions(spark, sf).select("url").distinct()
-    docs = I.table(spark, sf, "documents").where("doc_id % 3 <> 0").select(
+    docs = I.table(spark, sf, "documents").where("lang <> 'fr'").select(
         F.concat(F.lit("https://wiki.example.com/pages/"), F.col("doc_id").cast("string")).alias("url")
     )
     lost = L.orphans(meta, docs, "url", "url").select(F.lit("metadata").alias("child"), "url")
@@ -73,14 +73,14 @@ def _space_listing(spark, sf):
 
 
 def frontier_space(spark, sf):
-    """A frontier of three space indexes and every fifth page, one hop down."""
+    """A frontier of three space indexes and every English page, one hop down."""
     docs = I.table(spark, sf, "documents")
     key = F.upper("source")
     base = F.lit("https://wiki.example.com/wiki/spaces/")
     index = docs.where("source IN ('src1', 'src2', 'src3')").select(
         F.concat(base, key, F.when(F.col("source") == "src2", "").otherwise("/overview")).alias("url"), F.lit(2).alias("depth")
     ).distinct()
-    own = docs.where("doc_id % 5 = 0").select(
+    own = docs.where("lang = 'en'").select(
         F.concat(base, key, F.lit("/pages/"), F.col("doc_id").cast("string"), F.lit("#top")).alias("url"), F.lit(1).alias("depth")
     )
     return FR.expand_spaces(index.unionByName(own), _space_listing(spark, sf))
@@ -211,14 +211,14 @@ ORACLE = {
     "join_resource_path": f"""WITH {I.RESOURCE_USES}, {I.RESOURCES} SELECT u.url, local_path, CASE WHEN is_transversal THEN local_path END AS transversal_path, count(*) AS n_uses
       FROM uses u LEFT JOIN resources r ON u.url = r.url GROUP BY ALL""",
     "fk_audit": f"""WITH {I.PAGE_VERSIONS}, {I.RESOURCE_USES}, {I.RESOURCES}
-      SELECT DISTINCT 'metadata' AS child, url FROM versions WHERE url NOT IN (SELECT 'https://wiki.example.com/pages/' || doc_id FROM documents WHERE doc_id % 3 <> 0)
+      SELECT DISTINCT 'metadata' AS child, url FROM versions WHERE url NOT IN (SELECT 'https://wiki.example.com/pages/' || doc_id FROM documents WHERE lang <> 'fr')
       UNION ALL SELECT DISTINCT 'use', url FROM uses WHERE url NOT IN (SELECT url FROM resources)""",
     "frontier_bfs": f"""WITH RECURSIVE {I.LINK_GRAPH}, walk AS (SELECT 's0' AS url, 0 AS depth FROM supplier WHERE s_suppkey = 0
         UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3),
       best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
       SELECT b.url AS clean_url, b.depth, min(p.url) AS parent_url FROM best b LEFT JOIN edges e ON e.dst = b.url AND b.depth > 0
       LEFT JOIN best p ON p.url = e.src AND p.depth = b.depth - 1 GROUP BY ALL""",
-    "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents WHERE doc_id % 5 = 0
+    "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents WHERE lang = 'en'
         UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents WHERE source IN ('src1', 'src2', 'src3'))
       SELECT url, min(depth) AS depth FROM f GROUP BY url""",
     "frontier_pending": f"WITH {I.DISCOVERED} SELECT url, depth FROM discovered WHERE status = 'pending' ORDER BY depth, discovered_at, url LIMIT 500",

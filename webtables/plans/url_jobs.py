@@ -46,7 +46,7 @@ def scope_exact(spark, sf):
 
 def scope_regex(spark, sf):
     samples = I.url_samples(spark, sf).withColumn("depth", (F.col("page_id") % 6).cast("int"))
-    seen = I.pages(spark, sf).where("page_id % 3 = 0").select(F.concat("url", F.lit("")).alias("url"))
+    seen = I.pages(spark, sf).where("url LIKE 'https://%'").select(F.concat("url", F.lit("")).alias("url"))
     return filter_scope(samples, REGEX, depth="depth", seen=seen).select("page_id", "url", "depth")
 
 
@@ -100,8 +100,7 @@ def url_page_dir(spark, sf):
 
 
 def url_relpath(spark, sf):
-    samples = I.url_samples(spark, sf).where("url LIKE '%/%'").where("url NOT LIKE '%..%'")
-    paths = U.with_local_path(samples, "url")
+    paths = U.with_local_path(I.url_samples(spark, sf), "url")
     here = I.pages(spark, sf).select("page_id", F.col("url").alias("page_url"))
     here = U.with_local_path(here, "page_url", "markdown", "out", "page_path")
     here = here.select("page_id", U.dirname(F.col("page_path")).alias("page_dir"))
@@ -146,7 +145,7 @@ ORACLE = {
       AND (contains(url, '/wiki/') OR contains(url, '/docs/') OR contains(url, '/en/') OR contains(url, '/a/'))""",
     "scope_regex": f"""{_S} SELECT page_id, url, CAST(page_id % 6 AS INTEGER) AS depth FROM samples s WHERE contains({D.netloc('url')}, 'example.com')
       AND NOT regexp_matches(url, 'pageId=\\d*7$|/S[12]/') AND regexp_matches(url, '/pages/|/\\d+(\\.html)?$|/n\\d') AND page_id % 6 <= 3
-      AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 3 = 0 AND p.url = s.url)""",
+      AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url LIKE 'https://%' AND p.url = s.url)""",
     "scope_wiki_link": f"""{_S} SELECT page_id, url FROM samples WHERE contains(url, 'example.net') AND NOT regexp_matches(url, '/S[34]/|overview$')
       AND (page_id % 2 <> 0 OR regexp_matches(url, '/pages/|/display/|/viewpage\\.action|/content/'))""",
     "url_page_id": f"{_S} SELECT page_id, url, {_ID_WIKI} AS wiki_id, coalesce({_ID_PLAIN}, '') AS plain_id FROM samples",
@@ -162,7 +161,7 @@ ORACLE = {
     "url_page_dir": f"""{_S} SELECT page_id, url, 'out/spaces/' || coalesce({_SPACE}, 'NONE') || '/pages/' || coalesce({_ID_PLAIN},
       nullif(regexp_extract({D.path('url')}, '([^/]+)/*$', 1), ''), 'page_' || substring(md5(url), 1, 10)) || '/index.md' AS page_dir FROM samples""",
     "url_relpath": f"""{_S}, t AS (SELECT s.page_id, s.url, {D.local_path('s.url')} AS local_path, regexp_replace({D.local_path('p.url')}, '/?[^/]*$', '') AS page_dir
-      FROM samples s JOIN pages p ON s.page_id = p.page_id WHERE s.url LIKE '%/%' AND s.url NOT LIKE '%..%')
+      FROM samples s JOIN pages p ON s.page_id = p.page_id)
       SELECT page_id, url, local_path, page_dir, {D.rel_path('local_path', 'page_dir')} AS rel_path FROM t""",
     "url_variants": f"{_S} SELECT {D.clean_url('url')} AS clean_url, count(DISTINCT url) AS n_variants FROM samples GROUP BY 1",
     "path_collisions": f"""{_S}, c AS (SELECT DISTINCT regexp_replace({D.clean_url('url')}, '//[^/]*\\.example\\.', '//x.example.') AS u FROM samples)
