@@ -1,8 +1,8 @@
 """Depth-bounded crawl frontier over a link graph.
 
 The loop runs on the driver but holds no data there: each hop is one join and one
-aggregate. Edges and every hop are checkpointed to the shared folder, so neither the plan
-nor the recomputation grows with the depth, and a lost executor costs one stage.
+aggregate. Edges and every hop are written to the shared checkpoint folder, so neither the
+plan nor the recomputation grows with the depth, and a lost executor costs one stage.
 """
 
 from __future__ import annotations
