@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
 from webtables.llm.super_kmers import dedup_windows
 
@@ -22,6 +23,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_windows(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -29,5 +34,6 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
 }

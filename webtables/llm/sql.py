@@ -17,6 +17,20 @@ SELECT b.doc_id, b.n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesc
 FROM b LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP7 = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.z)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.z AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(z) AS z FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 OP8 = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM t),
@@ -30,4 +44,4 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM t LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1, "op8_super_kmers": OP8}
+ORACLE = {"op1_suffix_dedup": OP1, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
