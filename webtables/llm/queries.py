@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtables.llm.packing import pack
 from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
 from webtables.llm.super_kmers import dedup_windows
@@ -23,6 +24,17 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -34,6 +46,7 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
 }
