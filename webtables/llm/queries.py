@@ -10,6 +10,7 @@ from webtables.llm.packing import pack
 from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
 from webtables.llm.super_kmers import dedup_windows
+from webtables.llm.toxicity import fit, score
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +46,25 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def fold(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return importable(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold() != 0)
+
+
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = score(docs.select("doc_id", "text"), fit(docs, training_labels(spark, sf_dir)), name="score")
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
+    "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
 }
