@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtables.llm.exchange import importable
+from webtables.llm.fingerprints import fingerprints, likeness
 from webtables.llm.packing import pack
 from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
@@ -37,6 +38,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", ",").alias("fingerprint"),
+        F.array_join("edited_sketch", ",").alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -64,6 +77,7 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,

@@ -17,6 +17,27 @@ SELECT b.doc_id, b.n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesc
 FROM b LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_SKETCH = """
+ list_sort(list_distinct(list_transform(CASE WHEN len({h}) = 0 THEN [] WHEN len(list_filter({h}, lambda x: x < '2')) > 0 THEN list_filter({h}, lambda x: x < '2') ELSE [list_min({h})] END, lambda x: substr(x, 1, 16))))
+"""
+_HASHES = """
+ CASE WHEN len({w}) = 0 THEN []::VARCHAR[] WHEN len({w}) < 5 THEN [md5(array_to_string({w}, ' '))]
+ ELSE list_transform(range(1, len({w}) - 3), lambda i: md5(array_to_string({w}[i:i + 4], ' '))) END
+"""
+_WORDS = "regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')"
+_LIKE = "CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))::DOUBLE END::DOUBLE"
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, n, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nt, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS nid FROM d WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, n, nid, text, substr(text, 1, n - n // 2) || substr(nt, 1, n // 2) AS edited FROM x),
+w AS (SELECT *, {_WORDS.format(t="text")} AS w1, {_WORDS.format(t="edited")} AS w2 FROM e),
+h AS (SELECT *, {_HASHES.format(w="w1")} AS h1, {_HASHES.format(w="w2")} AS h2 FROM w),
+s AS (SELECT *, {_SKETCH.format(h="h1")} AS s1, {_SKETCH.format(h="h2")} AS s2 FROM h)
+SELECT s.doc_id, s.n::BIGINT AS n_chars, sha256(s.edited) AS edited_sha256, array_to_string(s.s1, ',') AS fingerprint, array_to_string(s.s2, ',') AS edited_fingerprint,
+       {_LIKE.format(a="s.s1", b="s.s2")} AS near_edited, {_LIKE.format(a="s.s1", b="t.s1")} AS near_next
+FROM s JOIN s t ON t.doc_id = s.nid
+"""
+
 OP7 = r"""
 WITH RECURSIVE
 t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -44,4 +65,4 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM t LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
+ORACLE = {"op1_suffix_dedup": OP1, "op5_scaled_fingerprints": OP5, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
