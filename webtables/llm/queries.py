@@ -12,6 +12,7 @@ from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
 from webtables.llm.super_kmers import dedup_windows
 from webtables.llm.toxicity import fit, score
+from webtables.llm.url_templates import judge_urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,14 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: The contract's rules.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(pages(spark, sf_dir), URL_RULES)
+
+
 def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
@@ -76,6 +85,7 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_url_templates": op2_url_templates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op7_partenum_join": op7_partenum_join,
