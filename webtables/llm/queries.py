@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtables.llm.decontamination import find_leaks
 from webtables.llm.exchange import importable
 from webtables.llm.fingerprints import fingerprints, likeness
 from webtables.llm.packing import pack
@@ -51,6 +52,10 @@ def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("score")
+
+
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_url_templates": op2_url_templates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
+    "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,

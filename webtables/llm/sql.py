@@ -38,6 +38,28 @@ SELECT s.doc_id, s.n::BIGINT AS n_chars, sha256(s.edited) AS edited_sha256, arra
 FROM s JOIN s t ON t.doc_id = s.nid
 """
 
+_TOKENS = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+_GRAMS = "list_distinct(list_transform(range(1, len({w}) - least(5, len({w})) + 2), lambda i: array_to_string({w}[i:i + least(5, len({w})) - 1], ' ')))"
+_HITS = "len(list_filter({g}, lambda g: contains(' ' || p.s || ' ', ' ' || g || ' ')))::BIGINT"
+OP6 = rf"""
+WITH q AS (SELECT item_id, text, regexp_extract(trim(text, E' \n\t\r'), '(?s)^(.*[.!?])\s+(\S.*)$', ['q', 'a']) AS x FROM benchmark),
+i AS (SELECT item_id, {_TOKENS.format(t="text")} AS w, {_TOKENS.format(t="CASE WHEN x.a = '' THEN text ELSE x.q END")} AS qw, {_TOKENS.format(t="CASE WHEN x.a = '' THEN text ELSE x.a END")} AS aw FROM q),
+k AS (SELECT item_id, w, len(w) AS n, {_GRAMS.format(w="qw")} AS qg, {_GRAMS.format(w="aw")} AS ag FROM i WHERE len(w) > 0),
+c AS (SELECT count(*) AS items, avg(n) AS avgdl, max(n) AS stride FROM k),
+tf AS (SELECT item_id, n, term, count(*) AS tf FROM (SELECT item_id, n, unnest(w) AS term FROM k) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+m AS (SELECT item_id, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avgdl)) AS v FROM tf JOIN df USING (term), c),
+v AS (SELECT item_id, term, v / sum(v) OVER (PARTITION BY item_id) AS v FROM m),
+d AS (SELECT doc_id, {_TOKENS.format(t="text")} AS w FROM documents),
+b AS (SELECT doc_id, w, stride, unnest(range(0, greatest(ceil((len(w) - 2 * stride) / stride), 0)::BIGINT + 1)) AS j FROM d, c WHERE len(w) > 0),
+p AS (SELECT doc_id, j, w[j * stride + 1:j * stride + 2 * stride] AS w, array_to_string(w[j * stride + 1:j * stride + 2 * stride], ' ') AS s FROM b),
+u AS (SELECT doc_id, j, unnest(list_distinct(w)) AS term FROM p),
+r AS (SELECT doc_id, j, item_id FROM u JOIN v USING (term) GROUP BY ALL HAVING sum(v) >= 0.6 - 1e-9),
+h AS (SELECT r.doc_id, r.item_id, {_HITS.format(g="qg")} AS qh, len(qg)::BIGINT AS qn, {_HITS.format(g="ag")} AS ah, len(ag)::BIGINT AS an FROM r JOIN p USING (doc_id, j) JOIN k USING (item_id))
+SELECT doc_id, item_id, count(*)::BIGINT AS passages, max(qh) AS question_hits, max(qn) AS question_grams, max(ah) AS answer_hits, max(an) AS answer_grams
+FROM h WHERE qn > 0 AND an > 0 AND qh >= 0.5 * qn AND ah >= 0.5 * an GROUP BY doc_id, item_id
+"""
+
 OP7 = r"""
 WITH RECURSIVE
 t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -65,4 +87,4 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM t LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1, "op5_scaled_fingerprints": OP5, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
+ORACLE = {"op1_suffix_dedup": OP1, "op5_scaled_fingerprints": OP5, "op6_bm25_decontamination": OP6, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
