@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webtables.llm.decontamination import find_leaks
 from webtables.llm.exchange import importable
 from webtables.llm.fingerprints import fingerprints, likeness
+from webtables.llm.html_consensus import extract_text
 from webtables.llm.packing import pack
 from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
@@ -73,6 +74,10 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages(spark, sf_dir), URL_RULES)
 
 
+def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(pages(spark, sf_dir)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
@@ -96,5 +101,6 @@ QUERIES = {
     "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_partenum_join": op7_partenum_join,
     "op8_super_kmers": op8_super_kmers,
+    "op9_html_consensus": op9_html_consensus,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
 }
