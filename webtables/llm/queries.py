@@ -9,6 +9,7 @@ from webtables.llm.decontamination import find_leaks
 from webtables.llm.exchange import importable
 from webtables.llm.fingerprints import fingerprints, likeness
 from webtables.llm.html_consensus import extract_text
+from webtables.llm.line_dedup import without_repeated_lines
 from webtables.llm.packing import pack
 from webtables.llm.partenum import jaccard_components
 from webtables.llm.suffix_dedup import dedup_bytes
@@ -41,6 +42,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir)).select(
         "doc_id",
@@ -97,6 +103,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_templates": op2_url_templates,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_partenum_join": op7_partenum_join,

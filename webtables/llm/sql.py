@@ -17,6 +17,24 @@ SELECT b.doc_id, b.n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesc
 FROM b LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP4 = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM t),
+w AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM l),
+f AS (SELECT s, min((doc_id, k)) AS least, row_number() OVER () AS id FROM w WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, least, len(s) AS n, unnest(s) AS word FROM f),
+z AS (SELECT e.*, df FROM e JOIN (SELECT word, count(*) AS df FROM e GROUP BY word) USING (word)),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, word) AS r FROM z),
+x AS (SELECT * FROM o WHERE r <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b USING (word) WHERE a.least < b.least AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+v AS (SELECT DISTINCT b FROM c JOIN f p ON p.id = a JOIN f q ON q.id = b
+      WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+g AS (SELECT w.doc_id, w.k FROM w JOIN f USING (s) WHERE (w.doc_id, w.k) <> f.least OR f.id IN (SELECT b FROM v)),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS kept FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_lines_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) USING (doc_id)
+"""
+
 _SKETCH = """
  list_sort(list_distinct(list_transform(CASE WHEN len({h}) = 0 THEN [] WHEN len(list_filter({h}, lambda x: x < '2')) > 0 THEN list_filter({h}, lambda x: x < '2') ELSE [list_min({h})] END, lambda x: substr(x, 1, 16))))
 """
@@ -87,4 +105,4 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM t LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1, "op5_scaled_fingerprints": OP5, "op6_bm25_decontamination": OP6, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
+ORACLE = {"op1_suffix_dedup": OP1, "op4_line_dedup": OP4, "op5_scaled_fingerprints": OP5, "op6_bm25_decontamination": OP6, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
