@@ -1,5 +1,12 @@
 """Hand-written pages for what the shared test pages lack."""
 
+import html
+import re
+import time
+from html.entities import html5
+from html.parser import HTMLParser
+
+import pytest
 from pyspark.sql import functions as F
 
 from webtables.functions import markup as M
@@ -84,9 +91,74 @@ def test_titles_and_walls(spark):
     assert [r.is_auth_wall for r in C.flag_auth_walls(walls).orderBy("page_id").collect()] == [True, False, True, True]
 
 
-def test_unescape(spark):
-    df = spark.createDataFrame([("&lt;&amp;lt;&#65;&#x20AC;x&#1F;&nbsp;&bogus;&#55296;",)], "t string")
-    assert df.select(M.unescape(F.col("t"))).first()[0] == "<&lt;A€x&#1F; &bogus;�"
+def test_unescape_agrees_with_the_standard_library(spark):
+    texts = [f"a&{name} b&{name}" for name in html5] + [f"&#{n};x" for n in (*range(300), 0x20AC, 0xD800, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000)]
+    texts += ["&lt;&amp;lt;&#65;&#x20AC;x&#x1F;&nbsp;&bogus;&#55296;", "&#00000000065;&#x0000000041;&#65z&#x41z", "&notit; &ampamp; &", "&;&#;&#x;", "plain", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", M.unescape(F.col("t")).alias("u")).collect()}
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_references_in_attributes_leave_url_parameters_alone(spark):
+    df = spark.createDataFrame([('<a href="?a=1&copy=2&amp;b=&eacute;&lt">',)], "t string")
+    assert df.select(M.attr(F.col("t"), "href")).first()[0] == "?a=1&copy=2&b=é<"
+
+
+class _Reader(HTMLParser):
+    """Text, links and first title by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.inside = [], [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+        if tag in ("script", "style", "noscript", "title"):
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            self.inside.remove(tag)
+
+    def handle_data(self, data):
+        if self.inside == ["title"] and self.title is None:
+            self.title = data
+        if not self.inside:
+            self.text.append(data)
+
+
+AGREED = [
+    "<article>before<script-loader></script-loader><p>after <a href='/x'>x</a></p><style-guide>s</style-guide></article>",
+    "<head><!-- <title>old</title> --><script>t='<title>no</title>'</script><title>new</title></head><p>t</p>",
+    "<p>a<script>x</script >b<SCRIPT type='a>b'>y</SCRIPT>c<style>p{}</style>d</p>",
+    "<p don't>x</p><p title=\"a > b\">y</p><a href = '/q?a=1&amp;b=2'>z</a>",
+    "<noscript-x>kept</noscript-x><p>1 < 2 &amp; 3 &eacute; &#150;</p>",
+]
+
+
+@pytest.mark.parametrize("page", AGREED)
+def test_text_links_and_title_agree_with_the_standard_parser(spark, page):
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    df = pages(spark, page)
+    toks = tokenize(df)
+    text = "".join(r.t for r in toks.where("kind = 'text'").orderBy("pos").select(M.unescape(F.col("tok")).alias("t")).collect())
+    body = re.sub("new$", "", "".join(reader.text)) if reader.title is None else "".join(reader.text)
+    assert text.replace(reader.title or "\0", "", 1) == body
+    links = toks.where("tag = 'a' AND NOT is_close").orderBy("pos").select(M.attr(F.col("tok"), "href").alias("h")).collect()
+    assert [r.h for r in links] == reader.links
+    assert C.page_titles(df).first().title == (reader.title or C.DEFAULT_TITLE)
+
+
+@pytest.mark.parametrize("opener", ["<!--", "<script ", "<script>", "<a ", "<a href=\"", "<!x", "<", "&", "&#", "<title>"])
+def test_openers_that_never_close_are_read_once(spark, opener):
+    page = "<p>x</p>" + opener * (1_000_000 // len(opener))
+    start = time.time()
+    assert tokenize(pages(spark, page)).count() >= 1
+    assert time.time() - start < 5
 
 
 MARKDOWN = [

@@ -7,28 +7,39 @@ or a data: URI of some MB neither recurses nor backtracks.
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A tag (quotes may hide '>'), a declaration, a run of text, or a stray '<'.
-TOKEN = r"""(</?[A-Za-z][^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>|<![^>]*>|[^<]+|<)"""
+# A tag, a declaration, a run of text, or a stray '<'. A quoted value (after '=') may hide '>'. Whatever
+# never closes runs to the end of the page, so that its text is read once and not once per opener.
+TOKEN = (
+    r"""(</?[A-Za-z][^\s/>]*+(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+)*+(?:>|\z)"""
+    r"""|<![^>]*+(?:>|\z)|[^<]++|<)"""
+)
 
 # Elements that never have content.
 VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 )
 
-# Named character references that are decoded; numeric ones all are.
-NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
+# The references of HTML 4 mark-up itself, found without the table.
+COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbsp;": "\u00a0"}
+# Names that HTML decodes without a semicolon as well, and the longest of them.
+BARE = {k: v for k, v in html5.items() if not k.endswith(";")}
+_LONGEST = max(map(len, BARE))
+# What browsers read for the numbers 128 to 159: the Windows-1252 characters, where there are any.
+_LOW = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
 
 
 def hidden_pattern(tags: tuple[str, ...]) -> str:
-    """Comments and the whole bodies of ``tags``, leftmost first, in one pass."""
-    bodies = [rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in tags]
+    """Comments and the whole bodies of ``tags``, leftmost first, in one pass; unclosed ones reach the end."""
+    bodies = [rf"{t}(?:[\s/][^>]*+)?+(?:>.*?(?:</{t}(?:[\s/][^>]*+)?+(?:>|\z)|\z)|\z)" for t in tags]
     # The shared '<' in front lets the matcher skip to the next tag at once.
-    return "(?is)<(?:" + "|".join(["!--.*?-->", *bodies]) + ")"
+    return "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *bodies]) + ")"
 
 
 def visible(html: Column, tags: tuple[str, ...] = ("script", "style", "noscript")) -> Column:
@@ -41,8 +52,8 @@ def tokens(html: Column) -> Column:
 
 
 def tag_name(tok: Column) -> Column:
-    """Lower-case tag name, '' for text and declarations."""
-    return F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1))
+    """Lower-case tag name, '' for text, declarations and a tag that the end of the page cuts off."""
+    return F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)(?s:.*)>$", 1))
 
 
 def _attr_pattern(name: str) -> str:
@@ -62,7 +73,7 @@ def raw_attr(tok: Column, name: str) -> Column:
 
 def attr(tok: Column, name: str) -> Column:
     """As raw_attr, with character references decoded."""
-    return unescape(raw_attr(tok, name))
+    return unescape(raw_attr(tok, name), in_attribute=True)
 
 
 def set_attr(tok: Column, name: str, value: Column) -> Column:
@@ -88,32 +99,71 @@ def has_class(tok: Column, *names: str) -> Column:
     return tok.rlike("(?i)class") & listed.rlike(f" (?:{wanted}) ")
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A map as one constant; the optimizer folds it before anything runs."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
 def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def _numeric_refs(text: Column) -> Column:
-    """Decode &#65; and &#x41; piece by piece; out-of-range numbers become U+FFFD."""
+def _numeric(p: Column) -> Column:
+    """The character of '#65;' or '#x41' at the start of ``p``; '' for those HTML forbids, NULL without one."""
+    dec = F.regexp_replace(F.regexp_extract(p, "^#([0-9]+)", 1), "^0+(?=.)", "")
+    hexa = F.regexp_replace(F.regexp_extract(p, "^#[xX]([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
+    far = F.lit(0x110000)
+    number = F.when(dec != "", F.when(F.length(dec) > 7, far).otherwise(dec.cast("int"))).when(
+        hexa != "", F.when(F.length(hexa) > 6, far).otherwise(F.conv(hexa, 16, 10).cast("int"))
+    )
+    forbidden = (
+        number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+        | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE)
+    )
+    low = F.element_at(_table({str(n): c for n, c in _LOW.items()}), number.cast("string"))
+    return (
+        F.when(number.isNull(), None)
+        .when((number == 0) | (number == 13) | number.between(0x80, 0x9F), low)
+        .when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
+        .when(forbidden, "")
+        .otherwise(_code_point(number))
+    )
+
+
+def _named(p: Column, in_attribute: bool) -> Column:
+    """(decoded name + rest) of a piece after '&'; NULL without a known name."""
+    name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+    found = F.lit(None).cast("string")
+    for ref, char in COMMON.items():
+        found = F.when(name == ref, char).otherwise(found)
+    found = F.coalesce(found, F.when(name != "", F.element_at(_table({k: v for k, v in html5.items() if k.endswith(";")}), name)))
+    whole = F.concat(found, F.substring(p, F.length(name) + 1, F.length(p)))
+    bare = F.lit(None).cast("string")
+    table = _table(BARE)
+    for size in range(2, _LONGEST + 1):
+        char, rest = F.element_at(table, F.substring(p, 1, size)), F.substring(p, F.lit(size + 1), F.length(p))
+        known = (F.length(p) >= size) & char.isNotNull()
+        if in_attribute:  # '&copy=1' in a URL is a parameter, not a sign
+            known = known & ~rest.rlike("^[=A-Za-z0-9]")
+        bare = F.when(known, F.concat(char, rest)).otherwise(bare)
+    return F.coalesce(whole, F.when(p.rlike("^[A-Za-z]"), bare))
+
+
+def unescape(text: Column, in_attribute: bool = False) -> Column:
+    """Decode all character references as HTML does; text without '&' passes untouched."""
 
     def piece(p: Column) -> Column:
-        dec = F.regexp_extract(p, r"^&#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
-        number = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
-        legal = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(legal, _code_point(number)).otherwise(F.lit("�"))
-        rest = F.regexp_replace(p, r"^&#[xX]?[0-9A-Fa-f]+;", "")
-        return F.when(number.isNotNull(), F.concat(char, rest)).otherwise(p)
-
-    return F.array_join(F.transform(F.split(text, "(?=&#)"), piece), "")
-
-
-def unescape(text: Column) -> Column:
-    """Decode character references; text without '&' passes untouched."""
-    named = text
-    for ref, char in NAMED_ENTITIES.items():
-        named = F.replace(named, F.lit(ref), F.lit(char))
-    numeric = F.when(text.contains("&#"), _numeric_refs(named)).otherwise(named)
-    return F.when(text.contains("&"), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        rest = F.regexp_replace(p, "^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
+        number = F.when(p.startswith("#"), F.concat(_numeric(p), rest))
+        return F.coalesce(number, F.when(~p.startswith("#"), _named(p, in_attribute)), F.concat(F.lit("&"), p))
+
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&")
+        decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+        return F.when(t.contains("&"), decoded).otherwise(t)
+
+    # A one-element transform names the text, so that a long expression is not copied into every use.
+    return F.element_at(F.transform(F.array(text), whole), 1)
 
 
 def strip_blank(text: Column) -> Column:

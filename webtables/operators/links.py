@@ -18,14 +18,14 @@ def anchor_hrefs(html: Column) -> Column:
     duplicates of a page go here, inside its row, before anything is exploded.
     """
     toks = M.tokens(M.visible(html, ("script", "style")))
-    anchors = F.filter(toks, lambda t: t.rlike(r"(?i)^<a[\s/]") & M.has_attr(t, "href"))
+    anchors = F.filter(toks, lambda t: t.rlike(r"(?i)^<a[\s/]") & t.endswith(">") & M.has_attr(t, "href"))
     return F.array_distinct(F.transform(anchors, lambda t: M.raw_attr(t, "href")))
 
 
 def page_hrefs(pages: DataFrame) -> DataFrame:
     """(page_id, src, href): decoded hrefs, with the cleaned page URL as source."""
     exploded = pages.select("page_id", "url", F.explode(anchor_hrefs(F.col("html"))).alias("href"))
-    return exploded.select("page_id", U.clean_url("url").alias("src"), M.unescape(F.col("href")).alias("href"))
+    return exploded.select("page_id", U.clean_url("url").alias("src"), M.unescape(F.col("href"), in_attribute=True).alias("href"))
 
 
 def resolve_links(edges: DataFrame, base: str = "src", href: str = "href") -> DataFrame:
@@ -67,7 +67,7 @@ def extract_wiki_links(raw: DataFrame, rules: Rules) -> DataFrame:
     """
     base = (rules.base_url or "").rstrip("/")
     body = raw.select("url", F.explode(anchor_hrefs(F.col("page.body.view.value"))).alias("href"))
-    body = U.with_wiki_resolved(pin(body, {"href": M.unescape(F.col("href"))}), base)
+    body = U.with_wiki_resolved(pin(body, {"href": M.unescape(F.col("href"), in_attribute=True)}), base)
     body = body.select("url", F.col("abs_url").alias("link"), F.lit(True).alias("must_be_page"))
     kids = raw.select("url", F.explode("page.children.page.results").alias("kid"))
     kids = kids.select("url", F.col("kid._links.webui").alias("w")).where("w <> ''")

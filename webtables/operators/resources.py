@@ -59,7 +59,7 @@ def resource_refs(pages: DataFrame, hosts: tuple[str, ...] = (), types: tuple[st
     ``hosts`` keeps URLs that hold one of the given strings; empty keeps all. Filtering
     happens inside the page row, so only references are ever exploded.
     """
-    toks = F.filter(M.tokens(M.visible(F.col("html"))), lambda t: t.rlike(r"(?i)^<(?:link|img)[\s/]"))
+    toks = F.filter(M.tokens(M.visible(F.col("html"))), lambda t: t.rlike(r"(?i)^<(?:link|img)[\s/]") & t.endswith(">"))
     rows = pages.select("page_id", U.clean_url("url").alias("src"), F.explode(toks).alias("tok"))
     kind, value = reference_attr(F.col("tok"))
     rows = pin(rows, {"kind": kind, "ref": value}, drop=("tok",))

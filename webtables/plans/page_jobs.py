@@ -47,7 +47,7 @@ def html_boilerplate(spark, sf):
 
 
 def html_title(spark, sf):
-    return C.page_titles(I.pages(spark, sf))
+    return C.page_titles(I.rich_pages(spark, sf))
 
 
 def html_text(spark, sf):
@@ -194,7 +194,7 @@ QUERIES = {
 
 # --- twins ---------------------------------------------------------------------------------
 
-_ANCHOR = "regexp_matches(tok, '(?i)^<a[\\s/]') AND regexp_matches(tok, '(?i)[\\s/]href[\\s=/>]')"
+_ANCHOR = "tok LIKE '%>' AND regexp_matches(tok, '(?i)^<a[\\s/]') AND regexp_matches(tok, '(?i)[\\s/]href[\\s=/>]')"
 
 
 def _links(source: str, name: str = "found", valid: str = "true") -> str:
@@ -251,7 +251,7 @@ ORACLE = {
       WHERE NOT (tag = 'meta' AND lower({D.attr('tok', 'http-equiv')}) = 'refresh') GROUP BY page_id""",
     "html_main": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_all GROUP BY page_id",
     "html_boilerplate": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_kept GROUP BY page_id",
-    "html_title": f"""SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, ''), 'Confluence Page') AS title FROM pages""",
+    "html_title": f"""WITH {I.RICH_PAGES} SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page') AS title FROM rich""",
     "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
     "md_header": f"""WITH d AS ({_DOC_SQL}) SELECT doc_id, 'html' AS mode, '# ' || title || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10)
       || '---' || chr(10) || chr(10) || text AS content FROM d UNION ALL SELECT doc_id, 'api', '# ' || title || chr(10) || chr(10) || '**Space:** ' || space_key || ' - ' || space_name
