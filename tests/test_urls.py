@@ -98,8 +98,13 @@ def test_scope_modes(spark):
     assert [r.url for r in filter_scope(df, exact).collect()] == ["https://h.example.com/docs/a"]
     rx = Rules(base_domain="h.example.com", exclude=(r"\?delete",), valid=(r"/docs/[ab]$",), mode="regex")
     assert len(filter_scope(df, rx).collect()) == 3
-    with pytest.raises(ValueError, match="delete"):
-        Rules(exclude=("?delete",), mode="regex")
-    many = Rules(exclude=tuple(f"/p{i}" for i in range(100)) + ("/zzz",))
-    assert "https://h.example.com/zzz" not in [r.url for r in df.where(in_scope("url", many)).collect()]
+    for bad in ("?delete", "(?P<x>abc)", "[a"):
+        with pytest.raises(ValueError, match="Java"):
+            filter_scope(df, Rules(exclude=(bad,), mode="regex"))
+    assert len(filter_scope(df, Rules(valid=(r"(s)\1*/a", "(z)z"), mode="regex")).collect()) == 4
+    for size in (5, 64, 65, 5000):
+        texts = tuple(f"/p{i}" for i in range(size - 1)) + ("/zzz",)
+        for mode in ("exact", "regex"):
+            kept = [r.url for r in df.where(in_scope("url", Rules(exclude=texts, mode=mode))).collect()]
+            assert "https://h.example.com/zzz" not in kept and "https://h.example.com/docs/a" in kept
     assert default_rules("https://a.b/c/").valid == ("/c/",)

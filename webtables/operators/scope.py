@@ -9,12 +9,13 @@ anywhere in the URL and have no list of valid patterns.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtables.functions import urls as U
@@ -22,9 +23,6 @@ from webtables.functions import urls as U
 # What a crawl leaves out when nothing else is said.
 DEFAULT_EXCLUDES = ("/admin", "/login", "/logout", "action=", "?delete")
 
-# Beyond this many literals a chain of ORs compiles badly; the array form is used.
-_CHAIN_LIMIT = 64
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -38,18 +36,23 @@ class Rules:
     def __post_init__(self) -> None:
         if self.mode not in ("exact", "regex"):
             raise ValueError(f"unknown scope mode {self.mode!r}")
-        if self.mode == "regex":
-            bad = [p for p in (*self.exclude, *self.valid) if not _compiles(p)]
-            if bad:
-                raise ValueError(f"not valid as regular expressions: {bad}")
 
 
-def _compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+# A pattern that counts or names its groups cannot share an expression with others.
+_OWN_GROUPS = re.compile(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
+
+
+def _check(patterns: tuple[str, ...]) -> None:
+    """Raise for patterns that the engine which will run them (Java's) does not accept."""
+    compile_ = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile
+    bad = []
+    for p in patterns:
+        try:
+            compile_(p)
+        except (Py4JJavaError, IllegalArgumentException):
+            bad.append(p)
+    if bad:
+        raise ValueError(f"not valid as Java regular expressions: {bad}")
 
 
 def default_rules(start_url: str) -> Rules:
@@ -63,10 +66,17 @@ def default_rules(start_url: str) -> Rules:
     )
 
 
-def _any(patterns: tuple[str, ...], test: Callable[[Column | str], Column]) -> Column:
-    if len(patterns) > _CHAIN_LIMIT:
-        return F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: test(p))
-    return reduce(lambda a, b: a | b, [test(p) for p in patterns])
+def _any_text(url: Column, texts: tuple[str, ...]) -> Column:
+    """One of the texts occurs in the URL; one expression however many there are."""
+    return F.exists(F.array(*[F.lit(t) for t in texts]), lambda t: url.contains(t))
+
+
+def _any_regex(url: Column, patterns: tuple[str, ...]) -> Column:
+    """One of the patterns is found in the URL; they are folded into one alternation."""
+    _check(patterns)
+    alone = [p for p in patterns if _OWN_GROUPS.search(p)]
+    folded = "|".join(f"(?:{p})" for p in patterns if p not in alone)
+    return reduce(lambda a, b: a | b, [url.rlike(p) for p in [*([folded] if folded else []), *alone]])
 
 
 def in_scope(url: Column | str, rules: Rules) -> Column:
@@ -74,18 +84,18 @@ def in_scope(url: Column | str, rules: Rules) -> Column:
     u = F.col(url) if isinstance(url, str) else url
     if rules.mode == "exact":
         keep = u.startswith("http://") | u.startswith("https://")
-        test = u.contains
+        any_of = _any_text
         if rules.base_domain:
             keep = keep & (U.netloc(u) == rules.base_domain)
     else:
         keep = u.isNotNull()
-        test = lambda p: F.rlike(u, F.lit(p) if isinstance(p, str) else p)
+        any_of = _any_regex
         if rules.base_domain:
             keep = keep & U.netloc(u).contains(rules.base_domain)
     if rules.exclude:
-        keep = keep & ~_any(rules.exclude, test)
+        keep = keep & ~any_of(u, rules.exclude)
     if rules.valid:
-        keep = keep & _any(rules.valid, test)
+        keep = keep & any_of(u, rules.valid)
     return keep
 
 
@@ -115,5 +125,5 @@ def filter_wiki_links(df: DataFrame, rules: Rules, col: str = "url", pages_only:
     if rules.base_domain:
         kept = kept.where(u.contains(rules.base_domain))
     if rules.exclude:
-        kept = kept.where(~_any(rules.exclude, lambda p: F.rlike(u, F.lit(p) if isinstance(p, str) else p)))
+        kept = kept.where(~_any_regex(u, rules.exclude))
     return kept

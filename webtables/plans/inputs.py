@@ -75,8 +75,8 @@ _URL_SHAPES = (
     "origin || '/wiki/spaces/S' || (page_id % 3)",
     "origin || '/display/S/My%20Page%C3%A9+' || page_id || '%zz'",
     "origin || '/a/' || (100000 + page_id) || '.html'",
-    "origin || '/wiki/n' || (page_id % 50)",
-    "origin || '/docs/n' || (page_id % 50)",
+    "origin || '/wiki/n' || length(url) || left(md5(origin), 2)",
+    "origin || '/docs/n' || length(url) || left(md5(origin), 2)",
     "origin",
     "origin || '//x/../y/./' || page_id || '#frag'",
     "'mailto:u' || page_id || '@h.example.com'",
@@ -209,9 +209,9 @@ _RESOURCE_URL = (
 
 
 def resources(spark: SparkSession, sf: str) -> DataFrame:
-    """downloaded_resources out of parts; small parts are not stored yet."""
+    """downloaded_resources out of parts."""
     url = F.expr(_RESOURCE_URL.format(pk="p_partkey"))
-    rows = table(spark, sf, "part").where("p_size > 10").select(
+    rows = table(spark, sf, "part").select(
         url.alias("url"), F.concat(F.lit("out/shared_resources/r"), F.col("p_partkey").cast("string")).alias("local_path"),
         F.when(F.col("p_partkey") % 11 != 0, F.col("p_size").cast("bigint") * 1000).alias("file_size"),
         (F.col("p_partkey") % 3 != 0).alias("is_transversal"),
@@ -226,7 +226,7 @@ _TYPE_SQL = """CASE WHEN contains(lower(url), '.css') THEN 'css' WHEN contains(l
 RESOURCES = (
     "res0 AS (SELECT " + _RESOURCE_URL.format(pk="p_partkey") + " AS url, 'out/shared_resources/r' || p_partkey AS local_path, "
     "CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS BIGINT) * 1000 END AS file_size, p_partkey % 3 <> 0 AS is_transversal "
-    f"FROM part WHERE p_size > 10), resources AS (SELECT *, {_TYPE_SQL} AS resource_type FROM res0)"
+    f"FROM part), resources AS (SELECT *, {_TYPE_SQL} AS resource_type FROM res0)"
 )
 
 
@@ -236,6 +236,17 @@ def resource_uses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page_id"), url.alias("url"))
 
 
+def stored_resources(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry of the look-up queries. What is not stored is their subject, so it lacks the small parts."""
+    small = table(spark, sf, "part").where("p_size <= 10")
+    lost = small.select(F.concat(F.lit("out/shared_resources/r"), F.col("p_partkey").cast("string")).alias("local_path"))
+    return resources(spark, sf).join(lost, "local_path", "left_anti")
+
+
+STORED_RESOURCES = RESOURCES + """, stored AS (SELECT r.* FROM resources r
+  ANTI JOIN (SELECT 'out/shared_resources/r' || p_partkey AS local_path FROM part WHERE p_size <= 10) USING (local_path))"""
+
+
 RESOURCE_USES = "uses AS (SELECT l_suppkey AS page_id, " + _RESOURCE_URL.format(pk="l_partkey") + " AS url FROM lineitem)"
 
 

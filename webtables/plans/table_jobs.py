@@ -29,7 +29,7 @@ def join_unseen(spark, sf):
 
 
 def join_unfetched_resources(spark, sf):
-    return L.unfetched(I.resource_uses(spark, sf), I.resources(spark, sf)).groupBy("url").agg(F.count("*").alias("n_uses"))
+    return L.unfetched(I.resource_uses(spark, sf), I.stored_resources(spark, sf)).groupBy("url").agg(F.count("*").alias("n_uses"))
 
 
 def join_path_lookup(spark, sf):
@@ -38,7 +38,7 @@ def join_path_lookup(spark, sf):
 
 
 def join_resource_path(spark, sf):
-    refs, known = I.resource_uses(spark, sf), I.resources(spark, sf)
+    refs, known = I.resource_uses(spark, sf), I.stored_resources(spark, sf)
     every = L.lookup_resources(refs, known).groupBy("url", "local_path").agg(F.count("*").alias("n_uses"))
     shared = L.lookup_resources(refs.distinct(), known, transversal_only=True).select("url", "local_path").distinct()
     return every.join(shared.withColumnRenamed("local_path", "transversal_path"), "url")
@@ -47,12 +47,12 @@ def join_resource_path(spark, sf):
 def fk_audit(spark, sf):
     """Wiki pages (as saved versions) whose document was never stored, and line items without a part."""
     meta = I.page_versions(spark, sf).select("url").distinct()
-    docs = I.table(spark, sf, "documents").where("lang <> 'fr'").select(
+    docs = I.table(spark, sf, "documents").select(
         F.concat(F.lit("https://wiki.example.com/pages/"), F.col("doc_id").cast("string")).alias("url")
     )
     lost = L.orphans(meta, docs, "url", "url").select(F.lit("metadata").alias("child"), "url")
     uses = I.resource_uses(spark, sf).select("url").distinct()
-    return lost.unionByName(L.orphans(uses, I.resources(spark, sf), "url", "url").select(F.lit("use").alias("child"), "url"))
+    return lost.unionByName(L.orphans(uses, I.stored_resources(spark, sf), "url", "url").select(F.lit("use").alias("child"), "url"))
 
 
 # --- frontier ------------------------------------------------------------------------------
@@ -73,14 +73,13 @@ def _space_listing(spark, sf):
 
 
 def frontier_space(spark, sf):
-    """A frontier of three space indexes and every English page, one hop down."""
+    """A frontier of every page and of the indexes of those spaces that hold an odd number of pages, one hop down."""
     docs = I.table(spark, sf, "documents")
     key = F.upper("source")
     base = F.lit("https://wiki.example.com/wiki/spaces/")
-    index = docs.where("source IN ('src1', 'src2', 'src3')").select(
-        F.concat(base, key, F.when(F.col("source") == "src2", "").otherwise("/overview")).alias("url"), F.lit(2).alias("depth")
-    ).distinct()
-    own = docs.where("lang = 'en'").select(
+    odd = docs.groupBy("source").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    index = odd.select(F.concat(base, key, F.when(F.col("n") % 3 == 0, "").otherwise("/overview")).alias("url"), F.lit(2).alias("depth"))
+    own = docs.select(
         F.concat(base, key, F.lit("/pages/"), F.col("doc_id").cast("string"), F.lit("#top")).alias("url"), F.lit(1).alias("depth")
     )
     return FR.expand_spaces(index.unionByName(own), _space_listing(spark, sf))
@@ -133,10 +132,10 @@ def upsert_replace(spark, sf):
 
 
 def upsert_attachments(spark, sf):
-    """Line items as attachment saves: page = order, attachment = part, last save wins."""
+    """Line items as attachment saves: page = supplier, attachment = part, last save wins."""
     saves = I.table(spark, sf, "lineitem").select(
-        F.concat(F.lit("https://wiki.example.com/pages/"), (F.col("l_orderkey") % 500).cast("string")).alias("page_url"),
-        (F.col("l_partkey") % 50).cast("string").alias("attachment_id"),
+        F.concat(F.lit("https://wiki.example.com/pages/"), F.col("l_suppkey").cast("string")).alias("page_url"),
+        F.col("l_partkey").cast("string").alias("attachment_id"),
         F.col("l_quantity").cast("bigint").alias("file_size_api"),
         F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
     )
@@ -205,21 +204,21 @@ ORACLE = {
     "join_unseen": f"""WITH {I.DISCOVERED_NEW}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}
       SELECT DISTINCT parent_url AS clean_url, clean_url AS found_on FROM discovered_new
       WHERE parent_url IS NOT NULL AND parent_url NOT IN (SELECT clean_url FROM docs)""",
-    "join_unfetched_resources": f"WITH {I.RESOURCE_USES}, {I.RESOURCES} SELECT url, count(*) AS n_uses FROM uses WHERE url NOT IN (SELECT url FROM resources) GROUP BY url",
+    "join_unfetched_resources": f"WITH {I.RESOURCE_USES}, {I.STORED_RESOURCES} SELECT url, count(*) AS n_uses FROM uses WHERE url NOT IN (SELECT url FROM stored) GROUP BY url",
     "join_path_lookup": f"""WITH {I.DISCOVERED_NEW}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}
       SELECT d.url, d.clean_url, coalesce(local_path, 'unknown') AS local_path FROM discovered_new d LEFT JOIN docs ON d.clean_url = docs.clean_url""",
-    "join_resource_path": f"""WITH {I.RESOURCE_USES}, {I.RESOURCES} SELECT u.url, local_path, CASE WHEN is_transversal THEN local_path END AS transversal_path, count(*) AS n_uses
-      FROM uses u LEFT JOIN resources r ON u.url = r.url GROUP BY ALL""",
-    "fk_audit": f"""WITH {I.PAGE_VERSIONS}, {I.RESOURCE_USES}, {I.RESOURCES}
-      SELECT DISTINCT 'metadata' AS child, url FROM versions WHERE url NOT IN (SELECT 'https://wiki.example.com/pages/' || doc_id FROM documents WHERE lang <> 'fr')
-      UNION ALL SELECT DISTINCT 'use', url FROM uses WHERE url NOT IN (SELECT url FROM resources)""",
+    "join_resource_path": f"""WITH {I.RESOURCE_USES}, {I.STORED_RESOURCES} SELECT u.url, local_path, CASE WHEN is_transversal THEN local_path END AS transversal_path, count(*) AS n_uses
+      FROM uses u LEFT JOIN stored r ON u.url = r.url GROUP BY ALL""",
+    "fk_audit": f"""WITH {I.PAGE_VERSIONS}, {I.RESOURCE_USES}, {I.STORED_RESOURCES}
+      SELECT DISTINCT 'metadata' AS child, url FROM versions WHERE url NOT IN (SELECT 'https://wiki.example.com/pages/' || doc_id FROM documents)
+      UNION ALL SELECT DISTINCT 'use', url FROM uses WHERE url NOT IN (SELECT url FROM stored)""",
     "frontier_bfs": f"""WITH RECURSIVE {I.LINK_GRAPH}, walk AS (SELECT 's0' AS url, 0 AS depth FROM supplier WHERE s_suppkey = 0
         UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3),
       best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
       SELECT b.url AS clean_url, b.depth, min(p.url) AS parent_url FROM best b LEFT JOIN edges e ON e.dst = b.url AND b.depth > 0
       LEFT JOIN best p ON p.url = e.src AND p.depth = b.depth - 1 GROUP BY ALL""",
-    "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents WHERE lang = 'en'
-        UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents WHERE source IN ('src1', 'src2', 'src3'))
+    "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents
+        UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 1))
       SELECT url, min(depth) AS depth FROM f GROUP BY url""",
     "frontier_pending": f"WITH {I.DISCOVERED} SELECT url, depth FROM discovered WHERE status = 'pending' ORDER BY depth, discovered_at, url LIMIT 500",
     "frontier_resume": f"WITH {I.DISCOVERED} SELECT url, depth FROM discovered WHERE status = 'pending'",
@@ -230,7 +229,7 @@ ORACLE = {
       QUALIFY row_number() OVER (PARTITION BY clean_url ORDER BY ts DESC, event_id DESC) = 1)
       SELECT clean_url AS url, file_size, CASE WHEN NOT late THEN CAST(k % 5 AS INTEGER) END AS depth, CASE WHEN late THEN 0 ELSE 3 END AS links_extracted,
         {_TS.format(c='ts')} AS downloaded_at, event_id FROM r""",
-    "upsert_attachments": """WITH s AS (SELECT 'https://wiki.example.com/pages/' || (l_orderkey % 500) AS page_url, CAST(l_partkey % 50 AS VARCHAR) AS attachment_id,
+    "upsert_attachments": """WITH s AS (SELECT 'https://wiki.example.com/pages/' || l_suppkey AS page_url, CAST(l_partkey AS VARCHAR) AS attachment_id,
         CAST(l_quantity AS BIGINT) AS file_size_api, l_orderkey AS batch, l_linenumber AS line, l_partkey AS part FROM lineitem)
       SELECT page_url, attachment_id, file_size_api, batch, line FROM s
       QUALIFY row_number() OVER (PARTITION BY page_url, attachment_id ORDER BY batch % 2 DESC, batch DESC, line DESC, part DESC, file_size_api DESC) = 1""",
