@@ -28,7 +28,7 @@ from webtables.llm.exchange import BLOBS, arrow_schema, bucket_count, by_bucket,
 from webtables.llm.windows import _grouped, plain
 
 SHINGLE = 5
-SKETCH_BITS = 512
+LEAST_BITS = 512
 FIRST = "kind int, doc_id long, n long, d1 long, d2 long, sketch binary, blob binary"
 
 
@@ -96,12 +96,31 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
-def _sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    rows = len(first) - 1
-    row = np.repeat(np.arange(rows), np.diff(first))
-    bit = (A.mix(h + np.uint64(1)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(row * SKETCH_BITS + bit, minlength=rows * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1)
+def _sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: bit i is set if an odd number of its hashes fall on i.
+
+    A sketch has at least two bits per shingle (a power of two, LEAST_BITS or more), so sets that
+    differ much have sketches that differ much, however large they are.
+    """
+    n = np.diff(first)
+    bits = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + (A.mix(h + np.uint64(1)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[s // 8 : e // 8] for s, e in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _folded(m: np.ndarray, width: int) -> np.ndarray:
+    """The same sketches with fewer bits."""
+    while m.shape[1] > width:
+        half = m.shape[1] // 2
+        m = m[:, :half] ^ m[:, half:]
+    return m
 
 
 def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +143,7 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
             bucket, blob = [], []
             for b, at in _grouped(ids % buckets, np.arange(len(ids))):
                 bucket.append(b)
-                blob.append(A.pack(ids[at], n[at], d1[at], d2[at], sketch[at].tobytes()))
+                blob.append(A.pack(ids[at], n[at], d1[at], d2[at], np.array([len(sketch[i]) for i in at]), b"".join([sketch[i] for i in at])))
             _, lead = np.unique(np.stack([d1, d2], 1), axis=0, return_index=True)
             chosen = np.zeros(len(n), bool)
             chosen[lead] = True
@@ -143,12 +162,13 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
         sig, doc = [], []
         for raw in held:
             x = A.unpack(raw)
-            if len(x) == 5:
+            if len(x) == 6:
                 n = len(x[0])
-                size = SKETCH_BITS // 8
+                cut = np.cumsum(x[4])
+                sketch = [x[5][e - size : e] for e, size in zip(cut.tolist(), x[4].tolist())]
                 none = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), pa.array(x[0]), pa.array(x[1]), pa.array(x[2].view(np.int64)), pa.array(x[3].view(np.int64)), pa.array([x[4][i : i + size] for i in range(0, n * size, size)], pa.binary()), none],
+                    [pa.array(np.zeros(n, np.int32)), pa.array(x[0]), pa.array(x[1]), pa.array(x[2].view(np.int64)), pa.array(x[3].view(np.int64)), pa.array(sketch, pa.binary()), none],
                     schema=out,
                 )
             else:
@@ -202,8 +222,14 @@ def _within_bounds(percent: int):
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("s_a", "s_b"))
-            far = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
+            sa, sb = (batch.column(c).to_pylist() for c in ("s_a", "s_b"))
+            sizes = np.array([(len(x), len(y)) for x, y in zip(sa, sb)])
+            far = np.zeros(len(na), np.int64)
+            for kind in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == kind).all(1))
+                width = int(kind.min()) // 8
+                x, y = (_folded(_matrix([s[i] for i in at]), width) for s in (sa, sb))
+                far[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             ok = (far * slack[1] <= (na + nb) * slack[0]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
@@ -216,14 +242,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     def sets(batches: Iterator) -> Iterator:
         for part in A.slices(batches, "text"):
             h, first = shingle_sets(*A.text_bytes(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([A.pack(np.diff(h[s:e], prepend=np.uint64(0))) for s, e in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "items"])
 
     def check(batches: Iterator) -> Iterator:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.cumsum(A.unpack(x)[0]), np.cumsum(A.unpack(y)[0])])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(both) - common) and common > 0)
@@ -244,20 +269,32 @@ def _in_group(percent: int):
         _, lead = np.unique(rep, return_index=True)
         order = lead[np.argsort(n[lead], kind="stable")]
         n, rep, comp = n[order], rep[order], comp[order]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)[order]
+        sketches = table.column("sketch").take(pa.array(order)).to_pylist()
+        size = np.array([len(x) for x in sketches])
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(n)):
-            stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            rest = slice(i + 1, stop)
-            far = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=np.int64)
-            hit = np.flatnonzero((comp[rest] != comp[i]) & (far * (100 + percent) <= (n[rest] + n[i]) * (100 - percent))) + i + 1
-            a.append(np.minimum(rep[hit], rep[i]))
-            b.append(np.maximum(rep[hit], rep[i]))
+        # Larger sets never have smaller sketches; each block of one sketch size meets itself and the later ones.
+        for kind in np.unique(size):
+            own = np.flatnonzero(size == kind)
+            reach = int(np.searchsorted(n, n[own[-1]] * 100 // percent, "right"))
+            near = _folded_rows(sketches[own[0] : reach], int(kind) // 8)
+            for k, i in enumerate(own.tolist()):
+                stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+                rest = np.flatnonzero(comp[i + 1 : stop] != comp[i]) + i + 1
+                far = np.bitwise_count(near[rest - own[0]] ^ near[k]).sum(1, dtype=np.int64)
+                hit = rest[far * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
+                a.append(np.minimum(rep[hit], rep[i]))
+                b.append(np.maximum(rep[hit], rep[i]))
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return task
 
 
+def _folded_rows(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches in ascending size, all folded to one width."""
+    size = np.array([len(x) for x in sketches])
+    return np.concatenate([_folded(_matrix([sketches[i] for i in np.flatnonzero(size == kind)]), width) for kind in np.unique(size)])
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest reachable document).
 
