@@ -38,6 +38,8 @@ RAW = set("script style noscript template iframe textarea title svg math object"
 AROUND = set(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus foot footer login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words in class or id that mark the article itself where no article element does.
+INSIDE = set("article content entry post story".split())
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
@@ -140,7 +142,7 @@ def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
             continue
         _, container, skipped, inside = stack[-1]
         skipped = skipped or tag in SKIPPED or _around(near, tag, inside)
-        inside = inside or tag in ("article", "main")
+        inside = inside or tag in ("article", "main") or _says(near, INSIDE, ("class", "id"))
         if tag in CONTAINERS:
             name = ".".join([tag, *sorted({re.sub(r"\d+", "", c.lower()) for c in near.get("class", "").split()} - {""})])
             containers.append((f"{containers[container][0]}>{name}", container))
@@ -157,12 +159,11 @@ def _around(near: dict[str, str], tag: str, inside: bool) -> bool:
         return False
     if "hidden" in near or near.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(near.get("style", "")):
         return True
-    for value in (near.get("class"), near.get("id"), near.get("role")):
-        if value:
-            found = {w.lower() for w in _WORD.findall(value)}
-            if found & AROUND or ("header" in found and not inside):
-                return True
-    return False
+    return _says(near, AROUND, ("class", "id", "role")) or (not inside and _says(near, {"header"}, ("class", "id", "role")))
+
+
+def _says(near: dict[str, str], words: set[str], names: tuple[str, ...]) -> bool:
+    return any(name in near and words & {w.lower() for w in _WORD.findall(near[name])} for name in names)
 
 
 def scores(blocks: list, containers: list) -> list[float]:
@@ -171,7 +172,7 @@ def scores(blocks: list, containers: list) -> list[float]:
     for text, link, container in blocks:
         worth = float(len(text) - link)
         for share in (1.0, 0.5):
-            if container > 0:
+            if container >= 0:
                 out[container] += share * worth
                 container = containers[container][1]
     return out
@@ -208,7 +209,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 own = scores(blocks, containers)
                 whole = sum(own)
                 for (path, _), value in zip(containers, own):
-                    if value > 0:
+                    if value > 0 and path:
                         total[host, path] = total.get((host, path), 0.0) + value / whole
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], schema=schema)
 
