@@ -53,3 +53,17 @@ def test_dedup_and_stalled(spark, tmp_path):
         if a == "claim" and not any(v == u and t <= e <= t + timedelta(seconds=60) for v, e in ends):
             (want if t + timedelta(seconds=60) < last else open_yet).add(i)
     assert want <= got <= want | open_yet
+
+
+def test_stalled_claims_do_not_depend_on_files_or_their_order(spark, tmp_path):
+    """Several unsorted files, one per micro-batch, against all events at once."""
+    late = [("last", "claim", T0 + timedelta(days=2), 1000, None, 0), ("last", "complete", T0 + timedelta(days=2), 1001, None, 0)]
+    events = rows(0, 120)
+    found = []
+    for name, parts in (("one", [events + late]), ("many", [events[k::4][::-1] for k in range(4)] + [late])):
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, LOG).coalesce(1).write.parquet(f"{tmp_path}/{name}/part{k}")
+        stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+        J.to_batches(J.stream_stalled(stream, "60 seconds", "2 hours"), f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-ck").awaitTermination()
+        found.append(sorted(r.claim_id for r in J.read_batches(spark, f"{tmp_path}/{name}-out").collect()))
+    assert found[0] == found[1] and len(found[0]) > 5

@@ -70,10 +70,9 @@ def pending(discovered: DataFrame, limit: int | None = None) -> DataFrame:
 def resume(discovered: DataFrame, seed: str) -> DataFrame:
     """Pending URLs if there are any, else the seed."""
     waiting = discovered.where("status = 'pending'").select("url", "depth")
-    if not waiting.isEmpty():
-        return waiting
-    start = discovered.sparkSession.range(1).select(F.lit(seed).alias("url"), F.lit(0).alias("depth"))
-    return start
+    # One row, and only when nothing waits: part of the same plan, so no job runs before it.
+    start = waiting.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(seed).alias("url"), F.lit(0).alias("depth"))
+    return waiting.unionByName(start)
 
 
 def new_links_per_page(discovered: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ from webtables.session import checkpoint_dir, prepare
 from webtables.streaming import jobs as J
 
 
+# Files that one micro-batch reads at most; the rest waits for the next one.
+FILES_PER_TRIGGER = 64
+# How far events may arrive out of order.
+LATE = "1 day"
+
+
 def _room(spark) -> str:
     """A fresh folder in the shared checkpoint directory."""
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -20,7 +26,8 @@ def _room(spark) -> str:
 
 def _stream(spark, sf, name):
     batch = I.table(spark, sf, name)
-    return prepare(spark).readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    stream = prepare(spark).readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet")
+    return stream.option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(sf)
 
 
 def _run(stream, room, mode="append"):
@@ -54,8 +61,8 @@ def stream_progress(spark, sf):
 
 
 def stream_timeout(spark, sf):
-    """Claims of the log that nothing ended within twelve hours."""
-    stalled = J.stream_stalled(I.log_of(_stream(spark, sf, "events")), "12 hours", "0 seconds")
+    """Claims of the log that nothing ended within twelve hours, as far as the watermark has come."""
+    stalled = J.stream_stalled(I.log_of(_stream(spark, sf, "events")), "12 hours", LATE)
     return _run(stalled, _room(spark)).withColumn("claimed_at", F.date_format("claimed_at", I.TS_FORMAT))
 
 
@@ -68,7 +75,7 @@ ORACLE = {
     "stream_progress": f"""WITH {I.CRAWL_LOG} SELECT strftime(date_trunc('hour', ts), '{I.TS_FORMAT_SQL}') AS window_start, count(*) FILTER (action = 'complete') AS pages,
       coalesce(sum(file_size) FILTER (action = 'complete'), 0)::BIGINT AS bytes, count(*) FILTER (action = 'fail') AS errors FROM log GROUP BY 1""",
     "stream_timeout": f"""WITH {I.CRAWL_LOG}, ends AS (SELECT clean_url, ts FROM log WHERE action IN ('complete', 'fail')),
-      claims AS (SELECT clean_url, ts, event_id FROM log WHERE action = 'claim'), seen AS (SELECT least((SELECT max(ts) FROM claims), (SELECT max(ts) FROM ends)) AS until)
+      claims AS (SELECT clean_url, ts, event_id FROM log WHERE action = 'claim'), seen AS (SELECT least((SELECT max(ts) FROM claims), (SELECT max(ts) FROM ends)) - INTERVAL '{LATE}' AS until)
       SELECT clean_url, strftime(ts, '{I.TS_FORMAT_SQL}') AS claimed_at, event_id AS claim_id FROM claims c, seen WHERE ts + INTERVAL 12 HOUR < until
       AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.clean_url = c.clean_url AND e.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOUR)""",
 }

@@ -62,14 +62,3 @@ def write_documents(docs: DataFrame, path: str, by: str = "host", per_file: int
         .partitionBy(by)
         .parquet(path)
     )
-
-
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """A new version directory; a path that may be read from is never overwritten in place."""
-    path = f"{root}/v={version:012d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={version:012d}")

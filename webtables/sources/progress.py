@@ -9,6 +9,7 @@ from webtables import schema as S
 from webtables.functions import urls as U
 from webtables.operators import tracker as T
 from webtables.operators.resources import resource_type
+from webtables.session import cut_lineage
 
 
 def stored_files(spark: SparkSession, root: str) -> DataFrame:
@@ -33,13 +34,16 @@ def import_progress(spark: SparkSession, path: str, files: DataFrame | None = No
         F.coalesce("download_queue", "url_queue").alias("queue"),
         "url_to_filename", "downloaded_resources", "transversal_resources",
     )
+    # Each file is parsed once; the outputs below read only their columns of this table.
+    raw = cut_lineage(raw)
     sizes = files if files is not None else spark.createDataFrame([], "local_path string, file_size bigint")
 
     def entries(column: str, key: str) -> DataFrame:
         return raw.select("file", F.explode(column).alias(key, "local_path"))
 
     def with_size(df: DataFrame) -> DataFrame:
-        return df.withColumn("local_path", F.coalesce("local_path", F.lit(""))).join(sizes, "local_path", "left")
+        # A missing path stays NULL in the join, so paths that are missing do not meet in one key.
+        return df.join(sizes, "local_path", "left").withColumn("local_path", F.coalesce("local_path", F.lit("")))
 
     done = raw.select("file", F.posexplode("urls").alias("pos", "url")).join(entries("url_to_filename", "url"), ["file", "url"], "left")
     done = with_size(done.select("file", "pos", U.clean_url("url").alias("clean_url"), "local_path"))
