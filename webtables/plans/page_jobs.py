@@ -31,7 +31,7 @@ def html_links(spark, sf):
 
 
 def html_strip_active(spark, sf):
-    return C.assemble(C.strip_active(tokenize(I.rich_pages(spark, sf))))
+    return C.strip_active(I.rich_pages(spark, sf))
 
 
 def _main_tokens(spark, sf):

@@ -164,8 +164,7 @@ def _bodies(spark, sf):
 
 
 def _derived(spark, sf):
-    bodies = _bodies(spark, sf)
-    stats = C.content_stats(bodies).join(bodies.select("page_id", "url"), "page_id")
+    stats = C.content_stats(_bodies(spark, sf), keep=("url",))
     return W.derived_stats(W.metadata_table(_meta(spark, sf)), _atts(spark, sf), stats, I.AS_OF)
 
 
