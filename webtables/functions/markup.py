@@ -26,13 +26,22 @@ VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 )
 
-# The references of HTML 4 mark-up itself, found without the table.
-COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbsp;": "\u00a0"}
-# Names that HTML decodes without a semicolon as well, and the longest of them.
-BARE = {k: v for k, v in html5.items() if not k.endswith(";")}
-_LONGEST = max(map(len, BARE))
-# What browsers read for the numbers 128 to 159: the Windows-1252 characters, where there are any.
-_LOW = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+def _read_number(n: int) -> str:
+    """What HTML reads for the numbers 0 to 159: most control characters are dropped, 128 to 159 are Windows-1252."""
+    if n in (0, 13):
+        return "\ufffd\r"[n == 13]
+    if n >= 0x80:
+        return bytes([n]).decode("cp1252", "ignore") or chr(n)
+    return "" if n < 9 or n == 11 or 14 <= n < 32 or n == 127 else chr(n)
+
+
+# Names with their semicolon, the ones of mark-up itself first as they are looked up most; names
+# that HTML decodes without a semicolon as well, longest first; and the low numbers.
+FULL = {k: html5[k] for k in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")} | {k: v for k, v in html5.items() if k.endswith(";")}
+BARE = {k: html5[k] for k in sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)}
+LOW = {str(n): _read_number(n) for n in range(0xA0)}
+_BARE = f"^(?>{'|'.join(BARE)})"
+_NUMBER = "^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?"
 
 
 def hidden_pattern(tags: tuple[str, ...]) -> str:
@@ -110,52 +119,35 @@ def _code_point(number: Column) -> Column:
 
 def _numeric(p: Column) -> Column:
     """The character of '#65;' or '#x41' at the start of ``p``; '' for those HTML forbids, NULL without one."""
-    dec = F.regexp_replace(F.regexp_extract(p, "^#([0-9]+)", 1), "^0+(?=.)", "")
-    hexa = F.regexp_replace(F.regexp_extract(p, "^#[xX]([0-9A-Fa-f]+)", 1), "^0+(?=.)", "")
-    far = F.lit(0x110000)
-    number = F.when(dec != "", F.when(F.length(dec) > 7, far).otherwise(dec.cast("int"))).when(
-        hexa != "", F.when(F.length(hexa) > 6, far).otherwise(F.conv(hexa, 16, 10).cast("int"))
-    )
-    forbidden = (
-        number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
-        | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE)
+    digits = F.upper(F.regexp_extract(p, "^#(?:[xX]0*+([0-9A-Fa-f]*)|0*+([0-9]*))", 0))
+    digits = F.regexp_replace(digits, "^#(X?)0+(?=.)", "#$1")
+    number = F.when(F.length(digits) > 9, 0x110000).otherwise(
+        F.when(digits.startswith("#X"), F.conv(F.substring(digits, 3, 9), 16, 10)).otherwise(F.substring(digits, 2, 9)).cast("int")
     )
-    low = F.element_at(_table({str(n): c for n, c in _LOW.items()}), number.cast("string"))
+    outside = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
     return (
-        F.when(number.isNull(), None)
-        .when((number == 0) | (number == 13) | number.between(0x80, 0x9F), low)
-        .when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
-        .when(forbidden, "")
+        F.when(number < 0xA0, F.element_at(_table(LOW), number.cast("string")))
+        .when(outside, "\ufffd")
+        .when(number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE), "")
         .otherwise(_code_point(number))
     )
 
 
 def _named(p: Column, in_attribute: bool) -> Column:
     """(decoded name + rest) of a piece after '&'; NULL without a known name."""
-    name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*;)", 1)
-    found = F.lit(None).cast("string")
-    for ref, char in COMMON.items():
-        found = F.when(name == ref, char).otherwise(found)
-    found = F.coalesce(found, F.when(name != "", F.element_at(_table({k: v for k, v in html5.items() if k.endswith(";")}), name)))
-    whole = F.concat(found, F.substring(p, F.length(name) + 1, F.length(p)))
-    bare = F.lit(None).cast("string")
-    table = _table(BARE)
-    for size in range(2, _LONGEST + 1):
-        char, rest = F.element_at(table, F.substring(p, 1, size)), F.substring(p, F.lit(size + 1), F.length(p))
-        known = (F.length(p) >= size) & char.isNotNull()
-        if in_attribute:  # '&copy=1' in a URL is a parameter, not a sign
-            known = known & ~rest.rlike("^[=A-Za-z0-9]")
-        bare = F.when(known, F.concat(char, rest)).otherwise(bare)
-    return F.coalesce(whole, F.when(p.rlike("^[A-Za-z]"), bare))
+    # In an attribute '&copy=1' is a parameter of a URL, not a sign.
+    bare = _BARE + ("(?![=A-Za-z0-9])" if in_attribute else "")
+    full = F.element_at(_table(FULL), F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*;", 0))
+    short = F.element_at(_table(BARE), F.regexp_extract(p, bare, 0))
+    return F.coalesce(F.concat(full, F.regexp_replace(p, "^[A-Za-z0-9]*;", "")), F.concat(short, F.regexp_replace(p, bare, "")))
 
 
 def unescape(text: Column, in_attribute: bool = False) -> Column:
     """Decode all character references as HTML does; text without '&' passes untouched."""
 
     def piece(p: Column) -> Column:
-        rest = F.regexp_replace(p, "^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
-        number = F.when(p.startswith("#"), F.concat(_numeric(p), rest))
-        return F.coalesce(number, F.when(~p.startswith("#"), _named(p, in_attribute)), F.concat(F.lit("&"), p))
+        number = F.concat(_numeric(p), F.regexp_replace(p, _NUMBER, ""))
+        return F.coalesce(F.when(p.rlike(_NUMBER), number).otherwise(_named(p, in_attribute)), F.concat(F.lit("&"), p))
 
     def whole(t: Column) -> Column:
         parts = F.split(t, "&")

@@ -44,6 +44,11 @@ SNIPPET = (
     """<a href="../up/' || page_id || '?q=1#f" title="a > b">up</a><a href="https://other.example.org/x">o</a>"""
     """<script-loader data-x="1"></script-loader><p>caf&eacute; &copy; &hellip; &#150; &#00000000065;</p>"""
     """<!-- <title>old</title> --><noscript-x>kept</noscript-x>"""
+    """<h3>Part *one*</h3><ol><li>first<ul><li>deep_er</li></ul></li><li>second</li></ol><pre><code>a  b
+
+ c</code></pre>"""
+    """<blockquote><p>said <code>so_much</code></p></blockquote><a href="/t" title="tip">t</a> <strong>s</strong><em>e</em>"""
+    """<a href="http://auto.example/">http://auto.example/</a><img src="/p.png" alt="p" title="pic">"""
     """<ul><li>one</li><li>two &amp; three</li></ul></article>'"""
 )
 

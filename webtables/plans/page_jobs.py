@@ -243,6 +243,67 @@ _DOC_SQL = """SELECT doc_id, 'https://wiki.example.com/pages/' || doc_id AS url,
   upper(source) AS space_key, 'Space ' || source AS space_name,
   CASE WHEN doc_id % 5 <> 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE 'N/A' END AS updated_when, text FROM documents"""
 
+_NL = "chr(10)"
+_BLOCK_TAGS = "'p', 'div', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'ul', 'ol', 'li', 'pre', 'blockquote', 'table', 'tr', 'td', 'th'"
+_HEADS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
+
+
+def _depth(tags: str) -> str:
+    return f"greatest(sum(CASE WHEN tag IN ({tags}) THEN CASE WHEN is_close THEN -1 ELSE 1 END ELSE 0 END) OVER o, 0)"
+
+
+def _last(value: str, tags: str, over: str = "o") -> str:
+    return f"last_value(CASE WHEN tag IN ({tags}) AND NOT is_close THEN {value} END IGNORE NULLS) OVER {over}"
+
+
+def _opened(tags: str, over: str = "o") -> str:
+    return f"sum(CASE WHEN tag IN ({tags}) AND NOT is_close THEN 1 ELSE 0 END) OVER {over}"
+
+
+def _hint(title: str) -> str:
+    return f"""CASE WHEN coalesce({title}, '') <> '' THEN ' "' || {title} || '"' ELSE '' END"""
+
+
+# Every token's context by running sums, one CASE per tag, the fragments joined and tidied.
+_O = "o AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+_D = "d AS (PARTITION BY page_id, list_ ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+_ALT, _SRC, _IMG_TITLE = D.attr("tok", "alt"), D.attr("tok", "src"), D.attr("tok", "title")
+_HREF = D.attr("tok", "href")
+_MARKDOWN = rf"""c1 AS (SELECT page_id, pos, tok, kind, tag, is_close, {_depth("'ul', 'ol'")} AS list_, {_depth("'blockquote'")} AS quote_, {_depth("'pre'")} AS pre_,
+    {_depth("'code'")} AS code_, {_depth(_HEADS)} AS head_, {_depth("'td', 'th'")} AS cell_, {_opened("'tr'")} AS rows_, {_opened("'td', 'th'")} AS cells_,
+    {_last(_HREF, "'a'")} AS href, {_last(_IMG_TITLE, "'a'")} AS title, lag(tag, 1, 'p') OVER b AS prev_, lead(tag, 1, 'p') OVER b AS next_,
+    lead(tok, 1) OVER b AS next_tok, lead(tag, 2) OVER b || CAST(lead(is_close, 2) OVER b AS VARCHAR) AS after_
+  FROM main_kept WINDOW {_O}, b AS (PARTITION BY page_id ORDER BY pos)),
+c2 AS (SELECT *, rows_ - coalesce({_last("rows_", "'table'")}, 0) AS row_no, cells_ - coalesce({_last("cells_", "'tr'")}, 0) AS row_cells,
+    {_last(f"({_HREF} <> '' AND next_tok = {_HREF} AND after_ = 'atrue')", "'a'")} AS auto_, {_opened("'li'", "d")} AS items_,
+    {D.unescape("tok")} AS plain FROM c1 WINDOW {_O}, {_D}),
+c3 AS (SELECT *, {_last("tag", "'ul', 'ol'", "d")} AS list_kind, {_last("items_", "'ul', 'ol'", "d")} AS list_n,
+    regexp_replace(plain, '\s+', ' ', 'g') AS flat0 FROM c2 WINDOW {_D}),
+c4 AS (SELECT *, CASE WHEN prev_ IN ({_BLOCK_TAGS}) THEN ltrim(flat0) ELSE flat0 END AS flat1 FROM c3),
+c5 AS (SELECT *, CASE WHEN next_ IN ({_BLOCK_TAGS}) THEN rtrim(flat1) ELSE flat1 END AS flat FROM c4),
+c6 AS (SELECT page_id, pos, quote_, CASE
+    WHEN kind = 'text' THEN CASE WHEN pre_ > 0 THEN regexp_replace(plain, '\r?\n', chr(57344), 'g') WHEN code_ > 0 THEN flat ELSE regexp_replace(flat, '([*_])', '\\\1', 'g') END
+    WHEN kind = 'decl' THEN ''
+    WHEN tag IN ('p', 'div') THEN CASE WHEN cell_ > 0 OR head_ > 0 THEN ' ' WHEN list_ > 0 AND (is_close OR prev_ = 'li') THEN ''
+      WHEN list_ > 0 THEN {_NL} || {_NL} || repeat('    ', list_::BIGINT) ELSE {_NL} || {_NL} END
+    WHEN tag IN ({_HEADS}) THEN CASE WHEN is_close THEN {_NL} || {_NL} ELSE {_NL} || {_NL} || repeat('#', CAST(substring(tag, 2, 1) AS BIGINT)) || ' ' END
+    WHEN tag = 'li' THEN CASE WHEN is_close THEN '' ELSE {_NL} || repeat('    ', greatest(list_ - 1, 0)::BIGINT) ||
+      CASE WHEN list_kind = 'ol' THEN CAST((items_ - list_n)::BIGINT AS VARCHAR) || '. ' ELSE '- ' END END
+    WHEN tag IN ('ul', 'ol') THEN CASE WHEN list_ - CASE WHEN is_close THEN 0 ELSE 1 END > 0 THEN '' ELSE {_NL} || {_NL} END
+    WHEN tag = 'a' THEN CASE WHEN coalesce(href, '') = '' THEN '' WHEN auto_ THEN CASE WHEN is_close THEN '>' ELSE '<' END
+      WHEN is_close THEN '](' || href || {_hint("title")} || ')' ELSE '[' END
+    WHEN tag = 'strong' THEN '**' WHEN tag = 'em' THEN '*' WHEN tag = 'code' AND pre_ = 0 THEN '`'
+    WHEN tag = 'pre' THEN CASE WHEN is_close THEN {_NL} || '```' || {_NL} || {_NL} ELSE {_NL} || {_NL} || '```' || {_NL} END
+    WHEN tag = 'blockquote' THEN {_NL} || {_NL}
+    WHEN tag = 'img' THEN CASE WHEN cell_ > 0 OR head_ > 0 THEN {_ALT} ELSE '![' || {_ALT} || '](' || {_SRC} || {_hint(_IMG_TITLE)} || ')' END
+    WHEN tag = 'table' THEN {_NL} || {_NL}
+    WHEN tag = 'tr' THEN CASE WHEN NOT is_close THEN {_NL} WHEN row_no = 1 THEN '|' || {_NL} || '|' || repeat(' --- |', row_cells::BIGINT) ELSE '|' END
+    WHEN tag IN ('td', 'th') THEN CASE WHEN is_close THEN ' ' ELSE '| ' END ELSE '' END AS frag0 FROM c5),
+c7 AS (SELECT page_id, pos, CASE WHEN quote_ > 0 THEN replace(frag0, {_NL}, {_NL} || repeat('> ', quote_::BIGINT)) ELSE frag0 END AS frag FROM c6),
+c8 AS (SELECT page_id, coalesce(string_agg(frag, '' ORDER BY pos), '') AS md FROM c7 GROUP BY page_id)
+SELECT page_id, replace(regexp_replace(regexp_replace(md, '(?:\n((?:> )*)){{2,}}', {_NL} || {_NL} || '\1', 'g'), '^\s+|\s+$', '', 'g'), chr(57344), {_NL}) AS markdown FROM c8"""
+
+
 ORACLE = {
     "html_tokens": f"WITH {D.tokens('pages')} SELECT page_id, pos, tok, kind, tag, is_close FROM tok",
     "html_links": f"WITH {_links('pages', valid=_IN_LINKS)} SELECT page_id, src, dst FROM found",
@@ -253,6 +314,7 @@ ORACLE = {
     "html_boilerplate": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_kept GROUP BY page_id",
     "html_title": f"""WITH {I.RICH_PAGES} SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page') AS title FROM rich""",
     "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
+    "html_markdown": f"{_MAIN}, {_MARKDOWN}",
     "md_header": f"""WITH d AS ({_DOC_SQL}) SELECT doc_id, 'html' AS mode, '# ' || title || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10)
       || '---' || chr(10) || chr(10) || text AS content FROM d UNION ALL SELECT doc_id, 'api', '# ' || title || chr(10) || chr(10) || '**Space:** ' || space_key || ' - ' || space_name
       || chr(10) || chr(10) || '**Page ID:** ' || doc_id || chr(10) || chr(10) || '**Last Updated:** ' || updated_when || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text FROM d""",
