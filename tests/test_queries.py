@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
+from webtables.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,9 @@ def test_query(spark, con, key):
     assert ok, message
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["page_id", "src", "dst"]
