@@ -281,6 +281,22 @@ def test_packing_round_trip(spark, docs, corpus, rng):
         assert len(sequences) <= 1 + 1.1 * sum(map(len, ids.values())) / capacity
 
 
+def test_units_give_the_tokens_of_whole_texts(rng):
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from webtables.llm import arrays as A
+
+    signs = ["a", "B", "é", "É", "ß", "×", "÷", "1", "٣", "½", "'", "’", "'s", "'LL", ".", ",", "<|endoftext|>", "<|", " ", "\n", "\u00a0", "\u0301", "日本", "\x1f", "\x85", "👍", "ﬁ", "ı", "“", "re", "e"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)] + ["It's 12,5% «ÉTÉ» l'été don't'll naïve", ""]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids, first = packing.Encoder(tokenizer_path()).ids(*A.text_bytes(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert ids.dtype == np.uint32
+
+
 def test_plan_places_every_piece_once(rng):
     for _ in range(30):
         counts = {rng.randint(1, 200): rng.randint(1, 50) for _ in range(rng.randint(0, 60))}

@@ -18,6 +18,8 @@ their rank within a length from counts per (length, salt), so no length is ranke
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,38 +36,77 @@ from webtables.llm.windows import plain
 CAPACITY = 4096
 END = 1
 GROUPS = 1024
-#: Words whose ids a task keeps between slices.
-MEMORY = 500_000
+#: Distinct units whose ids a worker keeps; then it starts anew.
+MEMORY = 400_000
 
+#: Kinds of bytes: letters, digits and all else; digits stand alone.
+_KIND = np.array([1 if chr(b).isalpha() or b >= 0x80 else 2 if b in range(0x30, 0x3A) else 3 for b in range(256)], np.uint8)
+#: Second bytes of the letters U+00C0 to U+00FF; two signs lie among them.
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
-class Encoder:
-    """Token ids of whole texts; each distinct word is tokenised once per task.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are
-    those of its words, one after the other.
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the stretches that the tokenizer treats one by one; ``first`` by row.
+
+    It drops white space and splits words into runs of letters, single digits and runs of other signs. That
+    split is made here for words of ASCII and Latin-1 letters; words with an apostrophe (contractions), with other
+    characters (which may compose, or be of another kind) or with a special token stay whole.
     """
+    s, e, _ = A.words(data, off)
+    if not len(s):
+        return s, e, np.zeros(len(off), np.int64)
+    after = np.append(data[1:], 0)
+    before = np.append(0, data[:-1])
+    pair = ((data == 0xC3) & _LATIN[after]) | ((before == 0xC3) & _LATIN[data])
+    odd = (data == 0x27) | ((data >= 0x80) & ~pair) | ((data == 0x3C) & (after == 0x7C))
+    sums = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+    plain = sums[e] == sums[s]
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    inside = np.zeros(len(data) + 1, np.int8)
+    np.add.at(inside, s[plain], 1)
+    np.add.at(inside, e[plain], -1)
+    cut &= np.cumsum(inside, dtype=np.int8).astype(bool)
+    cut[s] = True
+    starts = np.flatnonzero(cut[:-1])
+    word = np.searchsorted(s, starts, "right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), e[word])
+    return starts, ends, np.searchsorted(starts, off)
+
+
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
+
+
+class Encoder:
+    """Token ids of whole texts; each distinct unit is tokenised once while a worker remembers it."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = _KNOWN.setdefault(path, {})
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ``ids[first[d]:first[d + 1]]`` belong to row d."""
-        s, e, first = A.words(data, off)
-        text, s, _ = A.joined(data, s, e)
+        s, e, first = units(data, off)
+        text, s, _ = A.joined(A.LOWER[data], s, e)
         values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(text)).astype(np.int64)), pa.py_buffer(text)])
         coded = values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, distinct
-        for w, enc in zip(new, self.tokenizer.encode_batch([w[:-1].decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(enc.ids, np.uint32)
-        parts = [self.known[w] for w in distinct]
-        size = np.array([len(x) for x in parts], np.int64)
-        flat = np.concatenate([np.empty(0, np.uint32), *parts])
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = distinct
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for w, enc in zip(part, self.tokenizer.encode_batch([w[:-1].decode() for w in part], add_special_tokens=False)):
+                known[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+        parts = [known[w] for w in distinct]
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         start = np.cumsum(size) - size
         which = coded.indices.to_numpy()
         length = size[which]
