@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from webtables.functions.markup import VOID_TAGS
+from webtables.operators.content import BOILERPLATE_CLASSES
+
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _PARAM_SCHEMES = (
     "'', 'ftp', 'hdl', 'prospero', 'http', 'https', 'shttp', 'rtsp', 'rtsps', 'sip', 'sips', 'mms', 'sftp', 'tel'"
@@ -91,7 +94,7 @@ TOKEN = (
     """|<![^>]*(?:>|\\z)|[^<]+|<)"""
 )
 _VALUE = """(?:"[^"]*"|''[^'']*''|[^\\s>"'']+)"""
-VOID = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
+VOID = ", ".join(f"'{tag}'" for tag in VOID_TAGS)
 
 
 def hidden(tags: tuple[str, ...]) -> str:
@@ -129,7 +132,7 @@ def main(source: str = "tok") -> str:
     opens = f"tag <> '' AND NOT is_close AND tag NOT IN ({VOID}) AND tok NOT LIKE '%/>'"
     cls = f"(' ' || regexp_replace({attr('tok', 'class')}, '\\s+', ' ', 'g') || ' ')"
     bad = " OR ".join(
-        f"{cls} LIKE '% {c} %'" for c in ("page-metadata", "page-toolbar", "breadcrumbs", "space-tools-section", "aui-toolbar")
+        f"{cls} LIKE '% {c} %'" for c in BOILERPLATE_CLASSES
     )
     return f"""lv1 AS (SELECT *, sum(CASE WHEN {opens} THEN 1 WHEN tag <> '' AND is_close THEN -1 ELSE 0 END)
     OVER (PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth FROM {source}),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtables.operators import tracker as T
-from webtables.operators.resources import with_resource_type
+from webtables.operators.resources import RESOURCE_TYPES, with_resource_type
 from webtables.session import prepare
 from webtables.sources.pages import read_pages
 
@@ -224,9 +224,13 @@ def resources(spark: SparkSession, sf: str) -> DataFrame:
     return with_resource_type(rows)
 
 
-_TYPE_SQL = """CASE WHEN contains(lower(url), '.css') THEN 'css' WHEN contains(lower(url), '.js') OR contains(lower(url), '.javascript') THEN 'js'
-  WHEN regexp_matches(lower(url), '\\.(png|jpg|jpeg|gif|webp|svg|ico)') THEN 'image'
-  WHEN regexp_matches(lower(url), '\\.(woff|woff2|ttf|eot)') THEN 'font' ELSE 'other' END"""
+_TYPE_SQL = (
+    "CASE "
+    + " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(url), '{part}')" for part in parts) + f" THEN '{name}'" for name, parts in RESOURCE_TYPES
+    )
+    + " ELSE 'other' END"
+)
 
 RESOURCES = (
     "res0 AS (SELECT " + _RESOURCE_URL.format(pk="p_partkey") + " AS url, 'out/shared_resources/r' || p_partkey AS local_path, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from webtables.functions import urls as U
@@ -228,17 +230,14 @@ _REFS = f"""{I.RICH_PAGES}, {D.tokens('rich')},
 ref0 AS (SELECT *, {D.clean_url('url')} AS src, {_REF} AS ref, CASE WHEN tag = 'link' THEN 'css' ELSE 'img' END AS rkind FROM tok),
 ref1 AS (SELECT page_id, pos, src, rkind, ref FROM ref0 WHERE ref <> ''), {D.resolved('ref1', 'src', 'ref', 'rurl', 'refs')}"""
 _NAME = "regexp_extract({p}, '([^/]+)/*$', 1)".format(p=D.path("rurl"))
+_CDN = " OR ".join(f"contains(rurl, '{host}')" for host in R.CDN_HOSTS)
 _REGISTRY = f"""{_REFS}, reg0 AS (SELECT rurl, min(rkind) AS rkind, count(DISTINCT page_id) AS n_pages FROM refs GROUP BY rurl),
-registry AS (SELECT rurl AS url, 'out/shared_resources/' || CASE WHEN contains(rurl, 'media-cdn.atlassian.com') OR contains(rurl, 'secure.gravatar.com')
-   OR contains(rurl, 'avatar-management--avatars.us-west-2.prod.public.atl-paas.net') THEN 'cdn_images/' ELSE '' END
+registry AS (SELECT rurl AS url, 'out/shared_resources/' || CASE WHEN {_CDN} THEN 'cdn_images/' ELSE '' END
    || CASE WHEN contains({_NAME}, '.') THEN {_NAME} ELSE 'resource_' || (CAST('0x' || substring(md5(rurl), 1, 8) AS BIGINT) % 10000)
    || CASE WHEN rkind = 'css' THEN '.css' ELSE '.png' END END AS local_path,
    rkind AS resource_type, true AS is_transversal, CAST(NULL AS VARCHAR) AS referenced_by, n_pages FROM reg0)"""
 _SHOWN_SQL = f"shown AS (SELECT page_id, url, replace(html, '</article>', {_SHOWN_HTML} || '</article>') AS html FROM pages)"
-_PHRASES = (
-    "log in with atlassian account|we tried to load scripts but something went wrong|id-frontend\\.prod-east\\.frontend\\.public\\.atl-paas\\.net|"
-    "sign in to atlassian|please log in to access this page|authentication required|access denied|you must log in|session expired"
-)
+_PHRASES = "|".join(re.escape(phrase.lower()) for phrase in C.AUTH_WALL_PHRASES)
 _DOC_SQL = """SELECT doc_id, 'https://wiki.example.com/pages/' || doc_id AS url, CASE WHEN doc_id % 7 <> 0 THEN 'Doc ' || doc_id ELSE 'Confluence Page' END AS title,
   upper(source) AS space_key, 'Space ' || source AS space_name,
   CASE WHEN doc_id % 5 <> 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE 'N/A' END AS updated_when, text FROM documents"""
