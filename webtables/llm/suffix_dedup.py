@@ -30,10 +30,7 @@ def _bytes_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as one number, in the order of the strings; zeros past the end."""
     wide = np.zeros(len(data) + Q, np.uint8)
     wide[: len(data)] = data
-    out = np.zeros(len(data), np.uint64)
-    for k in range(Q):
-        out = (out << np.uint64(8)) | wide[k : k + len(data)]
-    return out
+    return np.ndarray(len(data), ">u8", wide.data, strides=(1,)).astype(np.uint64)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -97,6 +94,22 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             flags[at] = doc > W.least_documents(pointer[at], doc)
         return flags, lambda i: i, lambda i: i + 1, off
 
+    def contexts(data: np.ndarray, off: np.ndarray, place: np.ndarray):
+        # A window reaches over its minimiser by ``size - GRAM`` bytes, so by half of them on one side at least.
+        half = (size - GRAM) // 2
+        at = off[:-1] + place
+        eight = _bytes_at(data)
+        steps = [*range(0, half + GRAM - Q, Q), half + GRAM - Q]
+        for start in (at, at - half):
+            known = (start >= off[:-1]) & (start + half + GRAM <= off[1:])
+            value = np.zeros(len(at), np.uint64)
+            for k, step in enumerate(steps):
+                value = A.mix(value + eight[np.where(known, start + step, 0)] * A.PLACES[k])
+            yield value, known
+
+    def count(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.diff(off)
+
     def apply(text: bytes, cuts: list):
         gone = np.zeros(len(text), bool)
         for start, n, seen in cuts:
@@ -107,4 +120,4 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return len(text), int(gone.sum()), len(spans), kept, spans
 
     plain = W.plain(docs, id_col, text_col)
-    return W.with_cuts(plain, W.cuts_of(plain, units, covered, size, GRAM, A.SLICE_BYTES // 2), apply, ADDED)
+    return W.with_cuts(plain, W.cuts_of(plain, units, covered, count, size, GRAM, A.SLICE_BYTES // 2, contexts), apply, ADDED)

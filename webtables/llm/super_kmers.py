@@ -67,6 +67,9 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         flags[at] = doc > W.least_documents(np.cumsum(~same), doc)
         return flags, lambda i: s[i], lambda i: e[i] + 1, first
 
+    def count(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(data == 0x20)])[off])
+
     def apply(text: bytes, cuts: list):
         data = np.frombuffer(text, np.uint8)
         s, e, _ = A.words(data, np.array([0, len(data)]))
@@ -81,4 +84,4 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return len(s), int(gone.sum()), kept.decode(), [[int(i), int(j)] for i, j in zip(*A.runs(gone))]
 
     plain = W.plain(docs, id_col, text_col)
-    return W.with_cuts(plain, W.cuts_of(plain, units, covered, size, gram, A.SLICE_BYTES), apply, ADDED)
+    return W.with_cuts(plain, W.cuts_of(plain, units, covered, count, size, gram, A.SLICE_BYTES), apply, ADDED)

@@ -43,13 +43,22 @@ class Units:
     grams: np.ndarray
 
 
+#: Low bits of a packed minimum that hold its place.
+_PLACE = np.uint64((1 << 12) - 1)
+
+
 def _runs(u: Units, size: int, gram: int):
-    """(first window, last window, row, key) of each run of windows with one minimiser."""
-    rows = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))
+    """(first window, last window, row, key, place) of each run of windows with one minimiser.
+
+    The place is where the minimiser lies, counted from the first window.
+    """
+    rows = np.repeat(np.arange(len(u.first) - 1, dtype=np.int32), np.diff(u.first))
     n = len(rows) - size + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    key = A.sliding_min(u.grams, size - gram + 1)[:n]
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
+    packed = (u.grams & ~_PLACE) | (np.arange(len(u.grams), dtype=np.uint64) & _PLACE)
+    least = A.sliding_min(packed, size - gram + 1)[:n]
+    key = least >> np.uint64(12)
     row = rows[:n]
     valid = row == rows[size - 1 :]
     new = np.ones(n, bool)
@@ -57,7 +66,8 @@ def _runs(u: Units, size: int, gram: int):
     last = np.ones(n, bool)
     last[:-1] = new[1:] | ~valid[1:]
     a, b = np.flatnonzero(valid & new), np.flatnonzero(valid & last)
-    return a, b, row[a], key[a]
+    place = ((least[a] & _PLACE).astype(np.int64) - a) & int(_PLACE)
+    return a, b, row[a].astype(np.int64), key[a], place
 
 
 def _single(u: Units, size: int, gram: int, a, b, row, hot):
@@ -67,7 +77,7 @@ def _single(u: Units, size: int, gram: int, a, b, row, hot):
     key = np.zeros(len(at), np.uint64)
     for k, step in enumerate(dict.fromkeys([*range(0, size - gram, gram), size - gram])):
         key = A.mix(key + u.grams[at + step] * A.PLACES[k])
-    return at, at, np.repeat(row[hot], count), key
+    return at, at, np.repeat(row[hot], count), key, np.zeros(len(at), np.int64)
 
 
 def hot_minimisers(docs: DataFrame, units: Callable, size: int, gram: int, limit: int) -> np.ndarray:
@@ -78,7 +88,7 @@ def hot_minimisers(docs: DataFrame, units: Callable, size: int, gram: int, limit
 
     def count(batches: Iterator) -> Iterator:
         for part in A.slices(batches, "text", limit):
-            a, b, row, key = _runs(units(part), size, gram)
+            a, b, row, key, _ = _runs(units(part), size, gram)
             if not len(a):
                 continue
             values, n = np.unique(key, return_counts=True)
@@ -101,32 +111,34 @@ def ship(docs: DataFrame, units: Callable, size: int, gram: int, limit: int, hot
     """The runs of all documents as blobs by bucket."""
 
     def blobs(ids, u: Units) -> tuple[list[int], list[bytes]]:
-        a, b, row, key = _runs(u, size, gram)
+        a, b, row, key, place = _runs(u, size, gram)
         if len(hot) and len(a):
             often = np.isin(key, hot)
             if often.any():
                 one = _single(u, size, gram, a, b, row, often)
-                a, b, row, key = (np.concatenate([x[~often], y]) for x, y in zip((a, b, row, key), one))
+                a, b, row, key, place = (np.concatenate([x[~often], y]) for x, y in zip((a, b, row, key, place), one))
+        # Rows are in the order of their ids, so the first of equal strings is the smallest document's.
+        order = np.argsort(a, kind="stable")
+        a, b, row, key, place = (x[order] for x in (a, b, row, key, place))
         doc, pos = ids[row], a - u.first[row]
         left, right = u.begin(a), u.end(b + size - 1)
-        order = np.lexsort((pos, doc))
-        text, known, ship, told = u.text, {}, [], []
-        for i, s, e, d in zip(order.tolist(), left[order].tolist(), right[order].tolist(), doc[order].tolist()):
-            if known.setdefault(text[s:e], d) == d:
-                ship.append(i)
-            else:
-                told.append(i)
+        repeats = _later(u.text, left, right, doc, A.mix(u.grams[a] + u.grams[b + size - gram] * A.PLACES[1] + (b - a).astype(np.uint64)))
         out: tuple[list, list] = ([], [])
-        ship, told = np.array(ship, np.int64), np.array(told, np.int64)
+        ship = np.flatnonzero(~repeats)
         home = (key[ship] % np.uint64(buckets)).astype(np.int64)
+        text = u.text
         for b0, at in _grouped(home, ship):
             body = b"".join([text[s:e] for s, e in zip(left[at].tolist(), right[at].tolist())])
             out[0].append(b0)
-            out[1].append(A.pack(np.diff(doc[at], prepend=0), pos[at], (right - left)[at].astype(np.uint32), key[at].astype(np.uint32), body))
-        for b0, at in _grouped(doc[told] % buckets, told):
-            seen = np.array([zlib.crc32(text[s:e]) for s, e in zip(left[at].tolist(), right[at].tolist())], np.int64)
+            out[1].append(A.pack(np.diff(doc[at], prepend=0), pos[at], (right - left)[at].astype(np.uint32), key[at].astype(np.uint32), place[at].astype(np.uint16), body))
+        # What is answered here: neighbouring runs of a row become one stretch.
+        joins = repeats[1:] & repeats[:-1] & (row[1:] == row[:-1]) & (a[1:] == b[:-1] + 1)
+        begins = np.flatnonzero(repeats & ~np.append(False, joins))
+        ends = np.flatnonzero(repeats & ~np.append(joins, False))
+        for b0, k in _grouped(doc[begins] % buckets, np.arange(len(begins))):
+            seen = np.array([zlib.crc32(text[s:e]) for s, e in zip(left[begins[k]].tolist(), right[ends[k]].tolist())], np.int64)
             out[0].append(b0)
-            out[1].append(A.pack(doc[at], pos[at], (b - a)[at] + size, seen))
+            out[1].append(A.pack(doc[begins[k]], pos[begins[k]], b[ends[k]] - a[begins[k]] + size, seen))
         return out
 
     def task(batches: Iterator) -> Iterator:
@@ -140,6 +152,18 @@ def ship(docs: DataFrame, units: Callable, size: int, gram: int, limit: int, hot
     return docs.select("doc_id", "text").mapInArrow(task, BLOBS)
 
 
+def _later(text: bytes, left: np.ndarray, right: np.ndarray, doc: np.ndarray, quick: np.ndarray) -> np.ndarray:
+    """Flags of strings that a smaller document has as well. ``quick`` is equal for equal strings; documents ascend."""
+    out = np.zeros(len(quick), bool)
+    order = np.argsort(quick, kind="stable")
+    same = quick[order][1:] == quick[order][:-1]
+    maybe = np.sort(order[np.append(same, False) | np.append(False, same)])
+    known: dict[bytes, int] = {}
+    for i, s, e, d in zip(maybe.tolist(), left[maybe].tolist(), right[maybe].tolist(), doc[maybe].tolist()):
+        out[i] = known.setdefault(text[s:e], d) < d
+    return out
+
+
 def _grouped(home: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(home, kind="stable")
     cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
@@ -147,36 +171,58 @@ def _grouped(home: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield int(home[order[s]]), items[order[s:e]]
 
 
-def judge(blobs: list[bytes], covered: Callable, size: int):
+def _shared(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Flags of the values that more than one document has."""
+    order = np.argsort(value, kind="stable")
+    start = np.flatnonzero(np.diff(value[order].view(np.int64), prepend=~value[order][:1].view(np.int64)))
+    low, high = np.minimum.reduceat(doc[order], start), np.maximum.reduceat(doc[order], start)
+    out = np.zeros(len(value), bool)
+    out[order] = np.repeat(low != high, np.diff(np.append(start, len(order))))
+    return out
+
+
+def judge(blobs: list[bytes], covered: Callable, count: Callable, size: int, contexts: Callable | None = None):
     """The cuts of one bucket. ``covered(data, off, docs)`` flags windows that a smaller document has.
 
     It gets the strings and their documents, and returns (windows flagged by unit, begin and end
-    of a unit range in bytes, first unit of each string).
+    of a unit range in bytes, first unit of each string). ``contexts(data, off, place)`` gives hashes by string;
+    a string that shares none of them with another document holds no repeated window. ``count(data, off)``
+    is the number of units of each string.
     """
     told, parts = [], []
     for blob in blobs:
         x = A.unpack(blob)
-        (parts if len(x) == 5 else told).append(x)
+        (parts if len(x) == 6 else told).append(x)
     cuts = [[np.concatenate([x[k] for x in told])] for k in range(4)] if told else [[], [], [], []]
     if parts:
         docs = np.concatenate([np.cumsum(x[0]) for x in parts])
-        pos = np.concatenate([x[1] for x in parts])
-        length = np.concatenate([x[2] for x in parts]).astype(np.int64)
-        key = np.concatenate([x[3] for x in parts])
-        text = b"".join([x[4] for x in parts])
-        # A minimiser that only one document has cannot repeat across documents.
-        order = np.argsort(key, kind="stable")
-        start = np.flatnonzero(np.diff(key[order].astype(np.int64), prepend=-1))
-        low, high = np.minimum.reduceat(docs[order], start), np.maximum.reduceat(docs[order], start)
-        several = np.repeat(low != high, np.diff(np.append(start, len(order))))
-        keep = np.sort(order[several])
+        pos, length, key, place = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (1, 2, 3, 4))
+        text = b"".join([x[5] for x in parts])
+        data, off = np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(length)])
+        # A minimiser, or its surroundings, that only one document has cannot repeat across documents.
+        keep = _shared(key.view(np.uint64), docs)
+        if contexts and keep.any():
+            near = np.zeros(len(keep), bool)
+            for value, known in contexts(data, off, place):
+                at = np.flatnonzero(known & keep)
+                if len(at):
+                    near[at] |= _shared(value[at], docs[at])
+            keep = near
+        keep = np.flatnonzero(keep)
+        keep = keep[np.argsort(docs[keep], kind="stable")]
+        # Strings that a smaller document has as a whole need no sorting.
+        known: dict[bytes, int] = {}
+        whole = np.array([known.setdefault(text[s:e], d) < d for s, e, d in zip(off[keep].tolist(), off[keep + 1].tolist(), docs[keep].tolist())], bool)
+        equal, keep = keep[whole], keep[~whole]
+        if len(equal):
+            cuts[0].append(docs[equal])
+            cuts[1].append(pos[equal])
+            cuts[2].append(count(data, off)[equal])
+            cuts[3].append(np.array([zlib.crc32(text[s:e]) for s, e in zip(off[equal].tolist(), off[equal + 1].tolist())], np.int64))
         if len(keep):
-            off = np.concatenate([[0], np.cumsum(length)])
-            data = np.frombuffer(text, np.uint8)
-            if len(keep) < len(length):
-                data = data[np.repeat(off[keep], length[keep]) + A.ranges(length[keep])]
-                docs, pos = docs[keep], pos[keep]
-                off = np.concatenate([[0], np.cumsum(length[keep])])
+            data = data[np.repeat(off[keep], length[keep]) + A.ranges(length[keep])]
+            docs, pos = docs[keep], pos[keep]
+            off = np.concatenate([[0], np.cumsum(length[keep])])
             flags, begin, end, first = covered(data, off, docs)
             s, e = A.runs(flags)
             owner = np.searchsorted(first, s, "right") - 1
@@ -198,11 +244,11 @@ def least_documents(group: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, len(group))))
 
 
-def cuts_of(docs: DataFrame, units: Callable, covered: Callable, size: int, gram: int, limit: int) -> DataFrame:
+def cuts_of(docs: DataFrame, units: Callable, covered: Callable, count: Callable, size: int, gram: int, limit: int, contexts: Callable | None = None) -> DataFrame:
     """All removed stretches of all documents, as a table in the shared folder."""
     buckets = bucket_count(docs.sparkSession)
     hot = hot_minimisers(docs, units, size, gram, limit)
-    return stored(by_bucket(ship(docs, units, size, gram, limit, hot, buckets), lambda blobs: judge(blobs, covered, size), CUTS))
+    return stored(by_bucket(ship(docs, units, size, gram, limit, hot, buckets), lambda blobs: judge(blobs, covered, count, size, contexts), CUTS))
 
 
 def with_cuts(docs: DataFrame, cuts: DataFrame, apply: Callable, added: str) -> DataFrame:
