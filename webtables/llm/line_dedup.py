@@ -34,7 +34,7 @@ from webtables.llm.windows import _grouped, plain
 CELLS = 1 << 18
 CHUNKS = 16
 PAIRS = 1 << 21
-FOUND = "kind int, doc long, line long, other_doc long, other_line long, blob binary"
+FOUND = "kind int, doc long, line long, other_doc long, other_line long, far long, blob binary"
 _BREAK = np.arange(256) == 0x0A
 
 
@@ -43,12 +43,12 @@ def _lines(data: np.ndarray, off: np.ndarray):
     data = A.LOWER[data]
     s, e, _ = A.words(data, off)
     h = A.hash_spans(data, s, e)
-    # A line starts at each row's start and after each break.
-    starts = np.concatenate([off[:-1], np.flatnonzero(_BREAK[data]) + 1])
-    starts.sort(kind="stable")
-    row = np.searchsorted(off[1:], starts, "right")
-    inside = row < len(off) - 1
-    starts, row = starts[inside], row[inside]
+    # A line starts at each row's start and after each break, which may be the row's last byte.
+    breaks = np.flatnonzero(_BREAK[data])
+    starts = np.concatenate([off[:-1], breaks + 1])
+    row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off[1:], breaks, "right")])
+    order = np.lexsort((starts, row))
+    starts, row = starts[order], row[order]
     at = np.searchsorted(starts, s, "right") - 1
     number = np.arange(len(starts)) - np.searchsorted(row, row)
     return h, at, row, number
@@ -174,7 +174,7 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
     return stored(by_bucket(docs.mapInArrow(ship, BLOBS), pairs, FOUND))
 
 
-def _found(kind: int, doc, line, other_doc=None, other_line=None, blobs=None) -> pa.RecordBatch:
+def _found(kind: int, doc, line, other_doc=None, other_line=None, far=None, blobs=None) -> pa.RecordBatch:
     count = len(doc)
     none = pa.nulls(count, pa.int64())
     return pa.RecordBatch.from_arrays(
@@ -184,6 +184,7 @@ def _found(kind: int, doc, line, other_doc=None, other_line=None, blobs=None) ->
             pa.array(line),
             none if other_doc is None else pa.array(other_doc),
             none if other_line is None else pa.array(other_line),
+            none if far is None else pa.array(far),
             pa.nulls(count, pa.binary()) if blobs is None else pa.array(blobs, pa.binary()),
         ],
         schema=arrow_schema(FOUND),
@@ -222,16 +223,16 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
         later = (doc[i] > doc[k]) | ((doc[i] == doc[k]) & (line[i] > line[k]))
         i, k = np.where(later, i, k), np.where(later, k, i)
         if asked is not None:
-            i, k = i[asked[i]], k[asked[i]]
+            far, i, k = far[asked[i]], i[asked[i]], k[asked[i]]
         elif len(i):
             best = np.lexsort((k, far, i))
             i, k = i[best], k[best]
             first = np.ones(len(i), bool)
             first[1:] = i[1:] != i[:-1]
             more[i[~first]] = True
-            i, k = i[first], k[first]
+            i, k, far = i[first], k[first], far[best][first]
         if len(i):
-            yield _found(1, doc[i], line[i], doc[k], line[k])
+            yield _found(1, doc[i], line[i], doc[k], line[k], far)
     if asked is None and len(key):
         # A line may have had candidates in two blocks of pairs; such groups are kept as well.
         open_ = np.unique(group[more | (count > PAIRS)])
@@ -285,7 +286,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, line) of the lines that an earlier line makes superfluous; lines count from 0."""
     docs = plain(docs, id_col, text_col)
     first = _first_pass(docs, percent)
-    gone = stored(first.where("kind = 0").select("doc", "line").unionByName(_verified(first.where("kind = 1"), docs, percent)).distinct())
+    # Every word's list has named its nearest candidate; the nearest of these is tried first.
+    near = first.where("kind = 1").select("doc", "line", "far", "other_doc", "other_line")
+    best = near.groupBy("doc", "line").agg(F.min(F.struct("far", "other_doc", "other_line")).alias("b"))
+    best = stored(best.select("doc", "line", "b.other_doc", "b.other_line"))
+    gone = stored(first.where("kind = 0").select("doc", "line").unionByName(_verified(best, docs, percent)).distinct())
+    # Lines that had a candidate and are still there meet all other candidates.
+    waiting = stored(best.select("doc", "line").join(gone, ["doc", "line"], "left_anti"))
     lists = first.where("kind = 2").select(F.xxhash64("blob").alias("grp"), "blob")
 
     def members(batches: Iterator) -> Iterator:
@@ -302,13 +309,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 asked = np.array([x in wanted for x in zip(doc.tolist(), line.tolist())])
                 yield from _candidates(np.zeros(len(doc), np.int64), doc, line, n, place, sketch, percent, asked)
 
-    if not lists.isEmpty():
-        undecided = lists.mapInArrow(members, "grp long, doc long, line long").join(gone, ["doc", "line"], "left_anti")
-        asked = undecided.groupBy("grp").agg(F.collect_list("doc").alias("docs"), F.collect_list("line").alias("lines"))
-        late = lists.join(asked, "grp").select("blob", "docs", "lines").mapInArrow(rest, FOUND)
-        late = stored(late.select("doc", "line", "other_doc", "other_line").distinct())
-        tried = first.where("kind = 1").select("doc", "line", "other_doc", "other_line")
-        late = stored(late.join(tried, ["doc", "line", "other_doc", "other_line"], "left_anti"))
+    if not waiting.isEmpty():
+        asked = lists.mapInArrow(members, "grp long, doc long, line long").join(waiting, ["doc", "line"], "left_semi")
+        asked = asked.groupBy("grp").agg(F.collect_list("doc").alias("docs"), F.collect_list("line").alias("lines"))
+        rest_ = lists.join(asked, "grp").select("blob", "docs", "lines").mapInArrow(rest, FOUND)
+        pair = ["doc", "line", "other_doc", "other_line"]
+        late = near.join(waiting, ["doc", "line"], "left_semi").select(*pair).unionByName(rest_.select(*pair)).distinct()
+        late = stored(late.join(best, pair, "left_anti"))
         if not late.isEmpty():
             gone = stored(gone.unionByName(_verified(late, docs, percent)).distinct())
     return gone.select(F.col("doc").alias("doc_id"), "line")
