@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtables.llm import arrays as A
-from webtables.llm.exchange import arrow_schema
+from webtables.llm.exchange import arrow_schema, stored
 from webtables.llm.url_templates import host_and_path
 
 #: Elements inside a line of text; all others end a block.
@@ -40,6 +40,8 @@ AROUND = set(
 )
 #: Words in class or id that mark the article itself where no article element does.
 INSIDE = set("article content entry post story".split())
+#: Parts into which the pages of a very frequent host are dealt.
+SALTS = 64
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
@@ -216,12 +218,23 @@ def votes(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(task, ddl).groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"))
 
 
+def _with_winner(pages: DataFrame, best: DataFrame) -> DataFrame:
+    """Pages with their host's path. Hosts above 1/SALTS of all votes (fewer than SALTS, so they fit a list) are dealt out."""
+    whole = best.agg(F.sum("weight").alias("w")).first()["w"] or 0.0
+    hot = [r["host"] for r in best.where(F.col("weight") * SALTS > whole).select("host").collect()]
+    often = F.col("host").isin(hot) if hot else F.lit(False)
+    salted = pages.withColumn("salt", F.when(often, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0).cast("int"))
+    every = F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(best.select("host", "path", F.explode(every).alias("salt")), ["host", "salt"], "left")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, path (the container it was read from is the host's winner)."""
     host, _ = host_and_path(F.col(f"`{url_col}`").cast("string"))
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    best = votes(own).groupBy("host").agg(F.max(F.struct("vote", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
-    both = own.join(best, "host", "left")
+    best = votes(own).groupBy("host").agg(F.max(F.struct("vote", "path")).alias("best"), F.sum("vote").alias("weight"))
+    best = stored(best.select("host", F.col("best.path").alias("path"), "weight"))
+    both = _with_winner(own, best)
     shape = both.select("page_id", "url", "path", F.col("html").alias("text"))
 
     def task(batches: Iterator) -> Iterator:

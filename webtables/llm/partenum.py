@@ -304,7 +304,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = plain(docs, id_col, text_col)
     first = _first_pass(docs, percent)
     rows = first.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch")
-    same = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Stored on its own: the join with the many rows of one set can then be split by AQE.
+    same = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     nodes = stored(rows.join(same, ["n", "d1", "d2"], "left").select("doc_id", "n", "sketch", F.coalesce("rep", "doc_id").alias("rep")))
     large = stored(first.where("kind = 2").select("kind", "blob").dropDuplicates(["blob"]))
     pairs = first.where("kind = 1").select("kind", "blob").unionByName(large).mapInArrow(_pairs, "a long, b long")
