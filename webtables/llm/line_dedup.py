@@ -33,7 +33,9 @@ from webtables.llm.windows import _grouped, plain
 
 CELLS = 1 << 18
 CHUNKS = 16
-PAIRS = 1 << 21
+PAIRS = 1 << 19
+#: Words of 64 bits in a line's parity sketch.
+WIDTH = 4
 FOUND = "kind int, doc long, line long, other_doc long, other_line long, far long, blob binary"
 _BREAK = np.arange(256) == 0x0A
 
@@ -113,8 +115,9 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
             line = at[start]
             n = np.diff(np.append(start, len(at)))
             digest = np.add.reduceat(A.mix(h + np.uint64(1)), start)
-            bit = np.uint64(1) << (A.mix(h) & np.uint64(63))
-            sketch = np.bitwise_xor.reduceat(bit, start)
+            spread = A.mix(h)
+            bit, part_of = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(WIDTH)
+            sketch = np.stack([np.bitwise_xor.reduceat(np.where(part_of == np.uint64(k), bit, np.uint64(0)), start) for k in range(WIDTH)], 1)
             doc, number = ids[row[line]], number[line]
             _, lead = np.unique(digest, return_index=True)  # lines are in the order of (doc, line)
             chosen = np.zeros(len(line), bool)
@@ -133,7 +136,7 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
             for b, k in _grouped(home[order].astype(np.int64), order):
                 o = owner[k]
                 bucket.append(b)
-                blob.append(A.pack(token[k] & np.uint64((1 << 48) - 1), np.diff(doc[o], prepend=0), number[o].astype(np.uint32), n[o].astype(np.uint32), place[k].astype(np.uint16 if n.max() < 65536 else np.uint32), digest[o], sketch[o]))
+                blob.append(A.pack(token[k] & np.uint64((1 << 48) - 1), np.diff(doc[o], prepend=0), number[o].astype(np.uint32), n[o].astype(np.uint32), place[k].astype(np.uint16 if n.max() < 65536 else np.uint32), digest[o], *sketch[o].T))
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], schema=blobs)
 
     def pairs(held: list[bytes]) -> Iterator:
@@ -149,7 +152,8 @@ def _first_pass(docs: DataFrame, percent: int) -> DataFrame:
             yield _found(0, np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told]))
         if not listed:
             return
-        token, doc, line, n, place, digest, sketch = (np.concatenate([x[k] for x in listed]) for k in range(7))
+        token, doc, line, n, place, digest = (np.concatenate([x[k] for x in listed]) for k in range(6))
+        sketch = np.stack([np.concatenate([x[6 + k] for x in listed]) for k in range(WIDTH)], 1)
         doc, line, n, place = (x.astype(np.int64) for x in (doc, line, n, place))
         order = np.argsort(token, kind="stable")
         cut = np.ones(len(order), bool)
@@ -213,7 +217,7 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
         k = np.repeat(low[at:end], count[at:end]) + A.ranges(count[at:end])
         at = end
         both = n[i] + n[k]
-        far = np.bitwise_count(sketch[i] ^ sketch[k]).astype(np.int64)
+        far = np.bitwise_count(sketch[i] ^ sketch[k]).sum(1, dtype=np.int64)
         ok = far * (100 + percent) <= both * (100 - percent)
         i, k, both, far = i[ok], k[ok], both[ok], far[ok]
         need = -(-percent * both // (100 + percent))
@@ -238,7 +242,7 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
         open_ = np.unique(group[more | (count > PAIRS)])
         if len(open_):
             rows = [slice(x, y) for x, y in zip(np.searchsorted(group, open_), np.searchsorted(group, open_, "right"))]
-            blob = [A.pack(doc[r], line[r], n[r], place[r], sketch[r]) for r in rows]
+            blob = [A.pack(doc[r], line[r], n[r], place[r], *sketch[r].T) for r in rows]
             yield _found(2, np.zeros(len(blob), np.int64), np.zeros(len(blob), np.int64), blobs=blob)
 
 
@@ -304,7 +308,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def rest(batches: Iterator) -> Iterator:
         for batch in batches:
             for blob, docs_, lines in zip(*(batch.column(c).to_pylist() for c in ("blob", "docs", "lines"))):
-                doc, line, n, place, sketch = A.unpack(blob)
+                doc, line, n, place, *sketch = A.unpack(blob)
+                sketch = np.stack(sketch, 1)
                 wanted = set(zip(docs_, lines))
                 asked = np.array([x in wanted for x in zip(doc.tolist(), line.tolist())])
                 yield from _candidates(np.zeros(len(doc), np.int64), doc, line, n, place, sketch, percent, asked)
