@@ -209,7 +209,7 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
     low = np.searchsorted(key, group.astype(np.int64) * width + (percent * n + 99) // 100)
     count = np.arange(len(key)) - low
     stop = np.cumsum(count)
-    more = np.zeros(len(key), bool)
+    more, had = np.zeros(len(key), bool), np.zeros(len(key), bool)
     at = 0
     while at < len(key):
         end = max(int(np.searchsorted(stop, (stop[at - 1] if at else 0) + PAIRS, "right")), at + 1)
@@ -229,6 +229,7 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
         if asked is not None:
             far, i, k = far[asked[i]], i[asked[i]], k[asked[i]]
         elif len(i):
+            had[i] = True
             best = np.lexsort((k, far, i))
             i, k = i[best], k[best]
             first = np.ones(len(i), bool)
@@ -242,7 +243,7 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
         open_ = np.unique(group[more | (count > PAIRS)])
         if len(open_):
             rows = [slice(x, y) for x, y in zip(np.searchsorted(group, open_), np.searchsorted(group, open_, "right"))]
-            blob = [A.pack(doc[r], line[r], n[r], place[r], *sketch[r].T) for r in rows]
+            blob = [A.pack(doc[r], line[r], had[r].astype(np.uint8), n[r], place[r], *sketch[r].T) for r in rows]
             yield _found(2, np.zeros(len(blob), np.int64), np.zeros(len(blob), np.int64), blobs=blob)
 
 
@@ -301,14 +302,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def members(batches: Iterator) -> Iterator:
         for batch in batches:
-            lists_ = [A.unpack(b)[:2] for b in batch.column("blob").to_pylist()]
+            # Only lines that had a candidate in the list can be waiting for another one.
+            lists_ = [[v[x[2] == 1] for v in x[:2]] for x in (A.unpack(b) for b in batch.column("blob").to_pylist())]
             grp = np.repeat(batch.column("grp").to_numpy(), [len(x[0]) for x in lists_])
             yield pa.RecordBatch.from_arrays([pa.array(grp), *(pa.array(np.concatenate([x[k] for x in lists_])) for k in (0, 1))], names=["grp", "doc", "line"])
 
     def rest(batches: Iterator) -> Iterator:
         for batch in batches:
             for blob, docs_, lines in zip(*(batch.column(c).to_pylist() for c in ("blob", "docs", "lines"))):
-                doc, line, n, place, *sketch = A.unpack(blob)
+                doc, line, _, n, place, *sketch = A.unpack(blob)
                 sketch = np.stack(sketch, 1)
                 wanted = set(zip(docs_, lines))
                 asked = np.array([x in wanted for x in zip(doc.tolist(), line.tolist())])
