@@ -90,6 +90,36 @@ def test_suffix_dedup_equals_brute_force(docs, corpus):
         assert r.n_spans == sum(g and not (k and gone[r.doc_id][k - 1]) for k, g in enumerate(gone[r.doc_id])) == len(r.spans)
 
 
+def test_suffix_dedup_finds_passages_that_begin_between_equal_minimisers(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    # The 12 bytes of the least hash among many: a minimiser wherever it lies.
+    pool = text(200_000)
+    hashes = suffix_dedup._gram_hashes(np.frombuffer(pool.encode(), np.uint8))[: len(pool) - 11]
+    gram = pool[int(hashes.argmin()) :][:12]
+    rows = []
+    for k in range(12):
+        between, tail = text(12 - k), text(38 + k % 3)
+        rows += [text(70) + gram + text(2 + k) + between + gram + tail + text(70), text(70) + between + gram + tail + text(70)]
+        # The same with the passage's end between the two.
+        rows += [text(70) + tail + gram + between + text(2 + k) + gram + text(70), text(70) + tail + gram + between + text(70)]
+    # Both lie in the passage, and the places start anew between them.
+    passage = text(8) + gram + text(4) + gram + text(14)
+    rows = [text(4096 - 22) + passage + text(30), text(70) + passage + text(70)] + rows
+    rows += [("-" * 90 + text(20)) * 2, text(30) + "-" * 70, text(60) + "ab" * 40, "ab" * 35 + text(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(1)
+    want = repeated({i: t.encode() for i, t in enumerate(rows)}, 50)
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup_bytes(docs).collect()}
+    assert sum(sum(flags) for flags in want.values()) > 1000
+    for i, t in enumerate(rows):
+        flags = [False] * len(t)
+        for s, e in got[i]["spans"]:
+            flags[s:e] = [True] * (e - s)
+        assert flags == want[i], i
+
+
 def test_super_kmers_equal_brute_force(docs, corpus):
     texts = {i: tuple(words(t)) for i, t in corpus}
     gone = repeated(texts, 13)

@@ -94,18 +94,26 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             flags[at] = doc > W.least_documents(pointer[at], doc)
         return flags, lambda i: i, lambda i: i + 1, off
 
-    def contexts(data: np.ndarray, off: np.ndarray, place: np.ndarray):
+    def contexts(data: np.ndarray, off: np.ndarray, key: np.ndarray, place: np.ndarray):
         # A window reaches over its minimiser by ``size - GRAM`` bytes, so by half of them on one side at least.
         half = (size - GRAM) // 2
-        at = off[:-1] + place
+        one = np.flatnonzero(place != W.MANY)
+        at, owner = off[one] + place[one], one
+        many = np.flatnonzero(place == W.MANY)
+        if len(many):  # the minimiser moves inside the string: round every place where it may lie
+            length = np.diff(off)[many]
+            start = np.repeat(off[many], length) + A.ranges(length)
+            held = np.repeat(many, length)
+            alike = (_gram_hashes(data[start]) >> np.uint64(12)).astype(np.uint32) == key[held].astype(np.uint32)
+            at, owner = np.concatenate([at, start[alike]]), np.concatenate([owner, held[alike]])
         eight = _bytes_at(data)
         steps = [*range(0, half + GRAM - Q, Q), half + GRAM - Q]
         for start in (at, at - half):
-            known = (start >= off[:-1]) & (start + half + GRAM <= off[1:])
-            value = np.zeros(len(at), np.uint64)
+            known = np.flatnonzero((start >= off[owner]) & (start + half + GRAM <= off[owner + 1]))
+            value = np.zeros(len(known), np.uint64)
             for k, step in enumerate(steps):
-                value = A.mix(value + eight[np.where(known, start + step, 0)] * A.PLACES[k])
-            yield value, known
+                value = A.mix(value + eight[start[known] + step] * A.PLACES[k])
+            yield value, owner[known]
 
     def count(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return np.diff(off)

@@ -45,19 +45,31 @@ class Units:
 
 #: Low bits of a packed minimum that hold its place.
 _PLACE = np.uint64((1 << 12) - 1)
+#: Stands for the place of a run in which the minimiser moves.
+MANY = (1 << 16) - 1
 
 
 def _runs(u: Units, size: int, gram: int):
     """(first window, last window, row, key, place) of each run of windows with one minimiser.
 
-    The place is where the minimiser lies, counted from the first window.
+    The place is where the minimiser lies, counted from the first window; ``MANY`` if it lies elsewhere
+    in a later window. Of equal grams inside a window the leftmost counts, so the place
+    depends on the window alone.
     """
     rows = np.repeat(np.arange(len(u.first) - 1, dtype=np.int32), np.diff(u.first))
     n = len(rows) - size + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     packed = (u.grams & ~_PLACE) | (np.arange(len(u.grams), dtype=np.uint64) & _PLACE)
-    least = A.sliding_min(packed, size - gram + 1)[:n]
+    width = size - gram + 1
+    least = A.sliding_min(packed, width)[:n]
+    # Where the packed places start anew inside a window, the leftmost is looked up.
+    wraps = np.arange(0, len(u.grams), int(_PLACE) + 1)[1:]
+    across = (wraps[:, None] - np.arange(1, width)).ravel()
+    across = across[(across >= 0) & (across < n)]
+    if len(across):
+        first = across + np.argmin((u.grams >> np.uint64(12))[across[:, None] + np.arange(width)], 1)
+        least[across] = packed[first]
     key = least >> np.uint64(12)
     row = rows[:n]
     valid = row == rows[size - 1 :]
@@ -67,6 +79,8 @@ def _runs(u: Units, size: int, gram: int):
     last[:-1] = new[1:] | ~valid[1:]
     a, b = np.flatnonzero(valid & new), np.flatnonzero(valid & last)
     place = ((least[a] & _PLACE).astype(np.int64) - a) & int(_PLACE)
+    moves = np.cumsum(np.append(False, least[1:] != least[:-1]))
+    place[moves[b] != moves[a]] = MANY
     return a, b, row[a].astype(np.int64), key[a], place
 
 
@@ -185,7 +199,7 @@ def judge(blobs: list[bytes], covered: Callable, count: Callable, size: int, con
     """The cuts of one bucket. ``covered(data, off, docs)`` flags windows that a smaller document has.
 
     It gets the strings and their documents, and returns (windows flagged by unit, begin and end
-    of a unit range in bytes, first unit of each string). ``contexts(data, off, place)`` gives hashes by string;
+    of a unit range in bytes, first unit of each string). ``contexts(data, off, key, place)`` gives (hashes, string of each);
     a string that shares none of them with another document holds no repeated window. ``count(data, off)``
     is the number of units of each string.
     """
@@ -203,10 +217,10 @@ def judge(blobs: list[bytes], covered: Callable, count: Callable, size: int, con
         keep = _shared(key.view(np.uint64), docs)
         if contexts and keep.any():
             near = np.zeros(len(keep), bool)
-            for value, known in contexts(data, off, place):
-                at = np.flatnonzero(known & keep)
-                if len(at):
-                    near[at] |= _shared(value[at], docs[at])
+            for value, owner in contexts(data, off, key, place):
+                value, owner = value[keep[owner]], owner[keep[owner]]
+                if len(owner):
+                    near[owner[_shared(value, docs[owner])]] = True
             keep = near
         keep = np.flatnonzero(keep)
         keep = keep[np.argsort(docs[keep], kind="stable")]
