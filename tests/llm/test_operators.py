@@ -213,6 +213,17 @@ def test_line_dedup_equals_brute_force(docs, corpus):
         assert (out[i].key, out[i].piece, bytes(out[i].blob)) == ("y", 1, b"z")
 
 
+def test_line_dedup_of_a_text_of_more_lines_than_20_bits(spark):
+    far = 1 << 20
+    # Line k and line k + 2^20 share a word; their sets are far apart.
+    first = [f"shared{k % 7} " + " ".join(f"a{k}w{j}" for j in range(6)) for k in range(40)]
+    later = [f"shared{k % 7} " + " ".join(f"b{k}w{j}" for j in range(6)) for k in range(40)]
+    text = "\n".join(first + [""] * (far - len(first)) + later + [first[3] + " more", later[5]])
+    docs = importable(spark).createDataFrame([(1, text), (2, later[7] + " too\nquite another line")], "doc_id bigint, text string").coalesce(1)
+    got = {tuple(r) for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == {(1, far + 40), (1, far + 41), (2, 0)}
+
+
 def test_fingerprints(docs, corpus):
     ordered = sorted(corpus)
     out = {r.doc_id: r for r in fingerprints.fingerprints(docs).withColumn("near", fingerprints.likeness(F.col("sketch"), F.col("edited_sketch"))).collect()}

@@ -87,8 +87,11 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 def _sets(h: np.ndarray, line: np.ndarray, level: np.ndarray):
     """Distinct words of each line, rare ones first: (hashes, line of each)."""
-    key = (line.astype(np.uint64) << np.uint64(44)) | (level[(h % np.uint64(CELLS)).astype(np.int64)] << np.uint64(36)) | (h >> np.uint64(28))
-    order = np.argsort(key)
+    level = level[(h % np.uint64(CELLS)).astype(np.int64)]
+    if len(line) and line.max() >= 1 << 20:  # more lines than the packed key holds
+        order = np.lexsort((h, level, line))
+    else:
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(36)) | (h >> np.uint64(28)))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
