@@ -419,6 +419,28 @@ def test_toxicity_on_held_out_texts(spark, rng):
     assert all(0 <= r.toxicity <= 1 for r in toxicity.score(df.limit(5), none).collect())
 
 
+def test_toxicity_fitted_on_fewer_rows_keeps_the_base_rate(spark, rng):
+    common = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su") for b in ("na", "ki", "po", "de", "ver", "en")]
+    rows = []
+    for k in range(6000):
+        toxic = k % 4 == 0
+        # Words of both classes, so that the prior matters.
+        w = rng.choices(common, k=rng.randint(5, 30)) + ["grumfel"] * (rng.random() < (0.4 if toxic else 0.2))
+        rows.append((k, " ".join(w), int(toxic)))
+    df = importable(spark).createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    odd = df.union(spark.createDataFrame([(-1, "", 0), (-2, None, 0)], df.schema))
+
+    def found(model):
+        got = {r.doc_id: r.toxicity for r in toxicity.score(odd, model).collect()}
+        return sum(v for k, v in got.items() if k >= 0) / len(rows), sum(v >= 0.5 for v in got.values())
+
+    # One class at the limit and the other below it; and both above it.
+    (whole, flagged), some, few = (found(toxicity.fit(df, df, most=m)) for m in (None, 3000, 1400))
+    assert abs(whole - 1 / 4) < 0.04
+    assert abs(some[0] - whole) < 0.05 and abs(few[0] - whole) < 0.05
+    assert abs(some[1] - flagged) < 0.05 * len(rows) and abs(few[1] - flagged) < 0.05 * len(rows)
+
+
 def test_empty_tables(spark, nothing, items):
     assert suffix_dedup.dedup_bytes(nothing).count() == 0
     assert super_kmers.dedup_windows(nothing).count() == 0

@@ -12,8 +12,8 @@ A text's evidence is the difference of the two log-likelihoods, normalised by le
 whole text and over its most toxic stretches of words. Most labelled rows give the counts; the
 others, which the models have not seen, fit the logistic curve from evidence to score.
 
-The models are fitted on at most ``MOST_LABELLED`` rows of each class (those with the least
-hash of their id); every document is scored on its whole text. Null and empty texts, and texts
+The models are fitted on all labelled rows, unless the caller asks for fewer; then both classes are drawn
+at one rate, which keeps their mix. Every document is scored on its whole text. Null and empty texts, and texts
 without words, have no evidence and get the score of the curve's base rate.
 """
 
@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtables.llm import arrays as A
-from webtables.llm.exchange import BLOBS, arrow_schema, bucket_count, by_bucket
+from webtables.llm.exchange import BLOBS, arrow_schema, bucket_count, by_bucket, stored
 from webtables.llm.windows import _grouped, plain
 
 ORDER = 7
 DISCOUNT = 0.75
-#: Labelled rows of a class that the fit may use.
-MOST_LABELLED = 200_000
 #: Stretches over which the evidence is normalised, in words.
 STRETCHES = (1, 3, 8, 32)
 #: Words whose evidence a task keeps between slices.
@@ -189,56 +187,81 @@ class Model:
         out[:, -1] = np.log1p(n)
         return out
 
-    def fit_curve(self, x: np.ndarray, y: np.ndarray) -> Model:
-        """Logistic regression by Newton steps, with a small ridge."""
-        self.centre, self.spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(STRETCHES) + 2), np.ones(len(STRETCHES) + 2))
-        z = self._design(x)
-        w = np.zeros(z.shape[1])
+    def fit_curve(self, held: DataFrame) -> Model:
+        """Logistic regression of rows (label, x) by Newton steps, with a small ridge; Spark adds up each step."""
+        rows, total = np.split(_added(held, lambda x, y: np.append(float(len(x)), x.sum(0)), len(STRETCHES) + 3), [1])
+        self.centre, self.spread = np.zeros(len(STRETCHES) + 2), np.ones(len(STRETCHES) + 2)
+        if rows[0]:
+            centre = self.centre = total / rows[0]
+            self.spread = np.sqrt(_added(held, lambda x, y: ((x - centre) ** 2).sum(0), len(centre)) / rows[0]) + 1e-9
+        centre, spread = self.centre, self.spread
+        w = np.zeros(_design(np.zeros((0, len(centre))), centre, spread).shape[1])
         ridge = np.full(len(w), 1e-2)
-        for _ in range(40 if len(x) else 0):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        for _ in range(40 if rows[0] else 0):
+
+            def slope(x: np.ndarray, y: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+                z = _design(x, centre, spread)
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                return np.append(z.T @ (y - p), (z.T * (p * (1 - p))) @ z)
+
+            first, second = np.split(_added(held, slope, len(w) * (len(w) + 1)), [len(w)])
+            step = np.linalg.solve(second.reshape(len(w), len(w)) + np.diag(ridge), first - ridge * w)
             w = w + step
             if np.abs(step).max() < 1e-8:
                 break
         self.curve = w
         return self
 
-    def _design(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre) / self.spread
-        return np.concatenate([z, z[:, 1:-1] * z[:, -1:], np.ones((len(z), 1))], 1)
-
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_design(x, self.centre, self.spread) @ self.curve, -30, 30)))
+
 
+def _design(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    z = (x - centre) / spread
+    return np.concatenate([z, z[:, 1:-1] * z[:, -1:], np.ones((len(z), 1))], 1)
 
-def _with_label(docs: DataFrame, labels: np.ndarray) -> DataFrame:
-    """(text, label) of the documents whose id is among the labelled ones; ``labels`` are (id, label) by id."""
-    ids, values = labels[:, 0].copy(), labels[:, 1].copy()
-    schema = arrow_schema("text string, label long")
+
+def _added(held: DataFrame, of, size: int) -> np.ndarray:
+    """``of(x, y)`` added up over all rows (label, x); one small array per task comes to the driver."""
+    schema = arrow_schema("total binary")
 
     def task(batches: Iterator) -> Iterator:
+        total = np.zeros(size)
         for batch in batches:
-            doc = batch.column("doc_id")
-            at = np.minimum(np.searchsorted(ids, doc.fill_null(0).to_numpy(zero_copy_only=False)), max(len(ids) - 1, 0))
-            if not len(ids):
-                continue
-            hit = (ids[at] == doc.fill_null(0).to_numpy(zero_copy_only=False)) & doc.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(values[at])], schema=schema).filter(pa.array(hit))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if len(x):
+                total = total + of(x, batch.column("label").to_numpy(zero_copy_only=False).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    return sum((np.frombuffer(r["total"]) for r in held.mapInArrow(task, "total binary").collect()), np.zeros(size))
 
-    return docs.mapInArrow(task, "text string, label long")
 
+def _with_label(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
+    """(text, label) of the documents whose id is among the labelled ones that are held back, or among the others."""
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED) -> Model:
-    """Fit on the documents that ``labels`` (id, label) covers; an id labelled twice counts as toxic if one label says so."""
+    def task(batches: Iterator) -> Iterator:
+        for batch in batches:
+            own = A.mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)) % np.uint64(4) == 0
+            yield batch.filter(pa.array(own == held))
+
+    mine = labels.select("id", "label").mapInArrow(task, "id long, label long")
+    return docs.join(mine, docs["doc_id"] == mine["id"]).select("text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int | None = None) -> Model:
+    """Fit on the documents that ``labels`` (id, label) covers; an id labelled twice counts as toxic if one label says so.
+
+    With ``most`` about that many rows of the larger class are drawn, and as large a share of the other one.
+    """
     docs = plain(docs, id_col, text_col)
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("long")).alias("label"))
-    rows = []
-    for c in (0, 1):
-        rows += [(r["id"], c) for r in one.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
-    known = np.array(sorted(rows), np.int64).reshape(-1, 2)
-    own = A.mix(known[:, 0].astype(np.uint64)) % np.uint64(4) == 0
-    model = Model.of(*gram_counts(_with_label(docs, known[~own]), bucket_count(docs.sparkSession, 1)))
+    one = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"))
+    one = one.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where("label IN (0, 1)")
+    if most is not None:
+        larger = max((r["count"] for r in one.groupBy("label").count().collect()), default=0)
+        if larger > most:
+            one = one.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / larger * (1 << 30)))
+    one = stored(one)
+    model = Model.of(*gram_counts(_with_label(docs, one, False), bucket_count(docs.sparkSession, 1)))
     ddl = "label long, x array<double>"
     schema = arrow_schema(ddl)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -249,9 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = sent.value.evidence(part.column("text"), words)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), schema.field(1).type)], schema=schema)
 
-    held = _with_label(docs, known[own]).mapInArrow(task, ddl).collect()
-    x = np.array([r["x"] for r in held], float).reshape(-1, len(STRETCHES) + 2)
-    return model.fit_curve(x, np.array([r["label"] for r in held], float))
+    return model.fit_curve(stored(_with_label(docs, one, True).mapInArrow(task, ddl)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "toxicity") -> DataFrame:
