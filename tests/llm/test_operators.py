@@ -399,6 +399,22 @@ def test_html_consensus(spark):
     assert got[None, "http://h/g"].startswith("xxx")
 
 
+def test_html_consensus_keeps_title_lead_and_sibling_sections(spark):
+    long, other = "body text that goes on for quite a while " * 6, "the second section says rather less " * 3
+    lead = "<h1>Title</h1><p>A lead of some words</p>"
+    texts = {
+        "div in article": f"<body><div><article>{lead}<div class=body><p>{long}</p></div></article></div></body>",
+        "sections in article": f"<body><article>{lead}<section class=a><p>{long}</p></section><section class=b><p>{other}</p></section></article></body>",
+        "cells in article": f"<body><main>{lead}<table><tr><td><p>{long}</p></td><td><p>{other}</p></td></tr></table></main></body>",
+        "sections alone": f"<body><nav>menu</nav><div>{lead}<section class=a><p>{long}</p></section><section class=b><p>{other}</p></section></div></body>",
+    }
+    rows = [(k, f"http://h{n}/{k}", page) for n, page in enumerate(texts.values()) for k in range(3 * n, 3 * n + 3)]
+    df = importable(spark).createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in html_consensus.extract_text(df).collect():
+        want = ["Title", "A lead of some words", long.strip()] + ([other.strip()] if r.page_id >= 3 else [])
+        assert r.text.split("\n") == want, r.url
+
+
 def test_toxicity_on_held_out_texts(spark, rng):
     common = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su") for b in ("na", "ki", "po", "de", "ver", "en")]
     rows = []

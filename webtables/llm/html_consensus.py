@@ -2,11 +2,13 @@
 
 Every page is read once into blocks of text (paragraphs, headings, list items) with the chain of
 containers around them. A block gives its length without links to its nearest container and
-half of it to the next one; a page's vote for a container is that container's share of the
+half of it to the next one; text in an article or main element counts for the outermost of these.
+A page's vote for a container is that container's share of the
 page's score. Containers are named by their generalised path: tags and classes from the root,
 without digits. Spark adds up the votes by host and path, and the strongest path of a host
 is where its pages are read from the second time. A page without that path, or without text
-there, is read from its own strongest container.
+there, is read from its own strongest container. Where the container is not marked as the article and
+much text lies beside it (title, lead, sibling sections), the lowest container with nearly all text is read.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments never count, in or outside the container. Null and empty pages give an empty text;
@@ -42,6 +44,8 @@ AROUND = set(
 INSIDE = set("article content entry post story".split())
 #: Parts into which the pages of a very frequent host are dealt.
 SALTS = 64
+#: Share of a page's text outside links that counts as nearly all.
+NEARLY = 0.9
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
@@ -168,11 +172,32 @@ def _says(near: dict[str, str], words: set[str], names: tuple[str, ...]) -> bool
     return any(name in near and words & {w.lower() for w in _WORD.findall(near[name])} for name in names)
 
 
+def _last(path: str) -> list[str]:
+    """Tag and classes of a path's container."""
+    return path.rsplit(">", 1)[-1].split(".")
+
+
+def enclosing(containers: list) -> list[int]:
+    """For each container the outermost article or main element around it; itself where there is none."""
+    out: list[int] = []
+    for k, (path, parent) in enumerate(containers):
+        above = out[parent] if parent >= 0 else k
+        out.append(above if parent >= 0 and _last(containers[above][0])[0] in ("article", "main") else k)
+    return out
+
+
+def _marked(path: str) -> bool:
+    """Whether a container says itself that it is the article."""
+    tag, *classes = _last(path)
+    return tag in ("article", "main") or any(INSIDE & set(_WORD.findall(c)) for c in classes)
+
+
 def scores(blocks: list, containers: list) -> list[float]:
-    """Score of each container of a page."""
-    out = [0.0] * len(containers)
+    """Score of each container of a page. All text of an article or main element counts for that element."""
+    out, whole = [0.0] * len(containers), enclosing(containers)
     for text, link, container in blocks:
         worth = float(len(text) - link)
+        container = whole[container]
         for share in (1.0, 0.5):
             if container >= 0:
                 out[container] += share * worth
@@ -181,14 +206,37 @@ def scores(blocks: list, containers: list) -> list[float]:
 
 
 def text_at(blocks: list, containers: list, path: str | None) -> str:
-    """The blocks inside the containers of that path, or inside the page's own strongest container."""
+    """The blocks inside the containers of that path, or inside the page's own strongest container.
 
-    def inside(chosen: set[int]) -> str:
-        held = [k in chosen for k in range(len(containers))]
+    Containers that do not say that they are the article, and hold less than ``NEARLY`` all of the page's text,
+    give way to the lowest one around them that does.
+    """
+
+    def held(chosen: set[int]) -> list[bool]:
+        out = [k in chosen for k in range(len(containers))]
         for k in range(1, len(containers)):
-            held[k] = held[k] or held[containers[k][1]]
-        return "\n".join(b[0] for b in blocks if held[b[2]])
+            out[k] = out[k] or out[containers[k][1]]
+        return out
 
+    def inside(chosen: set[int]) -> str:
+        if not chosen:
+            return ""
+        within = held(chosen)
+        if not all(_marked(containers[k][0]) for k in chosen):
+            total = sum(b[1] for b in worth)
+            if sum(w for k, w in worth if within[k]) < NEARLY * total:
+                below = [0.0] * len(containers)
+                for k, w in worth:
+                    below[k] += w
+                for k in range(len(containers) - 1, 0, -1):
+                    below[containers[k][1]] += below[k]
+                top = min(chosen)
+                while top and below[top] < NEARLY * total:
+                    top = containers[top][1]
+                within = held(chosen | {top})
+        return "\n".join(b[0] for b in blocks if within[b[2]])
+
+    worth = [(container, float(len(text) - link)) for text, link, container in blocks]
     if path:
         text = inside({k for k, c in enumerate(containers) if c[0] == path})
         if text:
