@@ -236,16 +236,38 @@ def _added(held: DataFrame, of, size: int) -> np.ndarray:
     return sum((np.frombuffer(r["total"]) for r in held.mapInArrow(task, "total binary").collect()), np.zeros(size))
 
 
-def _with_label(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
+def _packed(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, labels) by id: nine bytes a labelled row."""
+    schema = arrow_schema("blob binary")
+
+    def task(batches: Iterator) -> Iterator:
+        for batch in batches:
+            blob = A.pack(batch.column("id").to_numpy(), batch.column("label").to_numpy().astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], schema=schema)
+
+    parts = [A.unpack(r["blob"]) for r in labels.select("id", "label").mapInArrow(task, "blob binary").collect()]
+    ids = np.concatenate([np.empty(0, np.int64), *(x[0] for x in parts if len(x[0]))])
+    values = np.concatenate([np.empty(0, np.uint8), *(x[1] for x in parts if len(x[0]))])
+    order = np.argsort(ids)
+    return ids[order], values[order]
+
+
+def _with_label(docs: DataFrame, sent, held: bool) -> DataFrame:
     """(text, label) of the documents whose id is among the labelled ones that are held back, or among the others."""
+    schema = arrow_schema("text string, label long")
 
     def task(batches: Iterator) -> Iterator:
+        ids, values = sent.value
         for batch in batches:
-            own = A.mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)) % np.uint64(4) == 0
-            yield batch.filter(pa.array(own == held))
+            if not len(ids):
+                continue
+            doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
+            own = A.mix(doc.astype(np.uint64)) % np.uint64(4) == 0
+            hit = (ids[at] == doc) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (own == held)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(values[at].astype(np.int64))], schema=schema).filter(pa.array(hit))
 
-    mine = labels.select("id", "label").mapInArrow(task, "id long, label long")
-    return docs.join(mine, docs["doc_id"] == mine["id"]).select("text", "label")
+    return docs.mapInArrow(task, "text string, label long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int | None = None) -> Model:
@@ -260,8 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         larger = max((r["count"] for r in one.groupBy("label").count().collect()), default=0)
         if larger > most:
             one = one.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / larger * (1 << 30)))
-    one = stored(one)
-    model = Model.of(*gram_counts(_with_label(docs, one, False), bucket_count(docs.sparkSession, 1)))
+    known = docs.sparkSession.sparkContext.broadcast(_packed(one))
+    model = Model.of(*gram_counts(_with_label(docs, known, False), bucket_count(docs.sparkSession, 1)))
     ddl = "label long, x array<double>"
     schema = arrow_schema(ddl)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -272,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = sent.value.evidence(part.column("text"), words)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), schema.field(1).type)], schema=schema)
 
-    return model.fit_curve(stored(_with_label(docs, one, True).mapInArrow(task, ddl)))
+    return model.fit_curve(stored(_with_label(docs, known, True).mapInArrow(task, ddl)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "toxicity") -> DataFrame:
