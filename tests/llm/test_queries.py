@@ -26,7 +26,7 @@ def test_query(spark, con, key):
 
 def test_every_operator_has_one_query():
     names = list(entry.queries())
-    assert sorted(n.split("_")[0] for n in catalog.queries()) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in catalog.queries()) == sorted(f"op{k}" for k in range(1, 14))
     assert "pipeline" in names and len(names) == len(set(names))
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 

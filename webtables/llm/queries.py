@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtables.llm import bpe
+from webtables.llm.alignment import align
+from webtables.llm.centroids import cluster, summary, whole_vectors
 from webtables.llm.decontamination import find_leaks
 from webtables.llm.exchange import importable
 from webtables.llm.fingerprints import fingerprints, likeness
@@ -99,6 +102,28 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_geometric_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return summary(*cluster(whole_vectors(table, 64, 256), k=40, rounds=5, seed="2", size=64))
+
+
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_templates": op2_url_templates,
@@ -110,4 +135,7 @@ QUERIES = {
     "op8_super_kmers": op8_super_kmers,
     "op9_html_consensus": op9_html_consensus,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
+    "op11_speculative_bpe": op11_speculative_bpe,
+    "op12_geometric_kmeans": op12_geometric_kmeans,
+    "op13_merge_path_alignment": op13_merge_path_alignment,
 }

@@ -105,4 +105,35 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM t LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": OP1, "op4_line_dedup": OP4, "op5_scaled_fingerprints": OP5, "op6_bm25_decontamination": OP6, "op7_partenum_join": OP7, "op8_super_kmers": OP8}
+
+
+def _kmeans(k: int = 40, rounds: int = 5) -> str:
+    """Plain Lloyd rounds: every vector against every centroid."""
+    steps = [
+        "k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS r FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM k) WHERE c < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, min((d, c)) AS m FROM (SELECT k.r, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+            f"FROM k CROSS JOIN c{n} c) GROUP BY r)"
+        )
+        if n < rounds:
+            steps.append(
+                f"n{n} AS (SELECT c, list(f ORDER BY j) AS v FROM (SELECT c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS f FROM "
+                f"(SELECT m[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{n} JOIN k USING (r)) GROUP BY c, j) GROUP BY c)"
+            )
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{n} c LEFT JOIN n{n} n USING (c))")
+    steps.append(f"z AS (SELECT vec_id, m[2]::INT AS cluster, m[1]::BIGINT AS distance FROM a{rounds} JOIN k USING (r))")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} c ON c.c = z.cluster
+"""
+
+
+OP12 = _kmeans()
+
+ORACLE = {"op1_suffix_dedup": OP1, "op4_line_dedup": OP4, "op5_scaled_fingerprints": OP5, "op6_bm25_decontamination": OP6, "op7_partenum_join": OP7, "op8_super_kmers": OP8, "op12_geometric_kmeans": OP12}
