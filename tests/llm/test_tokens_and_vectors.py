@@ -114,16 +114,11 @@ def aligned(rows):
         if not b"".join(raw_a) == b"".join(raw_b) == (" " + text).encode():
             continue
         ends = [np.cumsum([len(x) for x in raw]).tolist() for raw in (raw_a, raw_b)]
-        groups, start = [], 0
+        groups, i, j = [], 0, 0
         for stop in sorted(set(ends[0]) & set(ends[1])):
-            groups.append([[t for t, e in zip(ids, own) if start < e <= stop] for ids, own in zip((a, b), ends)] if len(text) < 2000 else None)
-            start = stop
-        if groups[0] is None:
-            groups, i, j = [], 0, 0
-            for stop in sorted(set(ends[0]) & set(ends[1])):
-                i2, j2 = np.searchsorted(ends[0], stop) + 1, np.searchsorted(ends[1], stop) + 1
-                groups.append([a[i:i2], b[j:j2]])
-                i, j = i2, j2
+            i2, j2 = ends[0].index(stop, i) + 1, ends[1].index(stop, j) + 1
+            groups.append([a[i:i2], b[j:j2]])
+            i, j = i2, j2
         plain[doc] = (len(a), len(b), groups)
         held.update({(u, v) for x, y in groups for u in x for v in y})
     top = defaultdict(int)

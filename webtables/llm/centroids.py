@@ -66,7 +66,13 @@ def first_centroids(vectors: DataFrame, k: int, seed: str) -> np.ndarray:
     """The ``k`` vectors whose hashed ids are smallest, in that order."""
     named = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.orderBy(named.asc_nulls_last(), "vector").limit(k).collect()
-    return np.array([r.vector for r in rows], np.float64)
+    return checked(np.array([r.vector for r in rows], np.float64))
+
+
+def checked(x: np.ndarray) -> np.ndarray:
+    if np.abs(x).max(initial=0) > MOST:
+        raise ValueError(f"a component beyond {MOST}: squared distances would not fit a long")
+    return x
 
 
 def scan(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -121,9 +127,7 @@ def _assign(vectors: DataFrame, centroids: np.ndarray, loose: np.ndarray | None)
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 lists = batch.column("vector")
-                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                if np.abs(x).max(initial=0) > MOST:
-                    raise ValueError(f"a component beyond {MOST}: squared distances would not fit a long")
+                x = checked(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
                 n = len(x)
                 if loose is None:
                     was, cluster, lower = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n)
