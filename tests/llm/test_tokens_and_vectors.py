@@ -47,7 +47,7 @@ def test_ids_are_those_of_the_library(texts, path):
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert got == want
     assert 0 < codec.merges.exact
-    assert codec.texts(pa.array(want, pa.list_(pa.int32()))).to_pylist() == [library.decode(i, skip_special_tokens=False) for i in want]
+    assert bpe.Names(path).texts(pa.array(want, pa.list_(pa.int32()))).to_pylist() == [library.decode(i, skip_special_tokens=False) for i in want]
 
 
 def test_only_failing_words_are_merged():

@@ -44,8 +44,10 @@ from webtables.llm.bpe import byte_letters
 from webtables.llm.exchange import arrow_schema, stored
 
 #: Bytes of text in a slice, steps in a piece of the merge, and pairs made at once.
-SLICE = 8 << 20
+SLICE = 3 << 20
 ROWS = 1 << 12
+#: Bytes of text given to the tokenizers at once (one text at least): what they return is many times as large.
+BATCH = 1 << 18
 PIECE = 1 << 16
 BLOCK = 1 << 21
 
@@ -70,13 +72,16 @@ class Pair:
         pieces = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.bytes_b = pa.array(pieces, pa.large_binary())
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """(A ids, tokens by text, B ids, tokens by text)."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        flat = [np.fromiter((i for x in side for i in x), np.int32) for side in (a, b)]
-        size = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
-        return flat[0], size[0], flat[1], size[1]
+        sides: tuple[list, list] = ([], [])
+        for part in A.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", BATCH):
+            texts = part.column("text").to_pylist()
+            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            for side, rows in zip(sides, (a, self.b.encode(texts, num_threads=1))):
+                side.append((np.fromiter((i for x in rows for i in x), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))))
+        (a, n_a), (b, n_b) = (map(np.concatenate, zip(*side)) for side in sides)
+        return a, n_a, b, n_b
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -133,24 +138,20 @@ def _overlaps(a: np.ndarray, b: np.ndarray, i: int, i2: int, j: int, j2: int) ->
 def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
     """(A ids, A tokens by text, B ids, B tokens by text, group of A tokens, of B tokens, groups by text)."""
     column = pc.fill_null(text, "")
-    texts = column.to_pylist()
-    ids_a, n_a, ids_b, n_b = pair.encode(texts)
+    ids_a, n_a, ids_b, n_b = pair.encode(column)
     data, off = A.text_bytes(column)
-    size = off[1:] - off[:-1]
-    keep = size > 0
-    # The bytes that every text must give: a blank before each.
-    place = np.arange(len(data)) + np.repeat(np.arange(1, len(size) + 1), size)
-    want = np.full(len(data) + len(size), 0x20, np.uint8)
-    want[place] = data
-    first = off[:-1] + np.arange(len(size))
+    size = off[1:] - off[:-1] + 1
+    keep = size > 1
+    want = np.insert(data, off[:-1], 0x20)
     sides = []
     for table, ids, n in ((pair.bytes_a, ids_a, n_a), (pair.bytes_b, ids_b, n_b)):
-        got = table.take(pa.array(ids))
-        raw, ends = A.text_bytes(got)
+        raw, ends = A.text_bytes(table.take(pa.array(ids)))
         until = ends[np.concatenate([[0], np.cumsum(n)])]
-        keep &= until[1:] - until[:-1] == size + 1
-        same = _equal(raw, until[:-1], want, first, np.where(keep, size + 1, 0))
-        keep &= same
+        own = until[1:] - until[:-1]
+        keep &= own == size
+        differ = np.flatnonzero(raw[np.repeat(keep, own)] != want[np.repeat(keep, size)])
+        held = np.flatnonzero(keep)
+        keep[held[np.searchsorted(np.cumsum(size[held]), differ, "right")]] = False
         sides.append((ids, n, ends[1:] - ends[:-1]))
     out = []
     for ids, n, length in sides:
@@ -164,14 +165,6 @@ def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
     return ids_a, n_a, ids_b, n_b, of_a, of_b, np.diff(np.concatenate([[-1], last]))
 
 
-def _equal(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Are the stretches of ``size`` bytes at x0 and y0 equal? Empty ones are."""
-    step = A.ranges(size)
-    differ = x[np.repeat(x0, size) + step] != y[np.repeat(y0, size) + step]
-    row = np.repeat(np.arange(len(size)), size)
-    return np.bincount(row[differ], minlength=len(size)) == 0
-
-
 def _links(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndarray, n_groups: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of (group, A id, B id, links): the distinct id pairs of each group with the number of their occurrences."""
     sides = []
@@ -271,16 +264,16 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [_finished(row, right, schema) for row in left.to_pylist()]
+        out = [_finished(row, right, schema) for row in left.to_batches() if row.num_rows]
         return pa.Table.from_batches(out, schema)
 
     return slices.select("slice", "docs", "blob", "pairs").groupBy("slice").cogroup(back.groupBy("into")).applyInArrow(whole, ddl)
 
 
-def _finished(row: dict, counts: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
-    """The documents of a slice, with the counts of its pairs."""
-    ids_a, ids_b, size_a, size_b, n_groups = A.unpack(row["blob"])
-    pairs = np.array(row["pairs"], np.int64)
+def _finished(row: pa.RecordBatch, counts: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+    """The documents of a slice (one row), with the counts of its pairs."""
+    ids_a, ids_b, size_a, size_b, n_groups = A.unpack(row.column("blob")[0].as_py())
+    pairs = row.column("pairs").flatten().to_numpy()
     count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
     at = counts.column("at").to_numpy()
     count[at], best[at] = counts.column("n").to_numpy(), counts.column("best").to_numpy()
@@ -295,5 +288,5 @@ def _finished(row: dict, counts: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
             sums[doc[group[start]], column] += np.add.reduceat(value, start)
     n = [np.bincount(doc, s, docs).astype(np.int64) for s in (size_a, size_b)]
     text = _written((size_a, size_b), (ids_a, ids_b), n_groups)
-    columns = [row["docs"], *n, n_groups, *sums.T, text]
+    columns = [row.column("docs")[0].as_py(), *n, n_groups, *sums.T, text]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

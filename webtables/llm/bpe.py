@@ -42,8 +42,9 @@ from webtables.llm.packing import units
 NEVER = np.int64(1) << 40
 #: Distinct stretches whose ids a worker keeps; then it starts anew.
 MEMORY = 400_000
-#: Bytes of text that are encoded at once (one text at least).
-STEP = 8 << 20
+#: Bytes of text that are encoded at once (one text at least), and ids that are decoded at once (one list at least).
+STEP = 2 << 20
+IDS = 1 << 18
 
 #: A splitter for which stretches between white space can be encoded one by one, and its normalisers.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -245,7 +246,7 @@ class Merges:
 
 
 class Codec:
-    """A vocabulary file, read once per worker."""
+    """What encoding needs of a vocabulary file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -273,12 +274,6 @@ class Codec:
         self.letters = {c: b for b, c in enumerate(byte_letters())}
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.known: dict[bytes, bytes] = {}
-        self.strings = [""] * (max([*model["vocab"].values(), *self.added.values()]) + 1)
-        for name, i in (model["vocab"] | self.added).items():
-            self.strings[i] = name
-        self.decoder = (spec["decoder"] or {}).get("type")
-        if self.decoder not in (None, "ByteLevel"):
-            raise ValueError(f"unknown decoder: {self.decoder}")
 
     def _words(self, text: str) -> list[bytes | int]:
         """The words of a stretch as bytes, special tokens as their ids."""
@@ -339,23 +334,42 @@ class Codec:
         ids = flat[np.repeat((np.cumsum(size) - size)[which], length) + A.ranges(length)]
         return ids, np.concatenate([[0], np.cumsum(length)])[first]
 
+
+class Names:
+    """What decoding needs of a vocabulary file: the string of each id."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        strings = [""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            strings[i] = name
+        kind = (spec["decoder"] or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"unknown decoder: {kind}")
+        self.strings, self.raw = pa.array(strings), None
+        if kind:
+            letters = {c: b for b, c in enumerate(byte_letters())}
+            self.raw = [bytes(map(letters.get, s)) if all(c in letters for c in s) else s.encode() for s in strings]
+
     def texts(self, ids: pa.ListArray) -> pa.Array:
         """The decoded text of each list of ids, special tokens included."""
-        if self.decoder is None:
+        if self.raw is None:
             size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
             off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            return pc.binary_join(pa.ListArray.from_arrays(off, pa.array(self.strings).take(ids.flatten())), " ")
-        raw = [bytes(map(self.letters.get, s)) if all(c in self.letters for c in s) else s.encode() for s in self.strings]
-        return pa.array([b"".join(map(raw.__getitem__, row)).decode("utf-8", "replace") for row in ids.to_pylist()], pa.string())
+            return pc.binary_join(pa.ListArray.from_arrays(off, self.strings.take(ids.flatten())), " ")
+        return pa.array([b"".join(map(self.raw.__getitem__, row)).decode("utf-8", "replace") for row in ids.to_pylist()], pa.string())
 
 
-_CODECS: dict[str, Codec] = {}
+_READ: dict[tuple[type, str], Codec | Names] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def _read(kind: type, path: str):
+    """A vocabulary file as ``kind``, read once per worker."""
+    if (kind, path) not in _READ:
+        _READ[kind, path] = kind(path)
+    return _READ[kind, path]
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[int]]:
@@ -369,8 +383,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema, keep = _with(docs, ids, T.ArrayType(T.IntegerType(), False))
 
     def task(batches: Iterator) -> Iterator:
-        c = codec(path)
-        for part in A.slices(batches, text, STEP, 1 << 14):
+        c = _read(Codec, path)
+        for part in A.slices(batches, text, STEP, 4096):
             flat, first = c.ids(*A.text_bytes(part.column(text)))
             lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(flat.astype(np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists], names=schema.names)
@@ -383,12 +397,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     schema, keep = _with(docs, text, T.StringType())
 
     def task(batches: Iterator) -> Iterator:
-        c = codec(path)
+        c = _read(Names, path)
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:
-                stop = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP, "right")), at + 1)
+                stop = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + IDS, "right")), at + 1)
                 part = batch.slice(at, stop - at)
                 lists = part.column(ids).fill_null(pa.scalar([], part.column(ids).type))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), c.texts(lists)], names=schema.names)
