@@ -29,7 +29,9 @@ for itself. Rows without id are kept. Other columns are not carried. An empty ta
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +54,37 @@ PIECE = 1 << 16
 BLOCK = 1 << 21
 
 
+#: Stretches of text of at most SHORT bytes whose ids a worker keeps; then it starts anew.
+MEMORY = 200_000
+SHORT = 48
+
+#: Signs round a blank at which a text may be cut before it is tokenised.
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[0x21:0x7F] = True
+#: Fixed value: the splitter that starts a word at every blank before a letter, a digit or a sign.
+_BLANK_STARTS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): texts cut at single blanks between two signs of ASCII; ``first`` by row."""
+    blank = np.zeros(len(data), bool)
+    if len(data) > 2:
+        blank[1:-1] = (data[1:-1] == 0x20) & _GRAPHIC[data[:-2]] & _GRAPHIC[data[2:]]
+    edge = off[(off > 0) & (off < len(data))]
+    blank[edge] = blank[edge - 1] = False
+    full = off[1:] > off[:-1]
+    start, end = np.append(False, blank), np.append(blank, False)
+    start[off[:-1][full]] = end[off[1:][full]] = True
+    start = np.flatnonzero(start)
+    return start, np.flatnonzero(end), np.searchsorted(start, off)
+
+
 class Pair:
-    """The two tokenizers of a worker and the bytes of their tokens."""
+    """The two tokenizers of a worker and the bytes of their tokens.
+
+    Where both vocabularies allow it, texts are cut at blanks between signs of ASCII and each distinct stretch is tokenised once:
+    A starts a new word at such a blank, and B has no piece with a blank after another sign.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -69,19 +100,47 @@ class Pair:
         names = [self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())]
         self.bytes_a = pa.array([bytes(map(letters.__getitem__, s)) if all(c in letters for c in s) else s.encode() for s in names], pa.large_binary())
         b = self.b
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        mine = {k: (spec["pre_tokenizer"] or {}).get(k) for k in _BLANK_STARTS}
+        inner = any("▁" in b.id_to_piece(k).lstrip("▁") for k in range(b.get_piece_size()))
+        self.by_stretch = spec["normalizer"] is None and mine == _BLANK_STARTS and not inner
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
         pieces = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.bytes_b = pa.array(pieces, pa.large_binary())
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(A ids, B ids) of each text, as bytes."""
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [(array("i", x.ids).tobytes(), array("i", y).tobytes()) for x, y in zip(a, self.b.encode(texts, num_threads=1))]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """(A ids, tokens by text, B ids, tokens by text)."""
-        sides: tuple[list, list] = ([], [])
-        for part in A.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", BATCH):
-            texts = part.column("text").to_pylist()
-            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-            for side, rows in zip(sides, (a, self.b.encode(texts, num_threads=1))):
-                side.append((np.fromiter((i for x in rows for i in x), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))))
-        (a, n_a), (b, n_b) = (map(np.concatenate, zip(*side)) for side in sides)
-        return a, n_a, b, n_b
+        start, end, first = stretches(data, off) if self.by_stretch else (off[:-1], off[1:], np.arange(len(off)))
+        text, begin, _ = A.joined(data, start, end)
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(text)).astype(np.int64)), pa.py_buffer(text)])
+        coded = values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        here = {w: self.known[w] for w in distinct if w in self.known}
+        new = [w for w in distinct if w not in here]
+        size = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        at = 0
+        while at < len(new):
+            stop = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, "right")), at + 1)
+            here.update(zip(new[at:stop], self._encode([w[:-1].decode() for w in new[at:stop]])))
+            at = stop
+        self.known.update((w, here[w]) for w in new if len(w) <= SHORT)
+        which, out = coded.indices.to_numpy(), []
+        for side in (0, 1):
+            parts = [here[w][side] for w in distinct]
+            n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            length = n[which]
+            flat = np.frombuffer(b"".join(parts), np.int32)
+            ids = flat[np.repeat((np.cumsum(n) - n)[which], length) + A.ranges(length)]
+            out += [ids, np.diff(np.concatenate([[0], np.cumsum(length)])[first])]
+        return tuple(out)
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -128,18 +187,17 @@ def groups(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray
 def _overlaps(a: np.ndarray, b: np.ndarray, i: int, i2: int, j: int, j2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a token, b token, groups closed so far) for each overlap that ends in this piece."""
     p, q = a[i:i2], b[j:j2]
-    ends = np.union1d(p, q)
-    x, y = i + np.searchsorted(p, ends), j + np.searchsorted(q, ends)
-    both = np.zeros(len(ends), bool)
-    both[np.searchsorted(ends, np.intersect1d(p, q, assume_unique=True))] = True
-    return x, y, np.cumsum(both)
+    steps = np.sort(np.concatenate([p, q]), kind="stable")
+    again = np.diff(steps, prepend=-1) == 0
+    ends, both = steps[~again], np.append(again[1:], False)[~again]
+    return i + np.searchsorted(p, ends), j + np.searchsorted(q, ends), np.cumsum(both)
 
 
 def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
     """(A ids, A tokens by text, B ids, B tokens by text, group of A tokens, of B tokens, groups by text)."""
     column = pc.fill_null(text, "")
-    ids_a, n_a, ids_b, n_b = pair.encode(column)
     data, off = A.text_bytes(column)
+    ids_a, n_a, ids_b, n_b = pair.encode(data, off)
     size = off[1:] - off[:-1] + 1
     keep = size > 1
     want = np.insert(data, off[:-1], 0x20)
@@ -191,18 +249,23 @@ def _links(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndar
         at = stop
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _document_pairs(doc_of_group: np.ndarray, blocks: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct id pairs, documents that hold each)."""
     found = []
     for group, a, b, _ in blocks:
         pair, which = np.unique(a << 32 | b, return_inverse=True)
-        both = np.unique(which * np.int64(1 << 20) + doc_of_group[group])
+        both = distinct(which * np.int64(1 << 20) + doc_of_group[group])
         found.append((pair[both >> 20], both & ((1 << 20) - 1)))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if len(found) > 1:
         pair, which = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-        both = np.unique(which * np.int64(1 << 20) + np.concatenate([d for _, d in found]))
+        both = distinct(which * np.int64(1 << 20) + np.concatenate([d for _, d in found]))
         found = [(pair[both >> 20], both)]
     pair = found[0][0]
     start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))

@@ -40,8 +40,9 @@ from webtables.llm import arrays as A
 from webtables.llm.packing import units
 
 NEVER = np.int64(1) << 40
-#: Distinct stretches whose ids a worker keeps; then it starts anew.
-MEMORY = 400_000
+#: Distinct stretches of at most SHORT bytes whose ids a worker keeps; then it starts anew.
+MEMORY = 300_000
+SHORT = 64
 #: Bytes of text that are encoded at once (one text at least), and ids that are decoded at once (one list at least).
 STEP = 2 << 20
 IDS = 1 << 18
@@ -290,8 +291,8 @@ class Codec:
                 at = found.end()
         return out
 
-    def _learn(self, stretches: list[bytes]) -> None:
-        """Encode stretches not seen before; plain lower-case ones are words as they stand."""
+    def _encoded(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of stretches not seen before; plain lower-case ones are words as they stand."""
         simple = re.compile(rb"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+").fullmatch
         parts = [[w] if self.by_units and simple(w) and b"<|" not in w else self._words(w.decode()) for w in stretches]
         number: dict[bytes, int] = {}
@@ -301,8 +302,7 @@ class Codec:
                     number.setdefault(w, len(number))
         ids, first = self.merges.encode(list(number)) if number else (np.empty(0, np.int64), np.zeros(1, np.int64))
         raw, first = ids.astype("<u4").tobytes(), (4 * first).tolist()
-        for w, p in zip(stretches, parts):
-            self.known[w] = b"".join(x.to_bytes(4, "little") if isinstance(x, int) else raw[first[number[x]] : first[number[x] + 1]] for x in p)
+        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else raw[first[number[x]] : first[number[x] + 1]] for x in p) for p in parts]
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ``ids[first[d]:first[d + 1]]`` belong to row d."""
@@ -317,16 +317,13 @@ class Codec:
         distinct = coded.dictionary.to_pylist()
         if self.by_units:
             distinct = [w[:-1] for w in distinct]
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = distinct
-        if new:
-            self._learn(new)
-        parts = [known[w] for w in distinct]
-        if not self.by_units:
-            known.clear()  # whole texts are no vocabulary worth keeping
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        here = {w: self.known[w] for w in distinct if w in self.known}
+        new = [w for w in distinct if w not in here]
+        here.update(zip(new, self._encoded(new)))
+        self.known.update((w, here[w]) for w in new if len(w) <= SHORT)
+        parts = [here[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), "<u4")
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         which = coded.indices.to_numpy()
