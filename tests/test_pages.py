@@ -45,7 +45,7 @@ MAIN = [
 
 
 def test_main_content(spark):
-    toks = C.drop_boilerplate(C.main_content(tokenize(pages(spark, *[h for h, _ in MAIN]))))
+    toks = C.drop_boilerplate(C.main_content(pages(spark, *[h for h, _ in MAIN])))
     got = {r.page_id: r.html for r in C.assemble(toks).collect()}
     assert [got[i] for i in range(len(MAIN))] == [want for _, want in MAIN]
 
@@ -178,7 +178,7 @@ MARKDOWN = [
 
 
 def test_markdown(spark):
-    toks = C.drop_boilerplate(C.main_content(tokenize(pages(spark, *[h for h, _ in MARKDOWN]))))
+    toks = C.drop_boilerplate(C.main_content(pages(spark, *[h for h, _ in MARKDOWN])))
     got = {r.page_id: r.markdown for r in MD.to_markdown(toks).collect()}
     assert [got[i] for i in range(len(MARKDOWN))] == [want for _, want in MARKDOWN]
 
@@ -187,7 +187,7 @@ def test_rewrite_links(spark):
     html = "<a class=k href='/docs/x?y'>x</a><a href='https://o.example/z'>o</a><a href>s</a><a href=\"../q/\">q</a>"
     df = pages(spark, html)
     rules = Rules(base_domain="h.example.com")
-    got = one(C.assemble(RW.rewrite_links(tokenize(df, keep=("url",)), rules)), "html")
+    got = one(RW.rewrite_links(df, rules), "html")
     assert got == (
         '<a class=k href="../x.md">x</a><a href=\'https://o.example/z\'>o</a><a href="b.html">s</a>'
         '<a href="../q/index.md">q</a>'
@@ -210,8 +210,7 @@ def test_resources(spark):
     assert paths["https://h.example.com/s/m.css?v=1"] == "out/shared_resources/m.css"
     assert paths["https://secure.gravatar.com/avatar/9"].startswith("out/shared_resources/cdn_images/resource_")
     keep = reg.where("url like '%h.example.com%'")
-    toks = tokenize(RW.with_stored_resources(df, refs, keep), keep=("url", "stored"))
-    got = one(C.assemble(RW.rewrite_resources(toks)), "html")
+    got = one(RW.rewrite_resources(RW.with_stored_resources(df, refs, keep)), "html")
     assert got == (
         '<link rel=\'stylesheet\' href="../shared_resources/m.css"><link rel=icon href=/f.ico>'
         "<img src='//secure.gravatar.com/avatar/9'><img alt=x><img src=\"../shared_resources/i.png\">"
@@ -230,7 +229,7 @@ def test_attachments(spark):
         [(0, f"{base}/wiki/download/attachments/1/a%20b.png?v=2", "spaces/S/pages/1/attachments/9_a_b.png"),
          (0, "", "x")], "page_id bigint, download_url string, local_path string")
     df = RW.with_shown_attachments(pages(spark, html), atts)
-    got = one(C.assemble(RW.rewrite_attachments(tokenize(df, keep=("shown",)))), "html")
+    got = one(RW.rewrite_attachments(df), "html")
     assert got == '<img src="attachments/9_a_b.png">' * 6 + '<img src="https://other/wiki/download/attachments/1/a%20b.png">'
 
 

@@ -14,6 +14,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webtables.functions.stages import let
+
 # A tag, a declaration, a run of text, or a stray '<'. A quoted value (after '=') may hide '>'. Whatever
 # never closes runs to the end of the page, so that its text is read once and not once per opener.
 TOKEN = (
@@ -21,6 +23,16 @@ TOKEN = (
     r"""|<![^>]*+(?:>|\z)|[^<]++|<)"""
 )
 
+# Elements whose content is text whatever it looks like.
+RAW_TAGS = ("script", "style")
+
+# As TOKEN, but a comment, and a raw element with its text and end tag, are one token each.
+WHOLE = (
+    r"((?s:<!--.*?(?:-->|\z))|"
+    + "|".join(rf"(?is:<{t}(?:[\s/][^>]*+)?+>.*?(?:</{t}(?:[\s/][^>]*+)?+(?:>|\z)|\z))" for t in RAW_TAGS)
+    + "|" + TOKEN[1:]
+)
+
 # Elements that never have content.
 VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
@@ -87,12 +99,15 @@ def attr(tok: Column, name: str) -> Column:
 
 def set_attr(tok: Column, name: str, value: Column) -> Column:
     """The tag with one present attribute set to ``value``, double-quoted and escaped."""
-    matched = F.regexp_extract(tok, _attr_pattern(name), 0)
-    old = F.regexp_extract(tok, _attr_pattern(name), 1)
-    head = F.substring(matched, F.lit(1), F.length(matched) - F.length(old))
-    equals = F.when((old == "") & ~head.rlike(r"=\s*$"), "=").otherwise("")
-    tail = F.substring(tok, F.length(matched) + 1, F.length(tok))
-    return F.concat(head, equals, F.lit('"'), escape(value), F.lit('"'), tail)
+
+    def put(m: Column) -> Column:
+        head = F.substring(m["all"], F.lit(1), F.length(m["all"]) - F.length(m["old"]))
+        equals = F.when((m["old"] == "") & ~head.rlike(r"=\s*$"), "=").otherwise("")
+        tail = F.substring(tok, F.length(m["all"]) + 1, F.length(tok))
+        return F.concat(head, equals, F.lit('"'), escape(value), F.lit('"'), tail)
+
+    pattern = _attr_pattern(name)
+    return let(F.struct(F.regexp_extract(tok, pattern, 0).alias("all"), F.regexp_extract(tok, pattern, 1).alias("old")), put)
 
 
 def escape(text: Column) -> Column:

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it; also inside lambdas.
+
+    A fold over nothing only finishes: unlike a one-element transform it does not copy the value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
 def pin(df: DataFrame, cols: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
     """Add (or replace) columns such that later filters read them as they are.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtables.functions.stages import pin
+from webtables.functions.stages import let, pin
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _RE_SCHEME = rf"^({_SCHEME}):"
@@ -126,42 +126,60 @@ def fold_dots(p: Column) -> Column:
     return F.when(p.rlike(_RE_DOTS), F.array_join(F.concat(folded, tail), "/")).otherwise(p)
 
 
-def with_resolved(df: DataFrame, base: str, href: str, out: str = "abs_url") -> DataFrame:
-    """Join ``href`` onto ``base`` as a browser would (RFC 3986 with the usual leniency)."""
-    t = "__r_"
-    staged = df.withColumns({f"{t}h": tidy(href), f"{t}b": tidy(base)})
-    staged = staged.withColumns(
-        {
-            f"{t}hs": scheme(f"{t}h"), f"{t}hn": netloc(f"{t}h"), f"{t}hp": full_path(f"{t}h"),
-            f"{t}hq": query(f"{t}h"), f"{t}hf": fragment(f"{t}h"),
-            f"{t}bs": scheme(f"{t}b"), f"{t}bn": netloc(f"{t}b"), f"{t}bp": full_path(f"{t}b"),
-            f"{t}bq": query(f"{t}b"),
-        }
-    )
-    c = {k: F.col(f"{t}{k}") for k in ("hs", "hn", "hp", "hq", "hf", "bs", "bn", "bp", "bq")}
+def _url_parts(href: Column, base: Column) -> dict[str, Column]:
+    """Parts of a tidy href (h*) and of a tidy base (b*)."""
+    return {
+        "hs": scheme(href), "hn": netloc(href), "hp": full_path(href), "hq": query(href), "hf": fragment(href),
+        "bs": scheme(base), "bn": netloc(base), "bp": full_path(base), "bq": query(base),
+    }
+
+
+def _joined_path(c) -> Column:
+    """The path of an href with a path of its own, dot segments still in it; ``c`` has the parts."""
     main = cut_params(c["hp"])
     base_dir = F.regexp_replace(F.when(c["bp"] == "", "/").otherwise(cut_params(c["bp"])), r"[^/]*$", "")
-    joined = F.when(c["hp"].startswith("/"), main).otherwise(
-        F.regexp_replace(F.concat(base_dir, main), "/{2,}", "/")
-    )
-    staged = staged.withColumn(f"{t}j", joined).withColumn(f"{t}d", fold_dots(F.col(f"{t}j")))
-    dots = F.col(f"{t}d")
+    return F.when(c["hp"].startswith("/"), main).otherwise(F.regexp_replace(F.concat(base_dir, main), "/{2,}", "/"))
+
+
+def _joined_url(c, dots: Column, base: Column, href: Column) -> Column:
+    """The joined URL from the parts ``c`` and the folded path ``dots``."""
     rooted = F.when(dots.startswith("/"), dots).otherwise(F.concat(F.lit("/"), dots))
-    params = F.substring(c["hp"], F.length(main) + 1, F.length(c["hp"]))
+    params = F.substring(c["hp"], F.length(cut_params(c["hp"])) + 1, F.length(c["hp"]))
     origin = F.concat(c["bs"], F.lit("://"), c["bn"])
     q = F.when(c["hq"] != "", F.concat(F.lit("?"), c["hq"])).otherwise(F.lit(""))
     base_q = F.when(c["bq"] != "", F.concat(F.lit("?"), c["bq"])).otherwise(F.lit(""))
     f = F.when(c["hf"] != "", F.concat(F.lit("#"), c["hf"])).otherwise(F.lit(""))
-    result = (
-        F.when(F.col(href) == "", F.col(base))
-        .when(F.col(base) == "", F.col(href))
-        .when((c["hs"] != "") & (c["hs"] != c["bs"]), F.col(href))
+    return (
+        F.when(href == "", base)
+        .when(base == "", href)
+        .when((c["hs"] != "") & (c["hs"] != c["bs"]), href)
         .when(c["hn"] != "", F.concat(c["bs"], F.lit("://"), c["hn"], c["hp"], q, f))
         .when(c["hp"] == "", F.concat(origin, c["bp"], F.when(c["hq"] != "", q).otherwise(base_q), f))
         .otherwise(F.concat(origin, rooted, params, q, f))
     )
+
+
+def with_resolved(df: DataFrame, base: str, href: str, out: str = "abs_url") -> DataFrame:
+    """Join ``href`` onto ``base`` as a browser would (RFC 3986 with the usual leniency)."""
+    t = "__r_"
+    staged = df.withColumns({f"{t}h": tidy(href), f"{t}b": tidy(base)})
+    staged = staged.withColumns({f"{t}{k}": v for k, v in _url_parts(F.col(f"{t}h"), F.col(f"{t}b")).items()})
+    c = {k: F.col(f"{t}{k}") for k in ("hs", "hn", "hp", "hq", "hf", "bs", "bn", "bp", "bq")}
+    staged = staged.withColumn(f"{t}j", _joined_path(c)).withColumn(f"{t}d", fold_dots(F.col(f"{t}j")))
     temps = tuple(n for n in staged.columns if n.startswith(t))
-    return pin(staged, {out: result}, drop=temps)
+    return pin(staged, {out: _joined_url(c, F.col(f"{t}d"), F.col(base), F.col(href))}, drop=temps)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """As with_resolved, for use on the items of an array."""
+
+    def parts(s: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in _url_parts(tidy(s["h"]), tidy(s["b"])).items()])
+
+    def joined(s: Column) -> Column:
+        return let(parts(s), lambda c: let(let(_joined_path(c), fold_dots), lambda d: _joined_url(c, d, s["b"], s["h"])))
+
+    return let(F.struct(href.alias("h"), base.alias("b")), joined)
 
 
 def with_wiki_resolved(df: DataFrame, base_url: str, href: str = "href", out: str = "abs_url") -> DataFrame:
@@ -221,22 +239,40 @@ def extension(fmt: str) -> str:
     return ".md" if fmt == "markdown" else ".html"
 
 
-def with_local_path(
-    df: DataFrame, col: str = "clean_url", fmt: str = "markdown", out_dir: str = "out", out: str = "local_path"
-) -> DataFrame:
-    """File a page is stored under. Staged, so that every step runs once per row."""
-    ext = extension(fmt)
-    p = F.col("__path")
-    df = df.withColumn("__path", F.regexp_replace(path(col), f"^(?:{'|'.join(LOCAL_PATH_PREFIXES)})", ""))
+def _stored_path(c: Column | str) -> Column:
+    """URL path without the leading parts that local paths leave out."""
+    return F.regexp_replace(path(c), f"^(?:{'|'.join(LOCAL_PATH_PREFIXES)})", "")
+
+
+def _file_name(p: Column, ext: str) -> Column:
     named = (
         F.when(p.isin("", "/"), f"index{ext}")
         .when(p.endswith("/"), F.concat(p, F.lit(f"index{ext}")))
         .when(p.endswith(".html") | p.endswith(".md"), p)
         .otherwise(F.concat(p, F.lit(ext)))
     )
-    df = df.withColumn("__path", F.translate(named, '<>:"|?*', "_______"))
+    return F.translate(named, '<>:"|?*', "_______")
+
+
+def _below(p: Column, out_dir: str) -> Column:
+    return F.concat(F.lit(f"{out_dir}/"), F.regexp_replace(p, "^/+", ""))
+
+
+def with_local_path(
+    df: DataFrame, col: str = "clean_url", fmt: str = "markdown", out_dir: str = "out", out: str = "local_path"
+) -> DataFrame:
+    """File a page is stored under. Staged, so that every step runs once per row."""
+    p = F.col("__path")
+    df = df.withColumn("__path", _stored_path(col))
+    df = df.withColumn("__path", _file_name(p, extension(fmt)))
     df = df.withColumn("__path", percent_decode(p))
-    return df.withColumn(out, F.concat(F.lit(f"{out_dir}/"), F.regexp_replace(p, "^/+", ""))).drop("__path")
+    return df.withColumn(out, _below(p, out_dir)).drop("__path")
+
+
+def local_path(u: Column, fmt: str = "markdown", out_dir: str = "out") -> Column:
+    """As with_local_path, for use on the items of an array."""
+    named = let(_stored_path(u), lambda p: _file_name(p, extension(fmt)))
+    return _below(let(named, percent_decode), out_dir)
 
 
 def page_dir(c: Column | str, space: Column, fmt: str = "markdown", out_dir: str = "out") -> Column:
@@ -253,23 +289,40 @@ def dirname(p: Column) -> Column:
     return F.regexp_replace(p, r"/?[^/]*$", "")
 
 
-def _flat_parts(p: Column) -> Column:
+def flat_parts(p: Column) -> Column:
+    """The parts of a path, dot segments folded."""
     return F.filter(F.split(fold_dots(F.regexp_replace(p, "/{2,}", "/")), "/", -1), lambda s: s != "")
 
 
+def _shared_parts(a: Column, b: Column) -> Column:
+    """How many parts two paths share from the start on."""
+    same = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return let(same, lambda n: F.when(n == 0, F.least(F.size(a), F.size(b))).otherwise(n - 1).cast("int"))
+
+
+def _climbed(a: Column, b: Column, n: Column) -> Column:
+    """From the directory of parts ``b`` to the file of parts ``a``, which share ``n`` parts."""
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(b) - n), F.slice(a, n + 1, F.size(a))), "/")
+
+
 def with_rel_path(df: DataFrame, target: str, start_dir: str, out: str = "rel_path") -> DataFrame:
     """Relative path from a directory to a file, '/' separators. NULL in, NULL out."""
-    a, b, n = F.col("__to"), F.col("__from"), F.col("__same")
-    df = df.withColumns({"__to": _flat_parts(F.col(target)), "__from": _flat_parts(F.col(start_dir))})
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    df = df.withColumn("__same", F.array_position(same, False))
-    df = df.withColumn("__same", F.when(n == 0, F.least(F.size(a), F.size(b))).otherwise(n - 1).cast("int"))
-    ups = F.array_repeat(F.lit(".."), F.size(b) - n)
-    joined = F.array_join(F.concat(ups, F.slice(a, n + 1, F.size(a))), "/")
-    df = df.withColumn("__to", F.when(a.isNotNull() & b.isNotNull(), joined))
+    a, b = F.col("__to"), F.col("__from")
+    df = df.withColumns({"__to": flat_parts(F.col(target)), "__from": flat_parts(F.col(start_dir))})
+    df = df.withColumn("__same", F.when(a.isNotNull() & b.isNotNull(), _shared_parts(a, b)))
+    df = df.withColumn("__to", F.when(F.col("__same").isNotNull(), _climbed(a, b, F.col("__same"))))
     return df.withColumn(out, F.when(F.col("__to") == "", ".").otherwise(F.col("__to"))).drop("__to", "__from", "__same")
 
 
+def rel_path(target: Column, start_parts: Column) -> Column:
+    """As with_rel_path, for use on the items of an array; ``start_parts`` is the directory as ``flat_parts``. No NULLs."""
+
+    def climbed(a: Column) -> Column:
+        return let(_shared_parts(a, start_parts), lambda n: _climbed(a, start_parts, n))
+
+    return let(let(flat_parts(target), climbed), lambda r: F.when(r == "", ".").otherwise(r))
+
+
 def safe_file_name(c: Column) -> Column:
     """Attachment file name that any file system takes."""
     name = F.regexp_replace(F.translate(c, " ", "_"), r'[<>:"/\\|?*]', "")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from webtables.operators import tracker as T
 from webtables.operators.resources import RESOURCE_TYPES, with_resource_type
 from webtables.session import prepare
-from webtables.sources.pages import read_pages
+from webtables.sources.pages import dealt, read_pages
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -61,7 +61,7 @@ RICH_HTML = (
 
 
 def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).withColumn("html", F.expr(RICH_HTML))
+    return dealt(pages(spark, sf)).withColumn("html", F.expr(RICH_HTML))
 
 
 RICH_PAGES = f"rich AS (SELECT page_id, url, {RICH_HTML} AS html FROM pages)"

@@ -12,11 +12,13 @@ from webtables.operators import links as L
 from webtables.operators import markdown as M
 from webtables.operators import resources as R
 from webtables.operators import rewrite as W
+from webtables.operators import selectors as E
 from webtables.operators.scope import Rules
 from webtables.operators.tokens import tokenize
 from webtables.plans import duck as D
 from webtables.plans import inputs as I
 from webtables.session import cut_lineage
+from webtables.sources.pages import dealt
 
 LINKS = Rules(exclude=("/login", "?delete", "action=", "/th"), valid=("/",))
 OUT_OF_REWRITE = ("/login", "/th", "other.example.org")
@@ -36,16 +38,39 @@ def html_strip_active(spark, sf):
     return C.strip_active(I.rich_pages(spark, sf))
 
 
-def _main_tokens(spark, sf):
-    return C.main_content(tokenize(I.rich_pages(spark, sf), keep=("url",)))
+def _main(spark, sf):
+    return C.main_content(I.rich_pages(spark, sf).select("page_id", "html"))
 
 
 def html_main(spark, sf):
-    return C.assemble(_main_tokens(spark, sf))
+    return C.assemble(_main(spark, sf))
 
 
 def html_boilerplate(spark, sf):
-    return C.assemble(C.drop_boilerplate(_main_tokens(spark, sf)))
+    return C.assemble(C.drop_boilerplate(_main(spark, sf)))
+
+
+# Elements that a clean page loses: a usual list, and a chain.
+REMOVED = ("script", "noscript", "iframe[src*='ads']", ".advertisement", "#sidebar", "div.advert > table td.k")
+_CLUTTER = (
+    "'<div id=\"sidebar\">side<div>in</div></div><iframe src=\"/ads/' || page_id || '\"></iframe><iframe src=\"/video\"></iframe><p class=\"x advertisement\">ad<b>s</b></p>"
+    "<noscript>n<b>s</b></noscript><div class=\"advert\"><p class=\"k\">kept</p><table><tr><td class=\"k\">gone' || page_id || '</td><td>kept</td></tr></table>"
+    "<div><table><tr><td class=\"k\">no child</td></tr></table></div></div></article>'"
+)
+_CLUTTERED = f"replace(html, '</article>', {_CLUTTER})"
+
+
+def _cluttered(spark, sf):
+    return I.rich_pages(spark, sf).withColumn("html", F.expr(_CLUTTERED))
+
+
+def html_remove_elements(spark, sf):
+    return E.remove_elements(_cluttered(spark, sf), REMOVED)
+
+
+def html_select_elements(spark, sf):
+    """Links and images inside articles, with their place among the tokens of the page."""
+    return E.select_elements(_cluttered(spark, sf), "article a[href^='/'], article img[alt]").select("page_id", "pos", "tok", "html")
 
 
 def html_title(spark, sf):
@@ -53,11 +78,11 @@ def html_title(spark, sf):
 
 
 def html_text(spark, sf):
-    return C.main_text(C.drop_boilerplate(_main_tokens(spark, sf)))
+    return C.main_text(C.drop_boilerplate(_main(spark, sf)))
 
 
 def html_markdown(spark, sf):
-    return M.to_markdown(C.drop_boilerplate(_main_tokens(spark, sf)))
+    return M.to_markdown(C.drop_boilerplate(_main(spark, sf)))
 
 
 def _documents(spark, sf):
@@ -82,7 +107,7 @@ def md_header(spark, sf):
 
 
 def html_rewrite_links(spark, sf):
-    return C.assemble(W.rewrite_links(tokenize(I.rich_pages(spark, sf), keep=("url",)), REWRITE))
+    return W.rewrite_links(I.rich_pages(spark, sf), REWRITE)
 
 
 def html_resources(spark, sf):
@@ -103,8 +128,7 @@ def resource_rewrite(spark, sf):
     # Read twice below: written out once instead of cutting every page into tokens again.
     refs = cut_lineage(R.resource_refs(pages))
     stored = R.resource_registry(refs).where("url NOT LIKE '%/static/i3.png'")
-    toks = tokenize(W.with_stored_resources(pages, refs, stored), keep=("url", "stored"))
-    return C.assemble(W.rewrite_resources(toks))
+    return W.rewrite_resources(W.with_stored_resources(pages, refs, stored))
 
 
 def resource_collisions(spark, sf):
@@ -134,7 +158,7 @@ def auth_wall(spark, sf):
 def attachment_rewrite(spark, sf):
     pages = attachment_pages(spark, sf)
     atts = page_attachment_list(spark, sf)
-    return C.assemble(W.rewrite_attachments(tokenize(W.with_shown_attachments(pages, atts), keep=("shown",))))
+    return W.rewrite_attachments(W.with_shown_attachments(pages, atts))
 
 
 _SHOWN_FORMS = (
@@ -151,7 +175,7 @@ _SHOWN_HTML = " || ".join(f"'<img src=\"' || {form} || '\">'" for form in _SHOWN
 
 
 def attachment_pages(spark, sf):
-    return I.pages(spark, sf).withColumn("html", F.expr(f"replace(html, '</article>', {_SHOWN_HTML} || '</article>')"))
+    return dealt(I.pages(spark, sf)).withColumn("html", F.expr(f"replace(html, '</article>', {_SHOWN_HTML} || '</article>')"))
 
 
 def page_attachment_list(spark, sf):
@@ -190,6 +214,7 @@ QUERIES = {
         html_tokens, html_links, html_strip_active, html_main, html_boilerplate, html_title, html_text, html_markdown,
         md_header, html_rewrite_links, html_resources, resource_registry, resource_type, resource_rewrite,
         resource_collisions, content_stats, auth_wall, attachment_rewrite, broken_links, set_link_union, link_degree,
+        html_remove_elements, html_select_elements,
     )
 }
 
@@ -242,6 +267,20 @@ _DOC_SQL = """SELECT doc_id, 'https://wiki.example.com/pages/' || doc_id AS url,
   upper(source) AS space_key, 'Space ' || source AS space_name,
   CASE WHEN doc_id % 5 <> 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE 'N/A' END AS updated_when, text FROM documents"""
 
+# All tokens of a page with comments and raw elements whole, where elements end, and what the selectors look at.
+_WHOLE = (
+    "((?s:<!--.*?(?:-->|\\z))|" + "|".join(f"(?is:<{t}(?:[\\s/][^>]*)?>.*?(?:</{t}(?:[\\s/][^>]*)?>|\\z))" for t in ("script", "style")) + "|" + D.TOKEN[1:]
+)
+_ELEMENTS = f"""clut AS (SELECT page_id, {_CLUTTERED} AS html FROM rich),
+wl AS (SELECT page_id, regexp_extract_all(html, '{_WHOLE}', 1) AS l FROM clut),
+wr AS (SELECT page_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS tok FROM wl),
+wt AS (SELECT *, lower(regexp_extract(tok, '(?s)^</?([A-Za-z][^\\s/>]*).*>$', 1)) AS tag, tok LIKE '</%' AS is_close FROM wr),
+wo AS (SELECT *, tag <> '' AND NOT is_close AND tag NOT IN ({D.VOID}, 'script', 'style') AND tok NOT LIKE '%/>' AS opens FROM wt),
+wd AS (SELECT *, sum(CASE WHEN opens THEN 1 WHEN tag <> '' AND is_close THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth FROM wo),
+we AS (SELECT *, CASE WHEN opens THEN lead(pos) OVER (PARTITION BY page_id, tag, CASE WHEN opens THEN depth WHEN tag <> '' AND is_close THEN depth + 1 END ORDER BY pos) END AS e FROM wd),
+el AS (SELECT page_id, pos, tok, tag, CASE WHEN opens THEN coalesce(e, 2147483647) ELSE pos END AS e, ' ' || regexp_replace({D.attr('tok', 'class')}, '\\s+', ' ', 'g') || ' ' AS cls,
+  {D.attr('tok', 'id')} AS ident, {D.attr('tok', 'src')} AS src, {D.attr('tok', 'href')} AS href FROM we WHERE tag <> '' AND NOT is_close)"""
+
 _NL = "chr(10)"
 _BLOCK_TAGS = "'p', 'div', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'ul', 'ol', 'li', 'pre', 'blockquote', 'table', 'tr', 'td', 'th'"
 _HEADS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
@@ -311,6 +350,16 @@ ORACLE = {
       WHERE NOT (tag = 'meta' AND lower({D.attr('tok', 'http-equiv')}) = 'refresh') GROUP BY page_id""",
     "html_main": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_all GROUP BY page_id",
     "html_boilerplate": f"{_MAIN} SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM main_kept GROUP BY page_id",
+    "html_remove_elements": f"""WITH {I.RICH_PAGES}, {_ELEMENTS},
+      child AS (SELECT d.page_id, t.pos, t.e FROM el d JOIN el t ON d.page_id = t.page_id AND t.pos > d.pos AND t.pos <= d.e WHERE d.tag = 'div' AND d.cls LIKE '% advert %' AND t.tag = 'table'
+        AND NOT EXISTS (SELECT 1 FROM el m WHERE m.page_id = d.page_id AND m.pos > d.pos AND m.pos < t.pos AND m.e > t.pos)),
+      hit AS (SELECT page_id, pos, e FROM el WHERE tag IN ('script', 'noscript') OR (tag = 'iframe' AND contains(src, 'ads')) OR cls LIKE '% advertisement %' OR ident = 'sidebar'
+        UNION SELECT c.page_id, c.pos, c.e FROM child t JOIN el c ON c.page_id = t.page_id AND c.pos > t.pos AND c.pos <= t.e WHERE c.tag = 'td' AND c.cls LIKE '% k %')
+      SELECT page_id, string_agg(tok, '' ORDER BY pos) AS html FROM we WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.page_id = we.page_id AND we.pos BETWEEN hit.pos AND hit.e) GROUP BY page_id""",
+    "html_select_elements": f"""WITH {I.RICH_PAGES}, {_ELEMENTS},
+      s AS (SELECT * FROM el c WHERE ((tag = 'a' AND href LIKE '/%') OR (tag = 'img' AND regexp_matches(tok, '(?i)[\\s/]alt[\\s=/>]')))
+        AND EXISTS (SELECT 1 FROM el p WHERE p.page_id = c.page_id AND p.tag = 'article' AND p.pos < c.pos AND p.e >= c.pos))
+      SELECT s.page_id, s.pos, s.tok, string_agg(we.tok, '' ORDER BY we.pos) AS html FROM s JOIN we ON we.page_id = s.page_id AND we.pos BETWEEN s.pos AND s.e GROUP BY s.page_id, s.pos, s.tok""",
     "html_title": f"""WITH {I.RICH_PAGES} SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page') AS title FROM rich""",
     "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
     "html_markdown": f"{_MAIN}, {_MARKDOWN}",

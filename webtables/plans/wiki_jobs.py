@@ -19,7 +19,6 @@ from webtables.operators import markdown as M
 from webtables.operators import reports as R
 from webtables.operators import wiki as W
 from webtables.operators.scope import Rules
-from webtables.operators.tokens import tokenize
 from webtables.plans import duck as D
 from webtables.plans import inputs as I
 from webtables.session import checkpoint_dir
@@ -227,7 +226,7 @@ def _room(spark) -> str:
 def snk_documents(spark, sf):
     """Rendered pages written by host, and what the written files hold."""
     pages = I.pages(spark, sf)
-    md = M.to_markdown(C.drop_boilerplate(C.main_content(tokenize(pages))))
+    md = M.to_markdown(C.drop_boilerplate(C.main_content(pages)))
     docs = md.join(C.page_titles(pages), "page_id").join(pages.select("page_id", "url"), "page_id")
     docs = U.with_local_path(U.with_clean_url(M.with_md_header(docs)))
     path = _room(spark)
