@@ -46,16 +46,16 @@ from webtables.llm.bpe import byte_letters
 from webtables.llm.exchange import arrow_schema, stored
 
 #: Bytes of text in a slice, steps in a piece of the merge, and pairs made at once.
-SLICE = 3 << 20
+SLICE = 3 << 19
 ROWS = 1 << 12
 #: Bytes of text given to the tokenizers at once (one text at least): what they return is many times as large.
 BATCH = 1 << 18
 PIECE = 1 << 16
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 
 #: Stretches of text of at most SHORT bytes whose ids a worker keeps; then it starts anew.
-MEMORY = 200_000
+MEMORY = 100_000
 SHORT = 48
 
 #: Signs round a blank at which a text may be cut before it is tokenised.
@@ -211,6 +211,7 @@ def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
         held = np.flatnonzero(keep)
         keep[held[np.searchsorted(np.cumsum(size[held]), differ, "right")]] = False
         sides.append((ids, n, ends[1:] - ends[:-1]))
+    del raw, want, differ, data
     out = []
     for ids, n, length in sides:
         on = np.repeat(keep, n)
@@ -281,7 +282,7 @@ def _slices(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def task(batches: Iterator) -> Iterator:
         pair, number = _pair(path_a, path_b), TaskContext.get().partitionId() << 32
         for part in A.slices(batches, "text", SLICE, ROWS):
-            ids_a, n_a, ids_b, n_b, of_a, of_b, n_groups = _aligned(pair, part.column("text"))
+            ids_a, _, ids_b, _, of_a, of_b, n_groups = _aligned(pair, part.column("text"))
             total = int(n_groups.sum())
             pairs, held = _document_pairs(np.repeat(np.arange(len(n_groups)), n_groups), _links(ids_a, of_a, ids_b, of_b, total))
             sizes = [np.bincount(of, minlength=total).astype(np.int32) for of in (of_a, of_b)]
