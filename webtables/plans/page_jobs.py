@@ -307,7 +307,8 @@ _O = "o AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
 _D = "d AS (PARTITION BY page_id, list_ ORDER BY pos ROWS UNBOUNDED PRECEDING)"
 _ALT, _SRC, _IMG_TITLE = D.attr("tok", "alt"), D.attr("tok", "src"), D.attr("tok", "title")
 _HREF = D.attr("tok", "href")
-_MARKDOWN = rf"""c1 AS (SELECT page_id, pos, tok, kind, tag, is_close, {_depth("'ul', 'ol'")} AS list_, {_depth("'blockquote'")} AS quote_, {_depth("'pre'")} AS pre_,
+# Ends in markdown_of (page_id, markdown), from main_kept.
+MARKDOWN = rf"""c1 AS (SELECT page_id, pos, tok, kind, tag, is_close, {_depth("'ul', 'ol'")} AS list_, {_depth("'blockquote'")} AS quote_, {_depth("'pre'")} AS pre_,
     {_depth("'code'")} AS code_, {_depth(_HEADS)} AS head_, {_depth("'td', 'th'")} AS cell_, {_opened("'tr'")} AS rows_, {_opened("'td', 'th'")} AS cells_,
     {_last(_HREF, "'a'")} AS href, {_last(_IMG_TITLE, "'a'")} AS title, lag(tag, 1, 'p') OVER b AS prev_, lead(tag, 1, 'p') OVER b AS next_,
     lead(tok, 1) OVER b AS next_tok, lead(tag, 2) OVER b || CAST(lead(is_close, 2) OVER b AS VARCHAR) AS after_
@@ -338,8 +339,8 @@ c6 AS (SELECT page_id, pos, quote_, CASE
     WHEN tag = 'tr' THEN CASE WHEN NOT is_close THEN {_NL} WHEN row_no = 1 THEN '|' || {_NL} || '|' || repeat(' --- |', row_cells::BIGINT) ELSE '|' END
     WHEN tag IN ('td', 'th') THEN CASE WHEN is_close THEN ' ' ELSE '| ' END ELSE '' END AS frag0 FROM c5),
 c7 AS (SELECT page_id, pos, CASE WHEN quote_ > 0 THEN replace(frag0, {_NL}, {_NL} || repeat('> ', quote_::BIGINT)) ELSE frag0 END AS frag FROM c6),
-c8 AS (SELECT page_id, coalesce(string_agg(frag, '' ORDER BY pos), '') AS md FROM c7 GROUP BY page_id)
-SELECT page_id, replace(regexp_replace(regexp_replace(md, '(?:\n((?:> )*)){{2,}}', {_NL} || {_NL} || '\1', 'g'), '^\s+|\s+$', '', 'g'), chr(57344), {_NL}) AS markdown FROM c8"""
+c8 AS (SELECT page_id, coalesce(string_agg(frag, '' ORDER BY pos), '') AS md FROM c7 GROUP BY page_id),
+markdown_of AS (SELECT page_id, replace(regexp_replace(regexp_replace(md, '(?:\n((?:> )*)){{2,}}', {_NL} || {_NL} || '\1', 'g'), '^\s+|\s+$', '', 'g'), chr(57344), {_NL}) AS markdown FROM c8)"""
 
 
 ORACLE = {
@@ -362,7 +363,7 @@ ORACLE = {
       SELECT s.page_id, s.pos, s.tok, string_agg(we.tok, '' ORDER BY we.pos) AS html FROM s JOIN we ON we.page_id = s.page_id AND we.pos BETWEEN s.pos AND s.e GROUP BY s.page_id, s.pos, s.tok""",
     "html_title": f"""WITH {I.RICH_PAGES} SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page') AS title FROM rich""",
     "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
-    "html_markdown": f"{_MAIN}, {_MARKDOWN}",
+    "html_markdown": f"{_MAIN}, {MARKDOWN} SELECT * FROM markdown_of",
     "md_header": f"""WITH d AS ({_DOC_SQL}) SELECT doc_id, 'html' AS mode, '# ' || title || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10)
       || '---' || chr(10) || chr(10) || text AS content FROM d UNION ALL SELECT doc_id, 'api', '# ' || title || chr(10) || chr(10) || '**Space:** ' || space_key || ' - ' || space_name
       || chr(10) || chr(10) || '**Page ID:** ' || doc_id || chr(10) || chr(10) || '**Last Updated:** ' || updated_when || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text FROM d""",

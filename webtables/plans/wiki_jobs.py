@@ -21,8 +21,10 @@ from webtables.operators import wiki as W
 from webtables.operators.scope import Rules
 from webtables.plans import duck as D
 from webtables.plans import inputs as I
+from webtables.plans.page_jobs import MARKDOWN
 from webtables.session import checkpoint_dir
 from webtables.sources import export as X
+from webtables.sources import files as N
 from webtables.sources import progress as P
 
 # Field expressions valid in both SQL dialects, over the documents table.
@@ -66,6 +68,7 @@ _BODY = (
     "'<h1>Doc ' || doc_id || '</h1><p>' || replace(text, '<', '&lt;') || '</p>' || "
     "CASE WHEN doc_id % 3 = 0 THEN '<table><tr><td>1</td></tr></table>' ELSE '' END || "
     + " || ".join(f"'<a href=\"' || {link} || '\">l</a>'" for link in _BODY_LINKS)
+    + " || '<!-- note --><img src=\"/wiki/download/attachments/' || doc_id || '/a.png\" alt=\"pic\">'"
 )
 RULES = Rules(base_domain="wiki.example.com", base_url=I.WIKI_BASE, exclude=("/login",))
 
@@ -156,15 +159,8 @@ def _atts(spark, sf):
     return W.wiki_attachments(attachments_raw(spark, sf), I.WIKI_BASE)
 
 
-def _bodies(spark, sf):
-    """(page_id, url, html) of the wiki pages."""
-    p = W.parse_pages(wiki_raw(spark, sf))
-    return p.select(F.col("page.id").cast("bigint").alias("page_id"), "url", F.col("page.body.view.value").alias("html"))
-
-
-def _derived(spark, sf):
-    stats = C.content_stats(_bodies(spark, sf), keep=("url",))
-    return W.derived_stats(W.metadata_table(_meta(spark, sf)), _atts(spark, sf), stats, I.AS_OF)
+def _records(spark, sf):
+    return W.page_records(wiki_raw(spark, sf), _atts(spark, sf), I.AS_OF)
 
 
 # --- queries -------------------------------------------------------------------------------
@@ -206,9 +202,7 @@ def join_space_pages(spark, sf):
 
 
 def meta_derived(spark, sf):
-    return _derived(spark, sf).select(
-        "url", "has_attachments", "attachment_count", "days_since_update", "content_char_count", "has_tables"
-    )
+    return _records(spark, sf).select("url", "derived.*")
 
 
 def space_summary(spark, sf):
@@ -216,7 +210,7 @@ def space_summary(spark, sf):
 
 
 def snk_metadata_doc(spark, sf):
-    return W.metadata_documents(_meta(spark, sf), _atts(spark, sf), _derived(spark, sf))
+    return W.metadata_documents(_records(spark, sf))
 
 
 def _room(spark) -> str:
@@ -235,6 +229,13 @@ def snk_documents(spark, sf):
     return back.select("host", "clean_url", "local_path", (F.col("file_size") == F.octet_length("content")).alias("size_is_right"))
 
 
+def snk_wiki_pages(spark, sf):
+    """Every page in four formats, written as files and read back."""
+    root = f"{_room(spark)}/pages"
+    N.save_files(W.page_files(_records(spark, sf)), root)
+    return N.read_files(spark, root).select("path", "size", F.md5("content").alias("md5"))
+
+
 def snk_tables_json(spark, sf):
     """The exported tables, read back and counted."""
     tables = {
@@ -291,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_wiki_json, src_wiki_listing, src_attachments_json, attachment_path, html_links_wiki, join_page_attachments,
-        join_space_pages, meta_derived, space_summary, snk_metadata_doc, snk_documents, snk_tables_json, src_progress_json,
+        join_space_pages, meta_derived, space_summary, snk_metadata_doc, snk_documents, snk_wiki_pages, snk_tables_json, src_progress_json,
         migration_stats,
     )
 }
@@ -343,6 +344,42 @@ def _nested_doc() -> str:
 
 _ITEM = """{'id': attachment_id, 'title': title, 'media_type': media_type, 'version': version, 'file_size_api': file_size_api, 'file_size_local': CAST(NULL AS BIGINT),
   'created': created_when, 'created_by': created_by, 'comment': comment, 'source_download': download_url, 'local_path': local_path}"""
+
+
+def _json(*fields: tuple[str, str | tuple]) -> str:
+    """A JSON object as text: an expression (left out when NULL), or fields for an object inside it."""
+    parts = []
+    for name, value in fields:
+        if isinstance(value, tuple):
+            parts.append(f"""',"{name}":' || {_json(*value)}""")
+        else:
+            parts.append(f"""coalesce(',"{name}":' || CAST({value} AS VARCHAR), '')""")
+    return f"""('{{' || substring({" || ".join(parts)}, 2) || '}}')"""
+
+
+_S = lambda n: f"to_json(f_{n})"
+_KIDS = """CASE WHEN doc_id % 4 > 0 THEN '[' || array_to_string(list_transform(range(1, doc_id % 4 + 1), lambda i: '{"_links":{"webui":"' ||
+  CASE WHEN i = 3 THEN 'https://wiki.example.com/wiki/c' || doc_id ELSE '/spaces/C/kids/' || doc_id || '-' || i END || '"}}'), ',') || ']' END"""
+_PAGE_JSON = _json(
+    ("id", _S("id")), ("type", "'\"page\"'"), ("status", _S("status")), ("title", _S("title")), ("ari", _S("ari_old")), ("_expandable", (("ari", _S("ari_new")),)),
+    ("space", f"CASE WHEN f_space_key IS NOT NULL THEN {_json(('key', _S('space_key')), ('name', _S('space_name')))} END"),
+    ("version", (("number", "f_v_number"), ("when", _S("v_when")), ("message", _S("v_message")), ("minorEdit", "f_v_minor"),
+                 ("by", (("displayName", _S("v_by")), ("email", _S("v_email")), ("accountId", _S("v_account")))))),
+    ("history", (("createdDate", _S("c_when")), ("createdBy", (("displayName", _S("c_by")),)),
+                 ("lastUpdated", (("when", _S("u_when")), ("by", (("displayName", _S("u_by")),)))))),
+    ("_links", (("webui", _S("webui")), ("self", _S("rest")))), ("body", (("view", (("value", "to_json(body)"),)),)), ("children", (("page", (("results", _KIDS),)),)),
+)
+_WIKI_FILES = f"""first AS (SELECT doc_id AS a_id, regexp_extract(local_path, '([^/]+)$', 1) AS file FROM atts WHERE i = 0),
+shown AS (SELECT doc_id AS page_id, CASE WHEN file IS NULL THEN body ELSE replace(body, '"/wiki/download/attachments/' || doc_id || '/a.png"', '"attachments/' || file || '"') END AS html
+  FROM wiki LEFT JOIN first ON a_id = doc_id),
+{D.tokens('shown', keep='page_id')}, main_kept AS (SELECT * FROM tok), {MARKDOWN},
+li AS (SELECT page_url, list({_ITEM} ORDER BY attachment_id) AS items FROM atts GROUP BY 1),
+full_doc AS (SELECT *, coalesce(nullif(f_ari_new, ''), f_ari_old, '') AS ari FROM derived LEFT JOIN li ON page_url = url),
+head AS (SELECT w.*, html, '# ' || f_title || chr(10) || chr(10) || '**Space:** ' || coalesce(f_space_key, 'N/A') || ' - ' || coalesce(f_space_name, 'N/A') || chr(10) || chr(10)
+  || '**Page ID:** ' || f_id || chr(10) || chr(10) || '**Last Updated:** ' || coalesce(f_u_when, 'N/A') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || markdown AS md,
+  'out/spaces/' || upper(source) || '/pages/' || f_id || '/index.' AS stem FROM wiki w JOIN shown ON shown.page_id = doc_id JOIN markdown_of m ON m.page_id = doc_id),
+files AS (SELECT stem || 'html' AS path, html AS content FROM head UNION ALL SELECT stem || 'md', md FROM head UNION ALL SELECT stem || 'json', {_PAGE_JSON} FROM head
+  UNION ALL SELECT 'out/spaces/' || upper(source) || '/pages/' || f_id || '/index.yml', CAST(to_json({_nested_doc()}) AS VARCHAR) FROM full_doc)"""
 _DONE = "done AS (SELECT DISTINCT clean_url, clean_url || '?v=1#x' AS raw FROM log WHERE action = 'complete')"
 _MAPPED = "CASE WHEN raw NOT LIKE '%7?v=1#x' THEN 'out/' || md5(raw) ELSE '' END"
 
@@ -369,6 +406,7 @@ ORACLE = {
       d AS (SELECT *, coalesce(nullif(f_ari_new, ''), f_ari_old, '') AS ari FROM derived LEFT JOIN li ON page_url = url)
       SELECT url, CAST(to_json({_nested_doc()}) AS VARCHAR) AS doc FROM d""",
     "snk_documents": f"SELECT lower({D.netloc('url')}) AS host, {D.clean_url('url')} AS clean_url, {D.local_path('url')} AS local_path, true AS size_is_right FROM pages",
+    "snk_wiki_pages": f"""WITH {_WIKI}, {_ATTS}, {_DERIVED}, {_WIKI_FILES} SELECT path, octet_length(encode(content))::BIGINT AS size, md5(content) AS md5 FROM files""",
     "snk_tables_json": f"""WITH {I.DISCOVERED}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}, {I.RESOURCES} SELECT 'discovered_urls' AS table_name, count(*) AS n_rows FROM discovered
       UNION ALL SELECT 'downloaded_documents', count(*) FROM docs UNION ALL SELECT 'url_mappings', count(*) FROM docs UNION ALL SELECT 'downloaded_resources', count(*) FROM resources""",
     "src_progress_json": f"""WITH {I.CRAWL_LOG}, {_DONE} SELECT 'document' AS kind, clean_url AS url, {_MAPPED} AS local_path, 0 AS depth FROM done
