@@ -343,6 +343,8 @@ c8 AS (SELECT page_id, coalesce(string_agg(frag, '' ORDER BY pos), '') AS md FRO
 markdown_of AS (SELECT page_id, replace(regexp_replace(regexp_replace(md, '(?:\n((?:> )*)){{2,}}', {_NL} || {_NL} || '\1', 'g'), '^\s+|\s+$', '', 'g'), chr(57344), {_NL}) AS markdown FROM c8)"""
 
 
+TITLE = f"""coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page')"""
+
 ORACLE = {
     "html_tokens": f"WITH {D.tokens('pages')} SELECT page_id, pos, tok, kind, tag, is_close FROM tok",
     "html_links": f"WITH {_links('pages', valid=_IN_LINKS)} SELECT page_id, src, dst FROM found",
@@ -361,7 +363,7 @@ ORACLE = {
       s AS (SELECT * FROM el c WHERE ((tag = 'a' AND href LIKE '/%') OR (tag = 'img' AND regexp_matches(tok, '(?i)[\\s/]alt[\\s=/>]')))
         AND EXISTS (SELECT 1 FROM el p WHERE p.page_id = c.page_id AND p.tag = 'article' AND p.pos < c.pos AND p.e >= c.pos))
       SELECT s.page_id, s.pos, s.tok, string_agg(we.tok, '' ORDER BY we.pos) AS html FROM s JOIN we ON we.page_id = s.page_id AND we.pos BETWEEN s.pos AND s.e GROUP BY s.page_id, s.pos, s.tok""",
-    "html_title": f"""WITH {I.RICH_PAGES} SELECT page_id, coalesce(nullif({D.unescape("regexp_extract(regexp_replace(html, '" + D.hidden(("script", "style", "noscript")) + "', '', 'g'), '(?is)<title(?:[\\s/][^>]*)?>(.*?)</title[\\s/>]', 1)")}, ''), 'Confluence Page') AS title FROM rich""",
+    "html_title": f"WITH {I.RICH_PAGES} SELECT page_id, {TITLE} AS title FROM rich",
     "html_text": f"{_MAIN} SELECT page_id, coalesce(string_agg(CASE WHEN kind = 'text' THEN {D.unescape('tok')} END, '' ORDER BY pos), '') AS text FROM main_kept GROUP BY page_id",
     "html_markdown": f"{_MAIN}, {MARKDOWN} SELECT * FROM markdown_of",
     "md_header": f"""WITH d AS ({_DOC_SQL}) SELECT doc_id, 'html' AS mode, '# ' || title || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10)

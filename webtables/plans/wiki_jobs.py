@@ -21,7 +21,7 @@ from webtables.operators import wiki as W
 from webtables.operators.scope import Rules
 from webtables.plans import duck as D
 from webtables.plans import inputs as I
-from webtables.plans.page_jobs import MARKDOWN
+from webtables.plans.page_jobs import MARKDOWN, TITLE
 from webtables.session import checkpoint_dir
 from webtables.sources import export as X
 from webtables.sources import files as N
@@ -219,14 +219,13 @@ def _room(spark) -> str:
 
 def snk_documents(spark, sf):
     """Rendered pages written by host, and what the written files hold."""
-    pages = I.pages(spark, sf)
-    md = M.to_markdown(C.drop_boilerplate(C.main_content(pages)))
-    docs = md.join(C.page_titles(pages), "page_id").join(pages.select("page_id", "url"), "page_id")
+    pages = I.pages(spark, sf).withColumn("title", C.title_of(F.col("html")))
+    docs = M.to_markdown(C.drop_boilerplate(C.main_content(pages)), keep=("url", "title"))
     docs = U.with_local_path(U.with_clean_url(M.with_md_header(docs)))
     path = _room(spark)
     X.write_documents(X.document_rows(docs).select("host", "clean_url", "local_path", "file_size", "content"), path)
     back = spark.read.parquet(path)
-    return back.select("host", "clean_url", "local_path", (F.col("file_size") == F.octet_length("content")).alias("size_is_right"))
+    return back.select("host", "clean_url", "local_path", "file_size", F.md5("content").alias("md5"))
 
 
 def snk_wiki_pages(spark, sf):
@@ -405,7 +404,11 @@ ORACLE = {
     "snk_metadata_doc": f"""WITH {_WIKI}, {_ATTS}, {_DERIVED}, li AS (SELECT page_url, list({_ITEM} ORDER BY attachment_id) AS items FROM atts GROUP BY 1),
       d AS (SELECT *, coalesce(nullif(f_ari_new, ''), f_ari_old, '') AS ari FROM derived LEFT JOIN li ON page_url = url)
       SELECT url, CAST(to_json({_nested_doc()}) AS VARCHAR) AS doc FROM d""",
-    "snk_documents": f"SELECT lower({D.netloc('url')}) AS host, {D.clean_url('url')} AS clean_url, {D.local_path('url')} AS local_path, true AS size_is_right FROM pages",
+    "snk_documents": f"""WITH {D.tokens('pages')}, {D.main()}, {MARKDOWN},
+      text AS (SELECT url, '# ' || {TITLE} || chr(10) || chr(10) || '**Original URL:** ' || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) || markdown AS content
+        FROM pages JOIN markdown_of USING (page_id))
+      SELECT lower({D.netloc('url')}) AS host, {D.clean_url('url')} AS clean_url, {D.local_path('url')} AS local_path, octet_length(encode(content))::BIGINT AS file_size,
+        md5(content) AS md5 FROM text""",
     "snk_wiki_pages": f"""WITH {_WIKI}, {_ATTS}, {_DERIVED}, {_WIKI_FILES} SELECT path, octet_length(encode(content))::BIGINT AS size, md5(content) AS md5 FROM files""",
     "snk_tables_json": f"""WITH {I.DISCOVERED}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}, {I.RESOURCES} SELECT 'discovered_urls' AS table_name, count(*) AS n_rows FROM discovered
       UNION ALL SELECT 'downloaded_documents', count(*) FROM docs UNION ALL SELECT 'url_mappings', count(*) FROM docs UNION ALL SELECT 'downloaded_resources', count(*) FROM resources""",
