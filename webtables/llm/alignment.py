@@ -12,8 +12,8 @@ numbers the groups, so that one that is open at the end of a piece goes on in th
 
 Passes over the corpus:
 
-1. Tasks tokenise and align slices of a few megabytes (one text at least) and store per slice the ids and group
-   sizes, packed, with the slice's distinct id pairs and the number of its documents that hold each.
+1. Tasks tokenise and align slices of a few megabytes (one text at least) and store per slice its distinct stretches' ids, their
+   order and the group sizes, packed, with the slice's distinct id pairs and the number of its documents that hold each.
 2. Spark adds these up by pair, already summed by slice, and finds the highest count per A id (a window
    whose groups have one row per B id, so the size of B's vocabulary bounds them).
 3. The counts return to the slices that have the pair, and tasks write a row per document. A hot pair has one row
@@ -31,8 +31,8 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +54,8 @@ PIECE = 1 << 16
 BLOCK = 1 << 18
 
 
-#: Stretches of text of at most SHORT bytes whose ids a worker keeps; then it starts anew.
-MEMORY = 100_000
-SHORT = 48
+#: Distinct stretches of text whose ids a worker keeps; then it starts anew.
+MEMORY = 300_000
 
 #: Signs round a blank at which a text may be cut before it is tokenised.
 _GRAPHIC = np.zeros(256, bool)
@@ -105,42 +104,60 @@ class Pair:
         mine = {k: (spec["pre_tokenizer"] or {}).get(k) for k in _BLANK_STARTS}
         inner = any("▁" in b.id_to_piece(k).lstrip("▁") for k in range(b.get_piece_size()))
         self.by_stretch = spec["normalizer"] is None and mine == _BLANK_STARTS and not inner
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self._forget()
         pieces = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.bytes_b = pa.array(pieces, pa.large_binary())
 
-    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(A ids, B ids) of each text, as bytes."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [(array("i", x.ids).tobytes(), array("i", y).tobytes()) for x, y in zip(a, self.b.encode(texts, num_threads=1))]
-
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(A ids, tokens by text, B ids, tokens by text)."""
+    def _forget(self) -> None:
+        """Stretches known to this worker: their numbers, and per side the ids of all of them with first and length."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first, self.size = ([np.empty(0, kind) for _ in "ab"] for kind in (np.int32, np.int64, np.int32))
+
+    def _learn(self, texts: list[str]) -> None:
+        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        for k, rows in enumerate((a, self.b.encode(texts, num_threads=1))):
+            size = np.fromiter(map(len, rows), np.int32, len(rows))
+            stop = len(self.ids[k]) + np.cumsum(size, dtype=np.int64)
+            self.ids[k] = np.append(self.ids[k], np.fromiter(chain.from_iterable(rows), np.int32))
+            self.first[k], self.size[k] = np.append(self.first[k], stop - size), np.append(self.size[k], size)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """Texts as stretches: their number by text, which distinct stretch each is, and the ids and sizes of these for A and for B."""
         start, end, first = stretches(data, off) if self.by_stretch else (off[:-1], off[1:], np.arange(len(off)))
         text, begin, _ = A.joined(data, start, end)
         values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(text)).astype(np.int64)), pa.py_buffer(text)])
         coded = values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        here = {w: self.known[w] for w in distinct if w in self.known}
-        new = [w for w in distinct if w not in here]
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        if len(known) > MEMORY or max(map(len, self.ids)) > 8 * MEMORY:
+            self._forget()
+            known = self.known
+        new = [w for w in distinct if w not in known]
         size = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
         at = 0
         while at < len(new):
             stop = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, "right")), at + 1)
-            here.update(zip(new[at:stop], self._encode([w[:-1].decode() for w in new[at:stop]])))
+            known.update(zip(new[at:stop], range(len(known), len(known) + stop - at)))
+            self._learn([w[:-1].decode() for w in new[at:stop]])
             at = stop
-        self.known.update((w, here[w]) for w in new if len(w) <= SHORT)
-        which, out = coded.indices.to_numpy(), []
-        for side in (0, 1):
-            parts = [here[w][side] for w in distinct]
-            n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            length = n[which]
-            flat = np.frombuffer(b"".join(parts), np.int32)
-            ids = flat[np.repeat((np.cumsum(n) - n)[which], length) + A.ranges(length)]
-            out += [ids, np.diff(np.concatenate([[0], np.cumsum(length)])[first])]
-        return tuple(out)
+        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        out = [np.diff(first).astype(np.int32), coded.indices.to_numpy().astype(np.int32)]
+        for ids, place, length in zip(self.ids, self.first, self.size):
+            n = length[number]
+            out += [ids[np.repeat(place[number], n) + A.ranges(n)], n]
+        return out
+
+
+def expanded(stretched: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(A ids, tokens by text, B ids, tokens by text) of encoded texts."""
+    count, which, *sides = stretched
+    last, out = np.cumsum(count, dtype=np.int64), []
+    for flat, n in zip(sides[::2], sides[1::2]):
+        length = n[which]
+        start = np.cumsum(n, dtype=np.int64) - n
+        ids = flat[np.repeat(start[which], length) + A.ranges(length)]
+        total = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        out += [ids, total[last] - total[last - count]]
+    return tuple(out)
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -194,10 +211,11 @@ def _overlaps(a: np.ndarray, b: np.ndarray, i: int, i2: int, j: int, j2: int) ->
 
 
 def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
-    """(A ids, A tokens by text, B ids, B tokens by text, group of A tokens, of B tokens, groups by text)."""
+    """(encoded texts, A ids, B ids, group of A tokens, of B tokens, groups by text); texts that do not agree have no ids."""
     column = pc.fill_null(text, "")
     data, off = A.text_bytes(column)
-    ids_a, n_a, ids_b, n_b = pair.encode(data, off)
+    stretched = pair.encode(data, off)
+    ids_a, n_a, ids_b, n_b = expanded(stretched)
     size = off[1:] - off[:-1] + 1
     keep = size > 1
     want = np.insert(data, off[:-1], 0x20)
@@ -218,10 +236,10 @@ def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
         out.append((ids[on], np.where(keep, n, 0), np.cumsum(length[on])))
     (ids_a, n_a, ends_a), (ids_b, n_b, ends_b) = out
     if not len(ends_a):
-        return ids_a, n_a, ids_b, n_b, ends_a, ends_b, np.zeros(len(size), np.int64)
+        return stretched, ids_a, ids_b, ends_a, ends_b, np.zeros(len(size), np.int64)
     of_a, of_b, _ = groups(ends_a, ends_b)
     last = np.concatenate([[-1], of_a])[np.cumsum(n_a)]
-    return ids_a, n_a, ids_b, n_b, of_a, of_b, np.diff(np.concatenate([[-1], last]))
+    return stretched, ids_a, ids_b, of_a, of_b, np.diff(np.concatenate([[-1], last]))
 
 
 def _links(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndarray, n_groups: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -282,11 +300,11 @@ def _slices(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def task(batches: Iterator) -> Iterator:
         pair, number = _pair(path_a, path_b), TaskContext.get().partitionId() << 32
         for part in A.slices(batches, "text", SLICE, ROWS):
-            ids_a, _, ids_b, _, of_a, of_b, n_groups = _aligned(pair, part.column("text"))
+            stretched, ids_a, ids_b, of_a, of_b, n_groups = _aligned(pair, part.column("text"))
             total = int(n_groups.sum())
             pairs, held = _document_pairs(np.repeat(np.arange(len(n_groups)), n_groups), _links(ids_a, of_a, ids_b, of_b, total))
             sizes = [np.bincount(of, minlength=total).astype(np.int32) for of in (of_a, of_b)]
-            blob = A.pack(ids_a.astype(np.int32), ids_b.astype(np.int32), *sizes, n_groups.astype(np.int64))
+            blob = A.pack(*stretched, *sizes, n_groups.astype(np.int64))
             row = [[number], [part.column("doc_id").to_pylist()], [blob], [pairs], [held]]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
             number += 1
@@ -336,7 +354,9 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _finished(row: pa.RecordBatch, counts: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     """The documents of a slice (one row), with the counts of its pairs."""
-    ids_a, ids_b, size_a, size_b, n_groups = A.unpack(row.column("blob")[0].as_py())
+    *stretched, size_a, size_b, n_groups = A.unpack(row.column("blob")[0].as_py())
+    ids_a, n_a, ids_b, n_b = expanded(stretched)
+    ids_a, ids_b = ids_a[np.repeat(n_groups > 0, n_a)], ids_b[np.repeat(n_groups > 0, n_b)]
     pairs = row.column("pairs").flatten().to_numpy()
     count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
     at = counts.column("at").to_numpy()
