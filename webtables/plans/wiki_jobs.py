@@ -166,22 +166,61 @@ def _records(spark, sf):
 # --- queries -------------------------------------------------------------------------------
 
 
-def src_wiki_json(spark, sf):
-    return W.metadata_table(_meta(spark, sf)).drop("days_since_update", "has_attachments", "attachment_count")
+def _damaged(df, number, col="json"):
+    """Five of thirteen rows spoilt, by ``number``: cut off, blank, NULL, an empty object, an array."""
+    n, j = F.expr(f"({number}) % 13"), F.col(col)
+    return df.withColumn(
+        col,
+        F.when(n == 0, F.substring(j, F.lit(1), F.length(j) - 7)).when(n == 1, F.lit(" ")).when(n == 2, F.lit(None).cast("string"))
+        .when(n == 3, "{}").when(n == 4, F.concat(F.lit("["), j, F.lit("]"))).otherwise(j),
+    )
 
 
-def src_wiki_listing(spark, sf):
+_NUMBER = r"CAST(regexp_extract(url, '/pages/([0-9]+)/', 1) AS BIGINT)"
+
+
+def _listings(spark, sf):
     """Listing pages of at most a hundred results per space."""
     docs = I.table(spark, sf, "documents")
     rows = docs.select(F.upper("source").alias("space_key"), F.floor(F.col("doc_id") / 100).alias("page"),
                        F.struct(F.expr(_ID).alias("id"), F.struct(F.expr(FIELDS["webui"]).alias("webui")).alias("_links")).alias("r"))
     lists = rows.groupBy("space_key", "page").agg(F.collect_list("r").alias("results"))
-    listing = lists.select("space_key", F.to_json(F.struct("results")).alias("json"))
-    return W.space_page_urls(listing, I.WIKI_BASE)
+    return lists.select("space_key", "page", F.to_json(F.struct("results")).alias("json"))
+
+
+def _sorted_out(spark, sf):
+    """{kind: (good rows, bad rows)} of spoilt API answers."""
+    return {
+        "page": W.sort_out_answers(_damaged(wiki_raw(spark, sf), _NUMBER), "page", 0.5),
+        "listing": W.sort_out_answers(_damaged(_listings(spark, sf), "page"), "listing", 0.9),
+        "attachments": W.sort_out_answers(_damaged(attachments_raw(spark, sf), "CAST(page_id AS BIGINT)"), "attachments", 0.9),
+    }
+
+
+def src_wiki_json(spark, sf):
+    good, _ = W.sort_out_answers(_damaged(wiki_raw(spark, sf), _NUMBER), "page", 0.5)
+    return W.metadata_table(W.wiki_metadata(good)).drop("days_since_update", "has_attachments", "attachment_count")
+
+
+def src_wiki_listing(spark, sf):
+    good, _ = W.sort_out_answers(_damaged(_listings(spark, sf), "page"), "listing", 0.9)
+    return W.space_page_urls(good, I.WIKI_BASE)
 
 
 def src_attachments_json(spark, sf):
-    return _atts(spark, sf).drop("file_size_local", "local_path")
+    good, _ = W.sort_out_answers(_damaged(attachments_raw(spark, sf), "CAST(page_id AS BIGINT)"), "attachments", 0.9)
+    return W.wiki_attachments(good, I.WIKI_BASE).drop("file_size_local", "local_path")
+
+
+def src_bad_rows(spark, sf):
+    """What the four JSON sources put aside."""
+    bad = {kind: rows for kind, (_, rows) in _sorted_out(spark, sf).items()}
+    name = {"page": F.col("url"), "listing": F.concat_ws("/", "space_key", F.col("page").cast("string")), "attachments": F.col("page_url")}
+    out = [rows.select(F.lit(kind).alias("source"), name[kind].alias("name"), "problem", F.when(F.lit(kind) == "page", F.md5("json")).alias("md5")) for kind, rows in bad.items()]
+    files = _imported(spark, sf)["bad"].select(
+        F.lit("progress").alias("source"), F.regexp_extract("file", "user=([0-9]+)", 1).alias("name"), "problem", F.lit(None).cast("string").alias("md5")
+    )
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(files)
 
 
 def attachment_path(spark, sf):
@@ -271,8 +310,9 @@ def _imported(spark, sf):
     )
     files = first_done.join(queue, "user", "full").join(res, "user", "full")
     path = _room(spark)
-    files.write.partitionBy("user").json(path)
-    return P.import_progress(spark, path)
+    texts = files.select("user", F.to_json(F.struct(*[c for c in files.columns if c != "user"])).alias("value"))
+    _damaged(texts, "user", "value").write.partitionBy("user").text(path)
+    return P.import_progress(spark, path, most_bad=0.9)
 
 
 def src_progress_json(spark, sf):
@@ -291,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_wiki_json, src_wiki_listing, src_attachments_json, attachment_path, html_links_wiki, join_page_attachments,
-        join_space_pages, meta_derived, space_summary, snk_metadata_doc, snk_documents, snk_wiki_pages, snk_tables_json, src_progress_json,
+        join_space_pages, meta_derived, space_summary, src_bad_rows, snk_metadata_doc, snk_documents, snk_wiki_pages, snk_tables_json, src_progress_json,
         migration_stats,
     )
 }
@@ -379,7 +419,12 @@ head AS (SELECT w.*, html, '# ' || f_title || chr(10) || chr(10) || '**Space:**
   'out/spaces/' || upper(source) || '/pages/' || f_id || '/index.' AS stem FROM wiki w JOIN shown ON shown.page_id = doc_id JOIN markdown_of m ON m.page_id = doc_id),
 files AS (SELECT stem || 'html' AS path, html AS content FROM head UNION ALL SELECT stem || 'md', md FROM head UNION ALL SELECT stem || 'json', {_PAGE_JSON} FROM head
   UNION ALL SELECT 'out/spaces/' || upper(source) || '/pages/' || f_id || '/index.yml', CAST(to_json({_nested_doc()}) AS VARCHAR) FROM full_doc)"""
-_DONE = "done AS (SELECT DISTINCT clean_url, clean_url || '?v=1#x' AS raw FROM log WHERE action = 'complete')"
+_USER = "floor(CAST(regexp_extract(clean_url, '/u(\\d+)/', 1) AS BIGINT) / 25)::BIGINT"
+_GOOD = "(100000 + doc_id) % 13 > 4"
+_PROBLEM = "CASE WHEN n % 13 IN (1, 2) THEN 'missing' WHEN n % 13 = 3 THEN 'incomplete' ELSE 'unreadable' END"
+_ATTENTION = f"users AS (SELECT DISTINCT {_USER} AS n FROM log WHERE action IN ('complete', 'discover', 'fail'))"
+_SOUND = f"{_USER} % 13 > 4"
+_DONE = f"done AS (SELECT DISTINCT clean_url, clean_url || '?v=1#x' AS raw FROM log WHERE action = 'complete' AND {_SOUND})"
 _MAPPED = "CASE WHEN raw NOT LIKE '%7?v=1#x' THEN 'out/' || md5(raw) ELSE '' END"
 
 ORACLE = {
@@ -387,10 +432,18 @@ ORACLE = {
       'page' AS content_type, coalesce(f_status, '') AS status, f_v_number AS version_number, f_v_when AS version_when, f_v_by AS version_by, f_v_email AS version_by_email,
       f_v_account AS version_by_account, f_v_message AS version_message, coalesce(f_v_minor, false) AS version_minor_edit, f_c_when AS created_when, f_c_by AS created_by,
       CAST(NULL AS VARCHAR) AS created_by_email, CAST(NULL AS VARCHAR) AS created_by_account, f_u_when AS updated_when, f_u_by AS updated_by,
-      CAST(NULL AS VARCHAR) AS updated_by_email, CAST(NULL AS VARCHAR) AS updated_by_account, coalesce(f_webui, '') AS web_link, f_rest AS rest_link, '' AS tiny_link FROM wiki""",
+      CAST(NULL AS VARCHAR) AS updated_by_email, CAST(NULL AS VARCHAR) AS updated_by_account, coalesce(f_webui, '') AS web_link, f_rest AS rest_link, '' AS tiny_link FROM wiki
+      WHERE {_GOOD}""",
     "src_wiki_listing": f"""WITH {_WIKI} SELECT upper(source) AS space_key, CASE WHEN f_webui LIKE 'http%' THEN f_webui WHEN f_webui LIKE '/wiki%' THEN '{I.WIKI_BASE}' || f_webui
-      ELSE '{I.WIKI_BASE}/wiki' || f_webui END AS url FROM wiki WHERE f_webui IS NOT NULL""",
-    "src_attachments_json": f"WITH {_ATTS} SELECT page_url, page_id, attachment_id, title, media_type, file_size_api, version, created_when, created_by, comment, download_url FROM atts",
+      ELSE '{I.WIKI_BASE}/wiki' || f_webui END AS url FROM wiki WHERE f_webui IS NOT NULL AND (doc_id // 100) % 13 > 4""",
+    "src_attachments_json": f"WITH {_ATTS} SELECT page_url, page_id, attachment_id, title, media_type, file_size_api, version, created_when, created_by, comment, download_url FROM atts WHERE {_GOOD}",
+    "src_bad_rows": f"""WITH {_WIKI}, {I.CRAWL_LOG}, {_ATTENTION}, p AS (SELECT url, 100000 + doc_id AS n, {_PAGE_JSON} AS j FROM wiki),
+      l AS (SELECT DISTINCT upper(source) || '/' || (doc_id // 100) AS name, doc_id // 100 AS n FROM documents)
+      SELECT 'page' AS source, url AS name, {_PROBLEM} AS problem, md5(CASE n % 13 WHEN 0 THEN substring(j, 1, length(j) - 7) WHEN 1 THEN ' ' WHEN 3 THEN '{{}}' WHEN 4 THEN '[' || j || ']' END) AS md5
+        FROM p WHERE n % 13 < 5
+      UNION ALL SELECT 'listing', name, {_PROBLEM}, NULL FROM l WHERE n % 13 < 5
+      UNION ALL SELECT 'attachments', url, {_PROBLEM}, NULL FROM (SELECT url, 100000 + doc_id AS n FROM wiki WHERE doc_id % 4 > 0) WHERE n % 13 < 5
+      UNION ALL SELECT 'progress', CAST(n AS VARCHAR), CASE WHEN n % 13 IN (1, 2) THEN 'missing' ELSE 'unreadable' END, NULL FROM users WHERE n % 13 < 5 AND n % 13 <> 3""",
     "attachment_path": f"WITH {_ATTS} SELECT attachment_id, title, local_path FROM atts",
     "html_links_wiki": f"""WITH {_WIKI}, l AS (SELECT url, '{I.WIKI_BASE}' || '/spaces/' || upper(source) || '/pages/' || (100000 + (doc_id * 7 + 1) % 1000) || '/T?a=1&b=2' AS link FROM wiki
       UNION SELECT url, 'https://wiki.example.com/wiki/display/' || source FROM wiki
@@ -413,8 +466,8 @@ ORACLE = {
     "snk_tables_json": f"""WITH {I.DISCOVERED}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}, {I.RESOURCES} SELECT 'discovered_urls' AS table_name, count(*) AS n_rows FROM discovered
       UNION ALL SELECT 'downloaded_documents', count(*) FROM docs UNION ALL SELECT 'url_mappings', count(*) FROM docs UNION ALL SELECT 'downloaded_resources', count(*) FROM resources""",
     "src_progress_json": f"""WITH {I.CRAWL_LOG}, {_DONE} SELECT 'document' AS kind, clean_url AS url, {_MAPPED} AS local_path, 0 AS depth FROM done
-      UNION ALL SELECT DISTINCT 'resource-css', clean_url || '.css', 'res/' || md5(clean_url || '.css'), CAST(NULL AS INTEGER) FROM log WHERE action = 'fail'
-      UNION ALL SELECT DISTINCT 'queue', clean_url, '', CAST(k % 5 AS INTEGER) FROM log WHERE action = 'discover'""",
+      UNION ALL SELECT DISTINCT 'resource-css', clean_url || '.css', 'res/' || md5(clean_url || '.css'), CAST(NULL AS INTEGER) FROM log WHERE action = 'fail' AND {_SOUND}
+      UNION ALL SELECT DISTINCT 'queue', clean_url, '', CAST(k % 5 AS INTEGER) FROM log WHERE action = 'discover' AND {_SOUND}""",
     "migration_stats": f"""WITH {I.CRAWL_LOG}, {_DONE} SELECT 'urls' AS item, count(*) AS n FROM done UNION ALL SELECT 'mappings', count(*) FROM done WHERE raw NOT LIKE '%7?v=1#x'
-      UNION ALL SELECT 'resources', count(DISTINCT clean_url) FROM log WHERE action = 'fail' UNION ALL SELECT 'queue_items', count(DISTINCT clean_url) FROM log WHERE action = 'discover'""",
+      UNION ALL SELECT 'resources', count(DISTINCT clean_url) FROM log WHERE action = 'fail' AND {_SOUND} UNION ALL SELECT 'queue_items', count(DISTINCT clean_url) FROM log WHERE action = 'discover' AND {_SOUND}""",
 }

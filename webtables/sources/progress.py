@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from webtables import schema as S
 from webtables.functions import urls as U
 from webtables.operators import tracker as T
+from webtables.operators.quarantine import judge, sort_out
 from webtables.operators.resources import resource_type
-from webtables.session import cut_lineage
 
 
 def stored_files(spark: SparkSession, root: str) -> DataFrame:
@@ -20,22 +20,25 @@ def stored_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def import_progress(spark: SparkSession, path: str, files: DataFrame | None = None) -> dict[str, DataFrame]:
+def import_progress(spark: SparkSession, path: str, files: DataFrame | None = None, most_bad: float = 1.0) -> dict[str, DataFrame]:
     """Tracker tables out of progress files (a file, a directory or a glob).
 
+    Files that hold no JSON object of the format are left out and listed in ``bad`` (file, json, problem); more than the share
+    ``most_bad`` of them fails the import (see quarantine).
+
     Both generations of key names are read. ``files`` gives the size of stored files. The
     maps of a file are exploded and joined rather than looked up row by row, so that no
     row carries a whole map around. ``raw`` keeps what migration_summary counts.
     """
-    raw = spark.read.schema(S.PROGRESS_FILE).option("multiLine", "true").json(path)
-    raw = raw.select(
-        F.input_file_name().alias("file"),
-        F.coalesce("downloaded_urls", "completed_urls").alias("urls"),
-        F.coalesce("download_queue", "url_queue").alias("queue"),
-        "url_to_filename", "downloaded_resources", "transversal_resources",
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
+    # Each file is parsed once; the outputs below read only their columns of the stored table.
+    good, bad = sort_out(judge(whole, S.PROGRESS_FILE, "progress"), "progress", most_bad)
+    raw = good.select(
+        "file",
+        F.coalesce("progress.downloaded_urls", "progress.completed_urls").alias("urls"),
+        F.coalesce("progress.download_queue", "progress.url_queue").alias("queue"),
+        "progress.url_to_filename", "progress.downloaded_resources", "progress.transversal_resources",
     )
-    # Each file is parsed once; the outputs below read only their columns of this table.
-    raw = cut_lineage(raw)
     sizes = files if files is not None else spark.createDataFrame([], "local_path string, file_size bigint")
 
     def entries(column: str, key: str) -> DataFrame:
@@ -67,6 +70,7 @@ def import_progress(spark: SparkSession, path: str, files: DataFrame | None = No
         "url_mappings": S.conform(documents.select("clean_url", "local_path"), S.MAPPINGS),
         "discovered_urls": S.conform(queue, S.DISCOVERED),
         "raw": raw,
+        "bad": bad,
     }
 
 
