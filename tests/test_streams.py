@@ -2,8 +2,11 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from webtables.operators import tracker as T
 from webtables.streaming import jobs as J
+from webtables.streaming.folds import Store, read_folds, to_folds
 
 LOG = "clean_url string, action string, ts timestamp, event_id bigint, error string, file_size bigint"
 T0 = datetime(2024, 1, 1)
@@ -24,7 +27,7 @@ def source(spark, tmp_path):
 def test_status_folds_merge(spark, tmp_path):
     stream, batch = source(spark, tmp_path)
     J.stream_status(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert J.read_batches(spark, f"{tmp_path}/out").select("batch").distinct().count() == 2
+    assert Store(spark, f"{tmp_path}/out").marked() == {(0, 0), (0, 1)}
     base = batch.select("clean_url").distinct().selectExpr(
         "clean_url AS url", "clean_url", "'pending' AS status", "0 AS retry_count", "CAST(NULL AS STRING) AS error_message")
     got = J.current_status(base, f"{tmp_path}/out")
@@ -33,8 +36,9 @@ def test_status_folds_merge(spark, tmp_path):
 
 def test_progress_windows(spark, tmp_path):
     stream, batch = source(spark, tmp_path)
-    J.to_batches(J.stream_progress(stream, "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/ck", "update").awaitTermination()
-    got = {r.window_start: (r.pages, r.bytes, r.errors) for r in J.latest_windows(spark, f"{tmp_path}/out").collect()}
+    J.stream_windows(J.stream_progress(stream, "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/ck", every=2).awaitTermination()
+    assert (1, 1) in Store(spark, f"{tmp_path}/out").marked()
+    got = {r.window_start: (r.pages, r.bytes, r.errors) for r in J.latest_windows(spark, f"{tmp_path}/out", every=2).collect()}
     want = {r.window_start: (r.pages, r.bytes, r.errors) for r in J.stream_progress(batch, "10 minutes").collect()}
     assert got == want
 
@@ -67,3 +71,97 @@ def test_stalled_claims_do_not_depend_on_files_or_their_order(spark, tmp_path):
         J.to_batches(J.stream_stalled(stream, "60 seconds", "2 hours"), f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-ck").awaitTermination()
         found.append(sorted(r.claim_id for r in J.read_batches(spark, f"{tmp_path}/{name}-out").collect()))
     assert found[0] == found[1] and len(found[0]) > 5
+
+
+# --- compaction ---------------------------------------------------------------------------
+
+
+def summed(rows):
+    return rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("batches").alias("batches"))
+
+
+def batch_rows(spark, b):
+    return spark.createDataFrame([(b % 3, b, 1), (7, 1, 1)], "k int, n bigint, batches bigint").coalesce(1)
+
+
+def state(spark, path, every):
+    found = read_folds(spark, path, summed, every)
+    return {r.k: (r.n, r.batches) for r in found.collect()} if found is not None else {}
+
+
+def expected(n):
+    out = {k: (sum(range(k, n, 3)), len(range(k, n, 3))) for k in range(3) if k < n}
+    return out | ({7: (n, n)} if n else {})
+
+
+def test_a_reader_opens_few_folds_and_sees_all_batches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "f"), 3)
+    assert read_folds(spark, store.path, summed, 3) is None
+    for b in range(30):
+        store.add(batch_rows(spark, b), b, summed)
+        if b in (0, 1, 2, 5, 8, 9, 26, 29):
+            assert state(spark, store.path, 3) == expected(b + 1)
+        assert len(store.cover()) <= 2 * 4
+    assert store.cover() == [(3, 26), (1, 29)]
+    # Folders stay bounded too: of each level the inputs of at most the last two merges.
+    assert len(store.marked()) <= 4 * 2 * 3
+
+
+def test_a_thousand_batches(spark, tmp_path, monkeypatch):
+    """The bookkeeping alone: which folds are marked, read and kept after 1,000 batches of 16."""
+    marked, reads = set(), []
+    monkeypatch.setattr(Store, "write", lambda self, rows, level, last: marked.add((level, last)))
+    monkeypatch.setattr(Store, "read", lambda self, folds: reads.append(folds) or folds)
+    monkeypatch.setattr(Store, "marked", lambda self: set(marked))
+    monkeypatch.setattr(Store, "is_marked", lambda self, level, last: (level, last) in marked)
+    monkeypatch.setattr(Store, "drop", lambda self, level, first, last: [marked.discard(x) for x in list(marked) if x[0] == level and first <= x[1] <= last])
+    store = Store(spark, str(tmp_path / "f"), 16)
+    for b in range(1000):
+        store.add(None, b, lambda rows: rows)
+    cover = store.cover()
+    assert len(cover) <= 45 and cover[-1][1] == 999 and sum(16**level for level, _ in cover) == 1000
+    assert len(marked) <= 3 * 2 * 16 and all(len(r) == 16 for r in reads)
+
+
+def test_replays_and_crashes(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f")
+    store = Store(spark, path, 2)
+    for b in range(3):
+        store.add(batch_rows(spark, b), b, summed)
+    # A crash after the rows of the merge are written, before its marker: the reader still takes the folds below.
+    real = store._fs.create
+    calls = []
+
+    def lost(rows, level, last):
+        rows.write.mode("overwrite").parquet(f"{path}/level={level}/last={last}")
+        if level > 0:
+            calls.append((level, last))
+            raise RuntimeError("lost")
+        real(store._at(f"level={level}/last={last}/_MARKED"), True).close()
+
+    monkeypatch.setattr(store, "write", lost)
+    try:
+        store.add(batch_rows(spark, 3), 3, summed)
+    except RuntimeError:
+        pass
+    assert calls == [(1, 3)] and (1, 3) not in store.marked() and state(spark, path, 2) == expected(4)
+    monkeypatch.undo()
+    # The batch is replayed: nothing counts twice, and the merges are made up for.
+    for _ in range(2):
+        Store(spark, path, 2).add(batch_rows(spark, 3), 3, summed)
+        assert state(spark, path, 2) == expected(4)
+    assert Store(spark, path, 2).cover() == [(2, 3)]
+
+
+def test_a_restarted_stream_goes_on(spark, tmp_path):
+    schema = "k int, n bigint"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        to_folds(stream, f"{tmp_path}/f", f"{tmp_path}/ck", lambda r, _: summed(r.withColumn("batches", F.lit(1))), summed, every=2).awaitTermination()
+
+    for part in range(3):
+        for k in range(2):
+            spark.createDataFrame([(1, part * 2 + k)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}-{k}")
+        run()
+        assert state(spark, f"{tmp_path}/f", 2)[1][0] == sum(range(2 * part + 2))

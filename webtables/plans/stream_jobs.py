@@ -55,7 +55,7 @@ def stream_status(spark, sf):
 def stream_progress(spark, sf):
     room = _room(spark)
     windows = J.stream_progress(I.log_of(_stream(spark, sf, "events")), "1 hour")
-    J.to_batches(windows, f"{room}/out", f"{room}/ckpt", "update").awaitTermination()
+    J.stream_windows(windows, f"{room}/out", f"{room}/ckpt").awaitTermination()
     rows = J.latest_windows(spark, f"{room}/out")
     return rows.withColumn("window_start", F.date_format("window_start", I.TS_FORMAT))
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings every job needs for right results, whatever cluster it runs on.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
+    # State of days of URLs does not fit the heap; timers of keyed state need this store as well.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from webtables.operators import tracker as T
 from webtables.operators.links import link_rows
 from webtables.operators.scope import Rules
+from webtables.streaming.folds import EVERY, read_folds, to_folds
 
 
 def stream_links(pages: DataFrame, rules: Rules) -> DataFrame:
@@ -94,18 +95,27 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
-def stream_status(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold arriving status events; each batch stores only the fold of its own events."""
-    return to_batches(log, path, checkpoint, each=T.partial_fold)
+def stream_status(log: DataFrame, path: str, checkpoint: str, every: int = EVERY) -> StreamingQuery:
+    """Fold arriving status events; each batch stores the fold of its own events, and folds are compacted in levels."""
+    return to_folds(log, path, checkpoint, lambda rows, _: T.partial_fold(rows), T.merge_folds, every=every)
 
 
-def current_status(discovered: DataFrame, path: str) -> DataFrame:
+def current_status(discovered: DataFrame, path: str, every: int = EVERY) -> DataFrame:
     """The status table as of the folds stored so far."""
-    folds = read_batches(discovered.sparkSession, path).drop("batch")
-    return T.apply_fold(discovered, T.merge_folds(folds))
+    fold = read_folds(discovered.sparkSession, path, T.merge_folds, every)
+    return discovered if fold is None else T.apply_fold(discovered, fold)
 
 
-def latest_windows(spark: SparkSession, path: str, key: str = "window_start") -> DataFrame:
-    """Last state of every window written in update mode."""
-    rows = read_batches(spark, path)
-    return T.last_per_key(rows, [key], ["batch"]).drop("batch")
+def _last_windows(rows: DataFrame, key: str = "window_start") -> DataFrame:
+    return T.last_per_key(rows, [key], ["batch"])
+
+
+def stream_windows(windows: DataFrame, path: str, checkpoint: str, every: int = EVERY) -> StreamingQuery:
+    """Store the windows of an aggregate in update mode; of each window the last state counts."""
+    return to_folds(windows, path, checkpoint, lambda rows, n: rows.withColumn("batch", F.lit(n).cast("bigint")), _last_windows, "update", every)
+
+
+def latest_windows(spark: SparkSession, path: str, every: int = EVERY) -> DataFrame | None:
+    """Last state of every window stored so far; None before the first batch."""
+    rows = read_folds(spark, path, _last_windows, every)
+    return rows.drop("batch") if rows is not None else None
