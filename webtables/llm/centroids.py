@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtables.llm.exchange import arrow_schema, stored
+from webtables.session import discard
 
 MARGIN = 1e-9
 #: Below this, sums of products of components are exact in doubles.
@@ -193,7 +194,8 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, seed: str = "2", s
         radius = np.full(len(centroids), -1.0)
         for r in state.groupBy("cluster").agg(F.max("distance").alias("far")).collect():
             radius[r.cluster] = np.sqrt(float(r.far))
-        state = stored(_assign(state, new, loosening(centroids, new, radius)))
+        before, state = state, stored(_assign(state, new, loosening(centroids, new, radius)))
+        discard(before)
         centroids = new
     return state.drop("was", "lower"), centroids
 

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.session import cut_lineage
+from webtables.session import cut_lineage, importable
+
+__all__ = ["arrow_schema", "bucket_count", "by_bucket", "importable", "stored"]
 
 BLOBS = "bucket int, blob binary"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where the driver found it, whatever folder they start in."""
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
-    return spark
-
-
 def bucket_count(spark: SparkSession, factor: int = 8) -> int:
     """Buckets of an exchange: in proportion to the shuffle partitions the cluster is set to."""
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))
