@@ -11,6 +11,7 @@ from webtables.plans import inputs as I
 from webtables.plans import page_jobs as P
 from webtables.session import checkpoint_dir, prepare
 from webtables.streaming import jobs as J
+from webtables.streaming import queue as Q
 
 
 # Files that one micro-batch reads at most; the rest waits for the next one.
@@ -66,7 +67,14 @@ def stream_timeout(spark, sf):
     return _run(stalled, _room(spark)).withColumn("claimed_at", F.date_format("claimed_at", I.TS_FORMAT))
 
 
-QUERIES = {f.__name__: f for f in (stream_links, stream_dedup, stream_status, stream_progress, stream_timeout)}
+def stream_queue(spark, sf):
+    """The queue after the whole log: claims time out after twelve hours, two retries, then a URL is given up."""
+    room = _room(spark)
+    Q.stream_queue(I.log_of(_stream(spark, sf, "events")), f"{room}/out", f"{room}/ckpt", 12 * 3600, 2, LATE).awaitTermination()
+    return Q.current_queue(spark, f"{room}/out")
+
+
+QUERIES = {f.__name__: f for f in (stream_links, stream_dedup, stream_status, stream_progress, stream_timeout, stream_queue)}
 
 ORACLE = {
     "stream_links": P.ORACLE["html_links"],
@@ -78,4 +86,10 @@ ORACLE = {
       claims AS (SELECT clean_url, ts, event_id FROM log WHERE action = 'claim'), seen AS (SELECT least((SELECT max(ts) FROM claims), (SELECT max(ts) FROM ends)) - INTERVAL '{LATE}' AS until)
       SELECT clean_url, strftime(ts, '{I.TS_FORMAT_SQL}') AS claimed_at, event_id AS claim_id FROM claims c, seen WHERE ts + INTERVAL 12 HOUR < until
       AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.clean_url = c.clean_url AND e.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOUR)""",
+    "stream_queue": f"""WITH {I.CRAWL_LOG}, seen AS (SELECT clean_url, action, ts FROM log WHERE action IN ('claim', 'complete', 'fail')),
+      until AS (SELECT max(ts) - INTERVAL '{LATE}' AS until FROM seen),
+      o AS (SELECT *, action = 'claim' AND NOT EXISTS (SELECT 1 FROM seen e WHERE e.clean_url = c.clean_url AND e.action <> 'claim' AND e.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOUR) AS unended,
+        c.ts + INTERVAL 12 HOUR < until AS over_ FROM seen c, until),
+      s AS (SELECT clean_url, (count(*) FILTER (action = 'fail' OR (unended AND over_)))::INT AS retry_count, bool_or(action = 'complete') AS done, bool_or(unended AND NOT over_) AS waits FROM o GROUP BY 1)
+      SELECT clean_url, CASE WHEN done THEN 'completed' WHEN retry_count > 2 THEN 'failed' WHEN waits THEN 'downloading' ELSE 'pending' END AS status, retry_count FROM s""",
 }
