@@ -64,18 +64,20 @@ _GRAPHIC[0x21:0x7F] = True
 _BLANK_STARTS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
-def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): texts cut at single blanks between two signs of ASCII; ``first`` by row."""
+def stretches(data: np.ndarray, off: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, first): where stretches begin, and the first one of each row; with ``cut`` texts are cut at single blanks between signs.
+
+    Without it every text is one stretch. A stretch ends before the blank in front of the next one, or with its text.
+    """
     blank = np.zeros(len(data), bool)
-    if len(data) > 2:
+    if cut and len(data) > 2:
         blank[1:-1] = (data[1:-1] == 0x20) & _GRAPHIC[data[:-2]] & _GRAPHIC[data[2:]]
-    edge = off[(off > 0) & (off < len(data))]
-    blank[edge] = blank[edge - 1] = False
-    full = off[1:] > off[:-1]
-    start, end = np.append(False, blank), np.append(blank, False)
-    start[off[:-1][full]] = end[off[1:][full]] = True
+        edge = off[(off > 0) & (off < len(data))]
+        blank[edge] = blank[edge - 1] = False
+    start = np.append(False, blank)
+    start[off[:-1][off[1:] > off[:-1]]] = True
     start = np.flatnonzero(start)
-    return start, np.flatnonzero(end), np.searchsorted(start, off)
+    return start, np.searchsorted(start, off)
 
 
 class Pair:
@@ -123,8 +125,11 @@ class Pair:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Texts as stretches: their number by text, which distinct stretch each is, and the ids and sizes of these for A and for B."""
-        start, end, first = stretches(data, off) if self.by_stretch else (off[:-1], off[1:], np.arange(len(off)))
-        text, begin, _ = A.joined(data, start, end)
+        start, first = stretches(data, off, self.by_stretch)
+        # A blank follows every stretch: the one it was cut at, or one put in behind the text.
+        full = off[1:] > off[:-1]
+        text = np.insert(data, off[1:][full], 0x20)
+        begin = start + np.repeat(np.cumsum(full) - full, np.diff(first))
         values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(text)).astype(np.int64)), pa.py_buffer(text)])
         coded = values.dictionary_encode()
         distinct, known = coded.dictionary.to_pylist(), self.known
