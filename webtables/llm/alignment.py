@@ -49,13 +49,13 @@ from webtables.llm.exchange import arrow_schema, stored
 SLICE = 3 << 19
 ROWS = 1 << 12
 #: Bytes of text given to the tokenizers at once (one text at least): what they return is many times as large.
-BATCH = 1 << 18
+BATCH = 1 << 17
 PIECE = 1 << 16
 BLOCK = 1 << 18
 
 
 #: Distinct stretches of text whose ids a worker keeps; then it starts anew.
-MEMORY = 300_000
+MEMORY = 100_000
 
 #: Signs round a blank at which a text may be cut before it is tokenised.
 _GRAPHIC = np.zeros(256, bool)
@@ -101,11 +101,10 @@ class Pair:
         names = [self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())]
         self.bytes_a = pa.array([bytes(map(letters.__getitem__, s)) if all(c in letters for c in s) else s.encode() for s in names], pa.large_binary())
         b = self.b
-        with open(path_a, encoding="utf-8") as f:
-            spec = json.load(f)
-        mine = {k: (spec["pre_tokenizer"] or {}).get(k) for k in _BLANK_STARTS}
+        splitter = json.loads(self.a.pre_tokenizer.__getstate__()) if self.a.pre_tokenizer else {}
+        mine = {k: splitter.get(k) for k in _BLANK_STARTS}
         inner = any("▁" in b.id_to_piece(k).lstrip("▁") for k in range(b.get_piece_size()))
-        self.by_stretch = spec["normalizer"] is None and mine == _BLANK_STARTS and not inner
+        self.by_stretch = self.a.normalizer is None and mine == _BLANK_STARTS and not inner
         self._forget()
         pieces = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.bytes_b = pa.array(pieces, pa.large_binary())
@@ -249,9 +248,22 @@ def _aligned(pair: Pair, text) -> tuple[np.ndarray, ...]:
 
 def _links(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndarray, n_groups: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of (group, A id, B id, links): the distinct id pairs of each group with the number of their occurrences."""
+    # Runs of whole groups of about PIECE tokens: what is held at once does not grow with the text.
+    stop_a, stop_b = (np.searchsorted(of, np.arange(n_groups), "right") for of in (of_a, of_b))
+    work = stop_a + stop_b
+    at = 0
+    while at < n_groups:
+        until = max(int(np.searchsorted(work, (work[at - 1] if at else 0) + PIECE, "right")), at + 1)
+        a, b = (slice(stop[at - 1] if at else 0, stop[until - 1]) for stop in (stop_a, stop_b))
+        for group, *rest in _group_links(ids_a[a], of_a[a] - at, ids_b[b], of_b[b] - at, until - at):
+            yield group + at, *rest
+        at = until
+
+
+def _group_links(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.ndarray, n_groups: int) -> Iterator[tuple[np.ndarray, ...]]:
     sides = []
     for ids, of in ((ids_a, of_a), (ids_b, of_b)):
-        key = of * (1 << 24) + ids
+        key = of.astype(np.int64) << 24 | ids
         size = np.bincount(of, minlength=n_groups)
         if len(key) and size.max() > 1:
             key, times = np.unique(key, return_counts=True)
@@ -309,10 +321,13 @@ def _slices(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             total = int(n_groups.sum())
             pairs, held = _document_pairs(np.repeat(np.arange(len(n_groups)), n_groups), _links(ids_a, of_a, ids_b, of_b, total))
             sizes = [np.bincount(of, minlength=total).astype(np.int32) for of in (of_a, of_b)]
-            blob = A.pack(*stretched, *sizes, n_groups.astype(np.int64))
+            blob = A.pack(*stretched, *sizes, n_groups.astype(np.int64), pairs)
             row = [[number], [part.column("doc_id").to_pylist()], [blob], [pairs], [held]]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
             number += 1
+            # Arrow's pool keeps what it has freed; a worker that idles in later stages should not.
+            pa.default_memory_pool().release_unused()
+        pair._forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _SLICES)
 
@@ -354,15 +369,14 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         out = [_finished(row, right, schema) for row in left.to_batches() if row.num_rows]
         return pa.Table.from_batches(out, schema)
 
-    return slices.select("slice", "docs", "blob", "pairs").groupBy("slice").cogroup(back.groupBy("into")).applyInArrow(whole, ddl)
+    return slices.select("slice", "docs", "blob").groupBy("slice").cogroup(back.groupBy("into")).applyInArrow(whole, ddl)
 
 
 def _finished(row: pa.RecordBatch, counts: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     """The documents of a slice (one row), with the counts of its pairs."""
-    *stretched, size_a, size_b, n_groups = A.unpack(row.column("blob")[0].as_py())
+    *stretched, size_a, size_b, n_groups, pairs = A.unpack(row.column("blob")[0].as_py())
     ids_a, n_a, ids_b, n_b = expanded(stretched)
     ids_a, ids_b = ids_a[np.repeat(n_groups > 0, n_a)], ids_b[np.repeat(n_groups > 0, n_b)]
-    pairs = row.column("pairs").flatten().to_numpy()
     count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
     at = counts.column("at").to_numpy()
     count[at], best[at] = counts.column("n").to_numpy(), counts.column("best").to_numpy()
