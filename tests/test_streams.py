@@ -1,11 +1,14 @@
 """Streams over several arriving files agree with the batch jobs over all of them."""
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from webtables.operators import tracker as T
 from webtables.streaming import jobs as J
+from webtables.streaming import queue as Q
 from webtables.streaming.folds import Store, read_folds, to_folds
 
 LOG = "clean_url string, action string, ts timestamp, event_id bigint, error string, file_size bigint"
@@ -165,3 +168,48 @@ def test_a_restarted_stream_goes_on(spark, tmp_path):
             spark.createDataFrame([(1, part * 2 + k)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}-{k}")
         run()
         assert state(spark, f"{tmp_path}/f", 2)[1][0] == sum(range(2 * part + 2))
+
+
+# --- queue --------------------------------------------------------------------------------
+
+
+def queue_events():
+    rng = random.Random(3)
+    out = []
+    for u in range(6):
+        t = T0 + timedelta(seconds=rng.randint(0, 300))
+        for _ in range(rng.randint(1, 6)):
+            out.append((f"u{u}", "claim", t))
+            end = rng.choice([None, 10, 59, 60, 61, 200])
+            if end is not None:
+                out.append((f"u{u}", rng.choice(["complete", "fail", "fail", "discover"]), t + timedelta(seconds=end)))
+            t += timedelta(seconds=rng.choice([30, 90, 400]))
+    last = max(t for _, _, t in out)
+    # Open claims beyond the watermark, and an event that moves it.
+    return out + [("open", "claim", last + timedelta(hours=3)), ("clock", "complete", last + timedelta(hours=3))]
+
+
+@pytest.mark.parametrize("order", ["sorted", "reversed", "shuffled"])
+def test_queue_does_not_depend_on_order(spark, tmp_path, order):
+    events = queue_events()
+    late = events[-2:]
+    rest = {"sorted": events[:-2], "reversed": events[:-2][::-1], "shuffled": random.Random(9).sample(events[:-2], len(events) - 2)}[order]
+    schema = "clean_url string, action string, ts timestamp"
+    parts = [rest[k::3] for k in range(3)] + [late]
+    path, checkpoint = f"{tmp_path}/f", f"{tmp_path}/ck"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        Q.stream_queue(stream, path, checkpoint, 60, 1, "2 hours", every=2).awaitTermination()
+
+    assert Q.current_queue(spark, path, 2) is None
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+        if k in (1, 3):  # stopped and started again from its checkpoint
+            run()
+    got = sorted(map(tuple, Q.current_queue(spark, path, 2).collect()))
+    until = max(t for _, _, t in events) - timedelta(hours=2)
+    want = Q.queue_status(spark.createDataFrame(events, schema), F.lit(until), 60, 1)
+    assert got == sorted(map(tuple, want.collect()))
+    assert {s for _, s, _ in got} >= {"completed", "failed", "downloading"}
+    assert dict((u, s) for u, s, _ in got)["open"] == "downloading"

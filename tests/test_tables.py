@@ -1,8 +1,10 @@
 """Tracker, frontier, wiki, import and report behaviour on hand-made rows."""
 
 import json
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from webtables import schema as S
@@ -64,6 +66,24 @@ def test_frontier_is_shortest_path(spark):
     assert FR.crawl_frontier(df, seeds, 50).count() == 6
 
 
+@pytest.mark.parametrize("seed,depth", [(1, 4), (2, 2)])
+def test_frontier_grows_as_if_run_anew(spark, seed, depth):
+    """After each of several sets of new links: shortcuts, new pages, smaller parents, links that change nothing."""
+    rng = random.Random(seed)
+    pages = [f"p{k:02}" for k in range(40)]
+    links = list({(rng.choice(pages), rng.choice(pages)) for _ in range(110)} | {(pages[k], pages[k + 1]) for k in range(0, 39, 2)})
+    rng.shuffle(links)
+    seeds = spark.createDataFrame([("p00",), ("p07",)], "clean_url string")
+    table = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    known, upto = FR.crawl_frontier(table(links[:30]), seeds, depth), 30
+    for step in (3, 40, len(links)):
+        new = links[upto : upto + step] + links[:2] + [("p00", "p00"), ("zz", "p01")]
+        known = FR.extend_frontier(known, table(links[:upto]), table(new), depth)
+        upto = min(upto + step, len(links))
+        want = FR.crawl_frontier(table(links[:upto] + [("zz", "p01")]), seeds, depth)
+        assert sorted(map(tuple, known.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_frontier_space_and_resume(spark):
     front = spark.createDataFrame(
         [("https://w/spaces/A/overview", 3), ("https://w/spaces/A/pages/1#x", 2), ("https://w/spaces/B/pages/9", 1)], "url string, depth int")

@@ -48,6 +48,52 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFr
     return visited
 
 
+def extend_frontier(visited: DataFrame, edges: DataFrame, new_links: DataFrame, max_depth: int) -> DataFrame:
+    """``visited`` (as from crawl_frontier over ``edges``) after ``new_links`` have been found; nothing starts from the seeds again.
+
+    Semi-naive: at each depth only two kinds of links are followed, new ones from pages of the depth before, and all links of pages
+    that have just come to the depth before. What they reach gets a lower depth and spreads onwards, or, where the depth
+    is the same, a smaller parent. A page that keeps its depth cannot lose its parent, as a parent that moves up takes its
+    targets along. The result equals a full run over all links, which the caller keeps as the next ``edges``.
+    """
+    links = cut_lineage(new_links.select("src", "dst").where("src <> dst").distinct())
+    graph = edges.select("src", "dst").where("src <> dst").unionByName(links)
+    seen = visited.select("clean_url", "depth", "parent_url")
+    # New links with the depth their source had; the few sources go to the large table, not the other way round.
+    starts = cut_lineage(links.join(seen.select(F.col("clean_url").alias("src"), F.col("depth").alias("was")), "src", "left"))
+    deepest = starts.agg(F.max("was")).first()[0]
+    changed = seen.where(F.lit(False))
+    moved = None
+    for depth in range(1, max_depth + 1):
+        if moved is None and (deepest is None or depth - 1 > deepest):
+            break
+        now = changed.select(F.col("clean_url").alias("src"), F.col("depth").alias("now"))
+        reached = starts.join(now, "src", "left").where(F.coalesce("now", "was") == depth - 1).select("src", "dst")
+        if moved is not None:
+            reached = reached.unionByName(moved.select(F.col("clean_url").alias("src")).join(graph, "src").select("src", "dst"))
+        best = cut_lineage(reached.groupBy(F.col("dst").alias("clean_url")).agg(F.min("src").alias("new_parent")))
+        if best.isEmpty():
+            moved = None
+            continue
+        old = seen.join(best.select("clean_url"), "clean_url", "left_semi").select("clean_url", F.col("depth").alias("was"), "parent_url")
+        over = changed.select("clean_url", F.col("depth").alias("now"), F.col("parent_url").alias("now_parent"))
+        here = best.join(old, "clean_url", "left").join(over, "clean_url", "left")
+        here = here.select(
+            "clean_url", "new_parent", F.coalesce("now", "was").alias("had"),
+            F.when(F.col("now").isNotNull(), F.col("now_parent")).otherwise(F.col("parent_url")).alias("had_parent"),
+        )
+        lower = F.col("had").isNull() | (F.col("had") > depth)
+        renamed = (F.col("had") == depth) & (F.col("new_parent") < F.col("had_parent"))
+        step = cut_lineage(
+            here.where(lower | renamed).select("clean_url", F.lit(depth).alias("depth"), F.col("new_parent").alias("parent_url"), lower.alias("lower"))
+        )
+        # No page changes twice: it is looked at at its own, final depth only, or came to a lower one before.
+        changed = changed.unionByName(step.drop("lower"))
+        moved = step.where("lower").select("clean_url")
+        moved = None if moved.isEmpty() else moved
+    return seen.join(changed.select("clean_url"), "clean_url", "left_anti").unionByName(changed)
+
+
 def expand_spaces(frontier: DataFrame, listing: DataFrame) -> DataFrame:
     """Replace space index pages by all pages of their space, at depth 0.
 

@@ -8,6 +8,7 @@ from webtables.operators import frontier as FR
 from webtables.operators import lookups as L
 from webtables.operators import tracker as T
 from webtables.plans import inputs as I
+from webtables.session import cut_lineage
 
 
 def _ts(col: str):
@@ -73,18 +74,29 @@ def _space_listing(spark, sf):
 
 
 def frontier_space(spark, sf):
-    """A frontier of every page and of the indexes of those spaces that hold an odd number of pages, one hop down."""
+    """A frontier of every page and of the index of every space, one hop down."""
     docs = I.table(spark, sf, "documents")
     key = F.upper("source")
     base = F.lit("https://wiki.example.com/wiki/spaces/")
-    odd = docs.groupBy("source").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    index = odd.select(F.concat(base, key, F.when(F.col("n") % 3 == 0, "").otherwise("/overview")).alias("url"), F.lit(2).alias("depth"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
+    index = sizes.select(F.concat(base, key, F.when(F.col("n") % 3 == 0, "").otherwise("/overview")).alias("url"), F.lit(2).alias("depth"))
     own = docs.select(
         F.concat(base, key, F.lit("/pages/"), F.col("doc_id").cast("string"), F.lit("#top")).alias("url"), F.lit(1).alias("depth")
     )
     return FR.expand_spaces(index.unionByName(own), _space_listing(spark, sf))
 
 
+def frontier_update(spark, sf):
+    """The frontier of a third of all links, brought up to date with the other two thirds one after the other."""
+    seeds = I.table(spark, sf, "supplier").where("s_suppkey = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("clean_url"))
+    graph = I.link_graph(spark, sf).withColumn("part", F.expr("cast(conv(substring(md5(src || '>' || dst), 1, 4), 16, 10) as int) % 3"))
+    graph = cut_lineage(graph)
+    known = FR.crawl_frontier(graph.where("part = 0"), seeds, 3)
+    for part in range(1, 3):
+        known = cut_lineage(FR.extend_frontier(known, graph.where(F.col("part") < part), graph.where(F.col("part") == part), 3))
+    return known
+
+
 def frontier_pending(spark, sf):
     return FR.pending(I.discovered(spark, sf), 500)
 
@@ -191,7 +203,7 @@ def reset_progress(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        join_unseen, join_unfetched_resources, join_path_lookup, join_resource_path, fk_audit, frontier_bfs, frontier_space,
+        join_unseen, join_unfetched_resources, join_path_lookup, join_resource_path, fk_audit, frontier_bfs, frontier_update, frontier_space,
         frontier_pending, frontier_resume, frontier_new_links, upsert_ignore, upsert_replace, upsert_attachments,
         status_claim, status_complete, status_fail, latest_version, retention, reset_progress,
     )
@@ -200,6 +212,12 @@ QUERIES = {
 _TS = f"strftime({{c}}, '{I.TS_FORMAT_SQL}')"
 _WIKI = "'https://wiki.example.com/wiki/spaces/'"
 
+_BFS = f"""WITH RECURSIVE {I.LINK_GRAPH}, walk AS (SELECT 's0' AS url, 0 AS depth FROM supplier WHERE s_suppkey = 0
+        UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3),
+      best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
+      SELECT b.url AS clean_url, b.depth, min(p.url) AS parent_url FROM best b LEFT JOIN edges e ON e.dst = b.url AND b.depth > 0
+      LEFT JOIN best p ON p.url = e.src AND p.depth = b.depth - 1 GROUP BY ALL"""
+
 ORACLE = {
     "join_unseen": f"""WITH {I.DISCOVERED_NEW}, {I.DOCUMENTS.replace(I.CRAWL_LOG + ', ', '')}
       SELECT DISTINCT parent_url AS clean_url, clean_url AS found_on FROM discovered_new
@@ -212,13 +230,10 @@ ORACLE = {
     "fk_audit": f"""WITH {I.PAGE_VERSIONS}, {I.RESOURCE_USES}, {I.STORED_RESOURCES}
       SELECT DISTINCT 'metadata' AS child, url FROM versions WHERE url NOT IN (SELECT 'https://wiki.example.com/pages/' || doc_id FROM documents)
       UNION ALL SELECT DISTINCT 'use', url FROM uses WHERE url NOT IN (SELECT url FROM stored)""",
-    "frontier_bfs": f"""WITH RECURSIVE {I.LINK_GRAPH}, walk AS (SELECT 's0' AS url, 0 AS depth FROM supplier WHERE s_suppkey = 0
-        UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3),
-      best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
-      SELECT b.url AS clean_url, b.depth, min(p.url) AS parent_url FROM best b LEFT JOIN edges e ON e.dst = b.url AND b.depth > 0
-      LEFT JOIN best p ON p.url = e.src AND p.depth = b.depth - 1 GROUP BY ALL""",
+    "frontier_bfs": _BFS,
+    "frontier_update": _BFS,
     "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents
-        UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 1))
+        UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents)
       SELECT url, min(depth) AS depth FROM f GROUP BY url""",
     "frontier_pending": f"WITH {I.DISCOVERED} SELECT url, depth FROM discovered WHERE status = 'pending' ORDER BY depth, discovered_at, url LIMIT 500",
     "frontier_resume": f"WITH {I.DISCOVERED} SELECT url, depth FROM discovered WHERE status = 'pending'",
