@@ -49,13 +49,13 @@ from webtables.llm.exchange import arrow_schema, stored
 SLICE = 3 << 19
 ROWS = 1 << 12
 #: Bytes of text given to the tokenizers at once (one text at least): what they return is many times as large.
-BATCH = 1 << 17
+BATCH = 1 << 18
 PIECE = 1 << 16
 BLOCK = 1 << 18
 
 
 #: Distinct stretches of text whose ids a worker keeps; then it starts anew.
-MEMORY = 100_000
+MEMORY = 300_000
 
 #: Signs round a blank at which a text may be cut before it is tokenised.
 _GRAPHIC = np.zeros(256, bool)
