@@ -1,5 +1,7 @@
 """Malformed JSON beside good rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,19 @@ def test_bad_progress_files_are_listed(spark, tmp_path):
     assert {tuple(r) for r in named} == {("b", "unreadable"), ("c", "unreadable")}
     with pytest.raises(Q.TooManyBadRows):
         P.import_progress(spark, str(tmp_path), most_bad=0.5)
+
+
+def test_listing_audit(spark):
+    page = lambda n, total=None: json.dumps({"results": [{"id": str(k)} for k in range(n)]} | ({"totalSize": total} if total is not None else {}))
+    rows = [
+        ("whole", 0, page(3, 5)), ("whole", 3, page(2, 5)),
+        ("holes", 2, page(2, 9)), ("holes", 6, page(2, 9)), ("holes", 20, page(0, 9)),
+        ("twice", 0, page(5)), ("twice", 0, page(5)), ("twice", 3, page(4)), ("twice", 4, page(1)),
+        ("none", None, None), (None, 1, page(1, 0)),
+    ]
+    got = W.listing_audit(spark.createDataFrame(rows, "space_key string, start int, json string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        ("holes", "gap", 0, 1), ("holes", "gap", 4, 5), ("holes", "early end", 8, 8), ("twice", "overlap", 0, 4), ("twice", "overlap", 3, 4), ("twice", "overlap", 4, 4), (None, "gap", 0, 0),
+    ], key=repr)
+    short = spark.createDataFrame([("s", 0, page(3, 9)), ("s", 3, page(1, 8))], "space_key string, start int, json string")
+    assert [tuple(r) for r in W.listing_audit(short).collect()] == [("s", "early end", 4, 8)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webtables import schema as S
@@ -223,6 +224,20 @@ def src_bad_rows(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(files)
 
 
+def listing_audit(spark, sf):
+    """Listings of ten results a page, some pages lost, some asked for two places early, some totals too high."""
+    docs = I.table(spark, sf, "documents")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = docs.select(F.upper("source").alias("space_key"), "doc_id", place.alias("place"), F.expr(_ID).alias("id"), F.count("*").over(Window.partitionBy("source")).alias("n"))
+    page = F.floor(F.col("place") / 10)
+    rows = rows.withColumn("page", F.explode(F.when((F.col("place") % 10 >= 8), F.array(page, page + 1)).otherwise(F.array(page))))
+    # The last two results of a page belong to the next one as well, where that one is asked for early.
+    rows = rows.where((F.col("page") == page) | (F.col("page") % 7 == 5)).where("page % 7 <> 3")
+    lists = rows.groupBy("space_key", "page", "n").agg(F.min("place").alias("start"), F.sort_array(F.collect_list(F.struct("place", F.struct("id").alias("r")))).alias("l"))
+    json = F.to_json(F.struct(F.transform("l", lambda x: x["r"]).alias("results"), (F.col("n") + F.when(F.col("n") % 2 == 0, 5).otherwise(0)).alias("totalSize")))
+    return W.listing_audit(lists.select("space_key", "start", json.alias("json")))
+
+
 def attachment_path(spark, sf):
     return _atts(spark, sf).select("attachment_id", "title", "local_path")
 
@@ -331,7 +346,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_wiki_json, src_wiki_listing, src_attachments_json, attachment_path, html_links_wiki, join_page_attachments,
-        join_space_pages, meta_derived, space_summary, src_bad_rows, snk_metadata_doc, snk_documents, snk_wiki_pages, snk_tables_json, src_progress_json,
+        join_space_pages, meta_derived, space_summary, src_bad_rows, listing_audit, snk_metadata_doc, snk_documents, snk_wiki_pages, snk_tables_json, src_progress_json,
         migration_stats,
     )
 }
@@ -437,6 +452,12 @@ ORACLE = {
     "src_wiki_listing": f"""WITH {_WIKI} SELECT upper(source) AS space_key, CASE WHEN f_webui LIKE 'http%' THEN f_webui WHEN f_webui LIKE '/wiki%' THEN '{I.WIKI_BASE}' || f_webui
       ELSE '{I.WIKI_BASE}/wiki' || f_webui END AS url FROM wiki WHERE f_webui IS NOT NULL AND (doc_id // 100) % 13 > 4""",
     "src_attachments_json": f"WITH {_ATTS} SELECT page_url, page_id, attachment_id, title, media_type, file_size_api, version, created_when, created_by, comment, download_url FROM atts WHERE {_GOOD}",
+    "listing_audit": """WITH r AS (SELECT upper(source) AS space_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents),
+      e AS (SELECT space_key, n, place, place // 10 AS page FROM r UNION ALL SELECT space_key, n, place, place // 10 + 1 FROM r WHERE place % 10 >= 8 AND (place // 10 + 1) % 7 = 5),
+      p AS (SELECT space_key, min(place) AS a, max(place) + 1 AS b, any_value(n) + CASE WHEN any_value(n) % 2 = 0 THEN 5 ELSE 0 END AS total FROM e WHERE page % 7 <> 3 GROUP BY space_key, page),
+      w AS (SELECT *, coalesce(max(b) OVER (PARTITION BY space_key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM p)
+      SELECT space_key, CASE WHEN a > m THEN 'gap' ELSE 'overlap' END AS problem, least(a, m)::BIGINT AS first, (CASE WHEN a > m THEN a ELSE least(m, b) END - 1)::BIGINT AS last FROM w WHERE a <> m
+      UNION ALL SELECT space_key, 'early end', max(b)::BIGINT, (max(total) - 1)::BIGINT FROM p GROUP BY space_key HAVING max(b) < max(total)""",
     "src_bad_rows": f"""WITH {_WIKI}, {I.CRAWL_LOG}, {_ATTENTION}, p AS (SELECT url, 100000 + doc_id AS n, {_PAGE_JSON} AS j FROM wiki),
       l AS (SELECT DISTINCT upper(source) || '/' || (doc_id // 100) AS name, doc_id // 100 AS n FROM documents)
       SELECT 'page' AS source, url AS name, {_PROBLEM} AS problem, md5(CASE n % 13 WHEN 0 THEN substring(j, 1, length(j) - 7) WHEN 1 THEN ' ' WHEN 3 THEN '{{}}' WHEN 4 THEN '[' || j || ']' END) AS md5
