@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +84,26 @@ def test_frontier_grows_as_if_run_anew(spark, seed, depth):
         assert sorted(map(tuple, known.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_fetch_schedule_splits_a_hot_host(spark):
+    hot = [(f"https://HOT.example.com/{k:04}", k % 3, datetime(2024, 1, 1)) for k in range(600)]
+    cold = [(f"http://c{k % 200}/{k}", None, None) for k in range(600)]
+    rows = hot + cold + [(None, 1, None)]
+    table = spark.createDataFrame(rows, "url string, depth int, discovered_at timestamp").repartition(5)
+    got = FR.fetch_schedule(table, datetime(2024, 1, 31), 0.25)
+    by_host = {}
+    for r in got.collect():
+        by_host.setdefault(r.host, []).append((r.place, r.url, r.fetch_at))
+    assert sum(map(len, by_host.values())) == len(rows)
+    for places in by_host.values():
+        assert [p for p, _, _ in sorted(places)] == list(range(len(places)))
+        assert all(t == datetime(2024, 1, 31) + timedelta(seconds=p * 0.25) for p, _, t in places)
+    want = [u for u, *_ in sorted(hot, key=lambda r: (r[1], r[2], r[0]))]
+    assert [u for _, u, _ in sorted(by_host["hot.example.com"])] == want
+    # The URLs themselves are ranked within a range only.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.split("\n") if "row_number" in line and "Window" in line and "[part#" in line]
+
+
 def test_frontier_space_and_resume(spark):
     front = spark.createDataFrame(
         [("https://w/spaces/A/overview", 3), ("https://w/spaces/A/pages/1#x", 2), ("https://w/spaces/B/pages/9", 1)], "url string, depth int")

@@ -7,7 +7,9 @@ plan nor the recomputation grows with the depth, and a lost executor costs one s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtables.functions import urls as U
@@ -121,6 +123,27 @@ def resume(discovered: DataFrame, seed: str) -> DataFrame:
     return waiting.unionByName(start)
 
 
+def fetch_schedule(waiting: DataFrame, start: datetime, delay: float, order: tuple[str, ...] = ("depth", "discovered_at", "url")) -> DataFrame:
+    """(url, host, place, fetch_at): when each waiting URL may be fetched at the earliest, ``delay`` seconds apart on each host.
+
+    ``waiting`` has url and the columns of ``order``; the host is the URL's, in lower case ('' if it has none). The places on a host are a running count, made
+    in two levels: URLs are dealt out by ranges of (host, order), each range counts its own URLs per host, and the
+    counts of the ranges before are added. So a host with most of all URLs is spread over many ranges, and no
+    task holds more than one of them. Repeated rows take a place each; NULLs of ``order`` come first.
+    """
+    parts = int(waiting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = waiting.select(F.coalesce(F.lower(U.netloc("url")), F.lit("")).alias("host"), "url", *[c for c in order if c != "url"])
+    # Stored, so that every reader sees the same ranges.
+    dealt = cut_lineage(rows.repartitionByRange(parts, "host", *order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("host", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("host", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part", "host").orderBy(*order)))
+    placed = own.join(offsets, ["host", "part"]).withColumn("place", F.col("before") + F.col("own") - 1)
+    micros = F.unix_micros(F.lit(start).cast("timestamp")) + F.round(F.col("place") * F.lit(delay * 1_000_000)).cast("bigint")
+    return placed.select("url", "host", "place", F.timestamp_micros(micros).alias("fetch_at"))
+
+
 def new_links_per_page(discovered: DataFrame) -> DataFrame:
     """(parent_url, links_extracted): URLs each page was the first to bring in."""
     found = discovered.where("parent_url IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webtables.operators import frontier as FR
 from webtables.operators import lookups as L
 from webtables.operators import tracker as T
+from webtables.plans import duck as D
 from webtables.plans import inputs as I
 from webtables.session import cut_lineage
 
@@ -97,6 +98,14 @@ def frontier_update(spark, sf):
     return known
 
 
+def fetch_schedule(spark, sf):
+    """Everything that waits in the queue, most of it on one host, and the pages of all other hosts, half a second apart."""
+    queue = I.discovered(spark, sf).where("status = 'pending'").select("url", "depth", "discovered_at")
+    pages = I.pages(spark, sf).select("url", F.lit(0).alias("depth"), F.lit(None).cast("timestamp").alias("discovered_at"))
+    out = FR.fetch_schedule(queue.unionByName(pages), I.AS_OF, 0.5)
+    return out.withColumn("fetch_at", F.date_format("fetch_at", I.TS_FORMAT))
+
+
 def frontier_pending(spark, sf):
     return FR.pending(I.discovered(spark, sf), 500)
 
@@ -203,7 +212,7 @@ def reset_progress(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        join_unseen, join_unfetched_resources, join_path_lookup, join_resource_path, fk_audit, frontier_bfs, frontier_update, frontier_space,
+        join_unseen, join_unfetched_resources, join_path_lookup, join_resource_path, fk_audit, frontier_bfs, fetch_schedule, frontier_update, frontier_space,
         frontier_pending, frontier_resume, frontier_new_links, upsert_ignore, upsert_replace, upsert_attachments,
         status_claim, status_complete, status_fail, latest_version, retention, reset_progress,
     )
@@ -232,6 +241,9 @@ ORACLE = {
       UNION ALL SELECT DISTINCT 'use', url FROM uses WHERE url NOT IN (SELECT url FROM stored)""",
     "frontier_bfs": _BFS,
     "frontier_update": _BFS,
+    "fetch_schedule": f"""WITH {I.DISCOVERED}, w AS (SELECT url, depth, discovered_at FROM discovered WHERE status = 'pending' UNION ALL SELECT url, 0, NULL FROM pages),
+      r AS (SELECT url, lower({D.netloc('url')}) AS host, row_number() OVER (PARTITION BY lower({D.netloc('url')}) ORDER BY depth NULLS FIRST, discovered_at NULLS FIRST, url NULLS FIRST) - 1 AS place FROM w)
+      SELECT url, host, place, strftime({I.AS_OF_SQL} + to_microseconds(place * 500000), '{I.TS_FORMAT_SQL}') AS fetch_at FROM r""",
     "frontier_space": f"""WITH f AS (SELECT 'https://wiki.example.com/wiki/spaces/' || upper(source) || '/pages/' || doc_id AS url, 1 AS depth FROM documents
         UNION ALL SELECT {_WIKI} || upper(source) || '/pages/' || doc_id, 0 FROM documents)
       SELECT url, min(depth) AS depth FROM f GROUP BY url""",
