@@ -193,7 +193,7 @@ def _sorted_out(spark, sf):
     """{kind: (good rows, bad rows)} of spoilt API answers."""
     return {
         "page": W.sort_out_answers(_damaged(wiki_raw(spark, sf), _NUMBER), "page", 0.5),
-        "listing": W.sort_out_answers(_damaged(_listings(spark, sf), "page"), "listing", 0.9),
+        "listing": W.sort_out_answers(_damaged(_listings(spark, sf), "page + 5"), "listing", 0.9),
         "attachments": W.sort_out_answers(_damaged(attachments_raw(spark, sf), "CAST(page_id AS BIGINT)"), "attachments", 0.9),
     }
 
@@ -204,7 +204,7 @@ def src_wiki_json(spark, sf):
 
 
 def src_wiki_listing(spark, sf):
-    good, _ = W.sort_out_answers(_damaged(_listings(spark, sf), "page"), "listing", 0.9)
+    good, _ = W.sort_out_answers(_damaged(_listings(spark, sf), "page + 5"), "listing", 0.9)
     return W.space_page_urls(good, I.WIKI_BASE)
 
 
@@ -326,7 +326,7 @@ def _imported(spark, sf):
     files = first_done.join(queue, "user", "full").join(res, "user", "full")
     path = _room(spark)
     texts = files.select("user", F.to_json(F.struct(*[c for c in files.columns if c != "user"])).alias("value"))
-    _damaged(texts, "user", "value").write.partitionBy("user").text(path)
+    _damaged(texts, "user + 5", "value").write.partitionBy("user").text(path)
     return P.import_progress(spark, path, most_bad=0.9)
 
 
@@ -437,8 +437,8 @@ files AS (SELECT stem || 'html' AS path, html AS content FROM head UNION ALL SEL
 _USER = "floor(CAST(regexp_extract(clean_url, '/u(\\d+)/', 1) AS BIGINT) / 25)::BIGINT"
 _GOOD = "(100000 + doc_id) % 13 > 4"
 _PROBLEM = "CASE WHEN n % 13 IN (1, 2) THEN 'missing' WHEN n % 13 = 3 THEN 'incomplete' ELSE 'unreadable' END"
-_ATTENTION = f"users AS (SELECT DISTINCT {_USER} AS n FROM log WHERE action IN ('complete', 'discover', 'fail'))"
-_SOUND = f"{_USER} % 13 > 4"
+_ATTENTION = f"users AS (SELECT DISTINCT {_USER} AS u, {_USER} + 5 AS n FROM log WHERE action IN ('complete', 'discover', 'fail'))"
+_SOUND = f"({_USER} + 5) % 13 > 4"
 _DONE = f"done AS (SELECT DISTINCT clean_url, clean_url || '?v=1#x' AS raw FROM log WHERE action = 'complete' AND {_SOUND})"
 _MAPPED = "CASE WHEN raw NOT LIKE '%7?v=1#x' THEN 'out/' || md5(raw) ELSE '' END"
 
@@ -450,7 +450,7 @@ ORACLE = {
       CAST(NULL AS VARCHAR) AS updated_by_email, CAST(NULL AS VARCHAR) AS updated_by_account, coalesce(f_webui, '') AS web_link, f_rest AS rest_link, '' AS tiny_link FROM wiki
       WHERE {_GOOD}""",
     "src_wiki_listing": f"""WITH {_WIKI} SELECT upper(source) AS space_key, CASE WHEN f_webui LIKE 'http%' THEN f_webui WHEN f_webui LIKE '/wiki%' THEN '{I.WIKI_BASE}' || f_webui
-      ELSE '{I.WIKI_BASE}/wiki' || f_webui END AS url FROM wiki WHERE f_webui IS NOT NULL AND (doc_id // 100) % 13 > 4""",
+      ELSE '{I.WIKI_BASE}/wiki' || f_webui END AS url FROM wiki WHERE f_webui IS NOT NULL AND (doc_id // 100 + 5) % 13 > 4""",
     "src_attachments_json": f"WITH {_ATTS} SELECT page_url, page_id, attachment_id, title, media_type, file_size_api, version, created_when, created_by, comment, download_url FROM atts WHERE {_GOOD}",
     "listing_audit": """WITH r AS (SELECT upper(source) AS space_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents),
       e AS (SELECT space_key, n, place, place // 10 AS page FROM r UNION ALL SELECT space_key, n, place, place // 10 + 1 FROM r WHERE place % 10 >= 8 AND (place // 10 + 1) % 7 = 5),
@@ -459,12 +459,12 @@ ORACLE = {
       SELECT space_key, CASE WHEN a > m THEN 'gap' ELSE 'overlap' END AS problem, least(a, m)::BIGINT AS first, (CASE WHEN a > m THEN a ELSE least(m, b) END - 1)::BIGINT AS last FROM w WHERE a <> m
       UNION ALL SELECT space_key, 'early end', max(b)::BIGINT, (max(total) - 1)::BIGINT FROM p GROUP BY space_key HAVING max(b) < max(total)""",
     "src_bad_rows": f"""WITH {_WIKI}, {I.CRAWL_LOG}, {_ATTENTION}, p AS (SELECT url, 100000 + doc_id AS n, {_PAGE_JSON} AS j FROM wiki),
-      l AS (SELECT DISTINCT upper(source) || '/' || (doc_id // 100) AS name, doc_id // 100 AS n FROM documents)
+      l AS (SELECT DISTINCT upper(source) || '/' || (doc_id // 100) AS name, doc_id // 100 + 5 AS n FROM documents)
       SELECT 'page' AS source, url AS name, {_PROBLEM} AS problem, md5(CASE n % 13 WHEN 0 THEN substring(j, 1, length(j) - 7) WHEN 1 THEN ' ' WHEN 3 THEN '{{}}' WHEN 4 THEN '[' || j || ']' END) AS md5
         FROM p WHERE n % 13 < 5
       UNION ALL SELECT 'listing', name, {_PROBLEM}, NULL FROM l WHERE n % 13 < 5
       UNION ALL SELECT 'attachments', url, {_PROBLEM}, NULL FROM (SELECT url, 100000 + doc_id AS n FROM wiki WHERE doc_id % 4 > 0) WHERE n % 13 < 5
-      UNION ALL SELECT 'progress', CAST(n AS VARCHAR), CASE WHEN n % 13 IN (1, 2) THEN 'missing' ELSE 'unreadable' END, NULL FROM users WHERE n % 13 < 5 AND n % 13 <> 3""",
+      UNION ALL SELECT 'progress', CAST(u AS VARCHAR), CASE WHEN n % 13 IN (1, 2) THEN 'missing' ELSE 'unreadable' END, NULL FROM users WHERE n % 13 < 5 AND n % 13 <> 3""",
     "attachment_path": f"WITH {_ATTS} SELECT attachment_id, title, local_path FROM atts",
     "html_links_wiki": f"""WITH {_WIKI}, l AS (SELECT url, '{I.WIKI_BASE}' || '/spaces/' || upper(source) || '/pages/' || (100000 + (doc_id * 7 + 1) % 1000) || '/T?a=1&b=2' AS link FROM wiki
       UNION SELECT url, 'https://wiki.example.com/wiki/display/' || source FROM wiki
