@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webtables.operators import tracker as T
+from webtables.plans import page_jobs, stream_jobs
 from webtables.streaming import jobs as J
 from webtables.streaming import queue as Q
 from webtables.streaming.folds import Store, read_folds, to_folds
@@ -213,3 +214,17 @@ def test_queue_does_not_depend_on_order(spark, tmp_path, order):
     assert got == sorted(map(tuple, want.collect()))
     assert {s for _, s, _ in got} >= {"completed", "failed", "downloading"}
     assert dict((u, s) for u, s, _ in got)["open"] == "downloading"
+
+
+# --- tables of several files ----------------------------------------------------------------
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    sf = f"{tmp_path}/sf"
+    schema = "page_id bigint, url string, html string"
+    page = [(i, f"https://example.com/d/{i}", f'<a href="/x/{i}">a</a><a href="/x/{i + 1}#t">b</a><a href="/login">c</a>') for i in range(20)]
+    spark.createDataFrame(page, schema).repartition(3).write.parquet(f"{sf}/pages.parquet")
+    got, want = stream_jobs.stream_links(spark, sf), page_jobs.html_links(spark, sf)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 40

@@ -26,9 +26,11 @@ def _room(spark) -> str:
 
 
 def _stream(spark, sf, name):
+    """The table as a stream of its files, whether it is one file or a folder of them."""
     batch = I.table(spark, sf, name)
-    stream = prepare(spark).readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet")
-    return stream.option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(sf)
+    # A plain path would have to be a folder; a pattern is looked up, and may find a file as well.
+    stream = prepare(spark).readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    return stream.parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(stream, room, mode="append"):
