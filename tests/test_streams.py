@@ -216,6 +216,29 @@ def test_queue_does_not_depend_on_order(spark, tmp_path, order):
     assert dict((u, s) for u, s, _ in got)["open"] == "downloading"
 
 
+def test_queue_state_is_kept_by_a_join(spark, tmp_path):
+    """Many URLs: no Python call per URL. Repeated claims, ends in later files, URLs that are NULL, and a claim that comes too late."""
+    schema = "clean_url string, action string, ts timestamp"
+    at = lambda *seconds: T0 + timedelta(seconds=sum(seconds))
+    first = [(f"u{u}", "claim", at(u % 50)) for u in range(400)] + [("u1", "claim", at(1)), (None, "claim", at(0)), (None, "claim", at(500))]
+    second = [(f"u{u}", "fail" if u % 3 else "complete", at(u % 50, 60 + (u % 2))) for u in range(0, 400, 4)] + [(None, "fail", at(60)), ("u4", "fail", at(20))]
+    third = [("clock", "complete", at(7200)), ("u399", "claim", at(7190)), ("u399", "claim", at(7190))]
+    for k, part in enumerate((first, second, third)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    path = f"{tmp_path}/f"
+    query = Q.stream_queue(stream, path, f"{tmp_path}/ck", 60, 1, "1 hour", every=2)
+    query.awaitTermination()
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"symmetricHashJoin"}
+    want = Q.queue_status(spark.createDataFrame(first + second + third, schema), F.lit(at(7200) - timedelta(hours=1)), 60, 1)
+    want = {r.clean_url: (r.status, r.retry_count) for r in want.collect()}
+    assert {r.clean_url: (r.status, r.retry_count) for r in Q.current_queue(spark, path, 2).collect()} == want
+    assert want["u1"] == ("failed", 2) and want["u399"] == ("downloading", 1) and want[None] == ("failed", 2)
+    spark.createDataFrame([("late", "claim", at(0)), ("late", "fail", at(5))], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part3")
+    Q.stream_queue(stream, path, f"{tmp_path}/ck", 60, 1, "1 hour", every=2).awaitTermination()
+    assert {r.clean_url: (r.status, r.retry_count) for r in Q.current_queue(spark, path, 2).collect()} == want | {"late": ("pending", 1)}
+
+
 # --- tables of several files ----------------------------------------------------------------
 
 

@@ -8,117 +8,101 @@ failed        failures and time-outs are more than max_retries
 downloading   a claim is open: nothing ended it and its time is not over
 pending       else
 
-``stream_queue`` keeps, per URL, its open claims, the ends that may still meet an earlier claim, and two counters, with a timer per
-claim and end in event time. A timer fires when the watermark has passed it, and by then everything that could belong to the
-claim has arrived, so the result does not depend on the order of files or of rows. State of a claim or an end
-goes when its time is over; what stays per URL is one row of counters. ``queue_status`` says the same about a whole log.
+``stream_queue`` joins claims with the ends of their URL in event time. A claim comes out of the join with every end in its time, or
+alone once the watermark has passed its time, and by then everything that could belong to it has arrived, so
+the result does not depend on the order of files or of rows. State of a claim or an end goes when its time is over. Each batch stores
+one row of counters per URL and one per claim that is open; where folds are merged, claims and what closed them cancel out.
+Of what arrives later than ``delay``, completions and failures are still counted but end no claim, and claims are left out.
+``queue_status`` says the same about a whole log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from webtables.operators import tracker as T
-from webtables.session import importable
-from webtables.streaming.folds import EVERY, read_folds, to_folds
+from webtables.streaming.folds import EVERY, Store, to_folds
 
 TIMEOUT = 60
 MAX_RETRIES = 3
-STATUS = "clean_url string, status string, retry_count int, version bigint"
+# Watermarks are whole milliseconds, times are microseconds.
+TICK = 1000
 
 
-def _status(completed: Column, retries: Column, open_claims: Column, max_retries: int) -> Column:
+def _status(completed: Column, retries: Column, open_claims: Column, max_retries: int | Column) -> Column:
     return F.when(completed, "completed").when(retries > max_retries, "failed").when(open_claims, "downloading").otherwise("pending")
 
 
-class _Url(StatefulProcessor):
-    """The state of one URL; times are microseconds."""
-
-    def __init__(self, timeout: float, max_retries: int):
-        self.timeout, self.max_retries = int(timeout * 1_000_000), max_retries
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getValueState("sums", "failures bigint, completed boolean, version bigint")
-        self.claims = handle.getListState("claims", "at bigint")
-        self.ends = handle.getListState("ends", "at bigint")
-
-    def _read(self) -> tuple[int, bool, int, list[int], list[int]]:
-        failures, completed, version = self.sums.get() if self.sums.exists() else (0, False, 0)
-        return failures, completed, version, [c[0] for c in self.claims.get()], [e[0] for e in self.ends.get()]
-
-    def _ended(self, claim: int, ends: list[int]) -> bool:
-        return any(claim <= end <= claim + self.timeout for end in ends)
-
-    def _row(self, key, failures: int, completed: bool, version: int, claims: list[int], ends: list[int]):
-        import pandas as pd
-
-        waits = any(not self._ended(c, ends) for c in claims)
-        status = "completed" if completed else "failed" if failures > self.max_retries else "downloading" if waits else "pending"
-        return pd.DataFrame({"clean_url": [key[0]], "status": [status], "retry_count": pd.array([failures], "int32"), "version": [version]})
-
-    def _keep(self, state, values: list[int]) -> None:
-        if values:
-            state.put([(v,) for v in values])
-        else:
-            state.clear()
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        failures, completed, version, claims, ends = self._read()
-        for batch in rows:
-            for action, at in zip(batch["action"], batch["at"]):
-                at = int(at)
-                (claims if action == "claim" else ends).append(at)
-                failures += action == "fail"
-                completed |= action == "complete"
-                # The first whole millisecond after its time.
-                self.handle.registerTimer((at + self.timeout) // 1000 + 1)
-        self._keep(self.claims, claims)
-        self._keep(self.ends, ends)
-        self.sums.update((failures, bool(completed), version + 1))
-        yield self._row(key, failures, completed, version + 1, claims, ends)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        failures, completed, version, claims, ends = self._read()
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = [c for c in claims if c + self.timeout < now]
-        late = sum(not self._ended(c, ends) for c in due)
-        # A claim before a kept end may still be waiting for its own timer, which is not after the end's.
-        claims, ends = [c for c in claims if c + self.timeout >= now], [e for e in ends if e + self.timeout >= now]
-        self._keep(self.claims, claims)
-        self._keep(self.ends, ends)
-        if not late:
-            yield pd.DataFrame({"clean_url": pd.Series(dtype=str), "status": pd.Series(dtype=str), "retry_count": pd.Series(dtype="int32"), "version": pd.Series(dtype="int64")})
-            return
-        self.sums.update((failures + late, completed, version + 1))
-        yield self._row(key, failures + late, completed, version + 1, claims, ends)
-
-
-def _last(rows: DataFrame) -> DataFrame:
-    return T.last_per_key(rows, ["clean_url"], ["version"])
+def _timed(seen: DataFrame, names: tuple[str, str], is_claim: bool, delay: str) -> DataFrame:
+    """(URL, time) of the claims or of the ends; both carry the watermark of all of them."""
+    url, ts = names
+    rows = seen.select(F.col("clean_url").alias(url), "action", F.col("ts").alias(ts)).withWatermark(ts, delay)
+    # The condition names the time, so that it is not moved below the watermark.
+    wanted = F.when((F.col("action") == "claim") == F.lit(is_claim), F.col(ts)).isNotNull()
+    return rows.where(wanted).select(url, ts)
+
+
+def _closed(seen: DataFrame, timeout: int, delay: str) -> DataFrame:
+    """(clean_url, at, late): every claim with each end in its time, or once with ``late`` when its time is over."""
+    claims, ends = _timed(seen, ("claim_url", "claimed_at"), True, delay), _timed(seen, ("end_url", "ended_at"), False, delay)
+    in_time = F.expr(f"claim_url <=> end_url AND ended_at >= claimed_at AND ended_at <= claimed_at + INTERVAL {timeout} MICROSECONDS")
+    joined = claims.join(ends, in_time, "leftOuter")
+    return joined.select(F.col("claim_url").alias("clean_url"), F.unix_micros("claimed_at").alias("at"), F.col("ended_at").isNull().alias("late"))
+
+
+def _counts(rows: DataFrame, at: Column) -> DataFrame:
+    return rows.groupBy("clean_url", at.alias("at")).agg(
+        F.sum("claims").alias("claims"), F.max("closed").alias("closed"), F.sum("failures").alias("failures"), F.max("completed").alias("completed"),
+        F.max("over_at").alias("over_at"), F.max("seen_at").alias("seen_at"), F.max("max_retries").alias("max_retries"),
+    )
+
+
+def _merge(rows: DataFrame) -> DataFrame:
+    """One row per URL (``at`` is NULL) and one per claim that is open, or was closed by a later batch than its own."""
+    done = (F.col("claims") > 0) & F.col("closed")
+    merged = _counts(rows, F.col("at"))
+    merged = merged.withColumn("at", F.when(~done, F.col("at")))
+    # What went into the counters of the URL is no claim any more.
+    merged = merged.withColumn("claims", F.when(F.col("at").isNull(), 0).otherwise(F.col("claims")).cast("bigint"))
+    merged = merged.withColumn("closed", F.col("at").isNotNull() & F.col("closed"))
+    return _counts(merged, F.col("at"))
 
 
 def stream_queue(
     log: DataFrame, path: str, checkpoint: str, timeout: float = TIMEOUT, max_retries: int = MAX_RETRIES, delay: str = "10 minutes", every: int = EVERY
 ) -> StreamingQuery:
     """Follow a log (clean_url, action, ts) that may be out of order by ``delay``; changes are stored as folds below ``path``."""
-    importable(log.sparkSession)
-    seen = log.where("action IN ('claim', 'complete', 'fail')").withWatermark("ts", delay)
-    seen = seen.select("clean_url", "action", "ts", F.unix_micros("ts").alias("at"))
-    rows = seen.groupBy("clean_url").transformWithStateInPandas(_Url(timeout, max_retries), STATUS, "Update", "EventTime")
-    return to_folds(rows, path, checkpoint, lambda batch, _: _last(batch), _last, "update", every)
+    length = int(timeout * 1_000_000)
+    seen = log.where("action IN ('claim', 'complete', 'fail')").select("clean_url", "action", "ts")
+    is_claim, at = (F.col("action") == "claim") & F.col("ts").isNotNull(), F.unix_micros("ts")
+    events = seen.select(
+        "clean_url", F.when(is_claim, at).alias("at"), is_claim.cast("bigint").alias("claims"), F.lit(False).alias("closed"),
+        (F.col("action") == "fail").cast("bigint").alias("failures"), (F.col("action") == "complete").alias("completed"),
+        F.when(is_claim, F.unix_micros(F.expr(f"ts + INTERVAL {delay}")) + length + TICK).alias("over_at"), at.alias("seen_at"),
+    )
+    closed = _closed(seen, length, delay).select(
+        "clean_url", "at", F.lit(0).cast("bigint").alias("claims"), F.lit(True).alias("closed"), F.col("late").cast("bigint").alias("failures"),
+        F.lit(False).alias("completed"), F.lit(None).cast("bigint").alias("over_at"), F.lit(None).cast("bigint").alias("seen_at"),
+    )
+    rows = events.unionByName(closed).withColumn("max_retries", F.lit(max_retries))
+    return to_folds(rows, path, checkpoint, lambda batch, _: _merge(batch), _merge, every=every)
 
 
 def current_queue(spark: SparkSession, path: str, every: int = EVERY) -> DataFrame | None:
     """(clean_url, status, retry_count) as of the last batch; None before the first one."""
-    rows = read_folds(spark, path, _last, every)
-    return rows.drop("version") if rows is not None else None
+    store = Store(spark, path, every)
+    folds = store.cover()
+    if not folds:
+        return None
+    stored = store.read(folds)
+    last = F.lit(stored.agg(F.max("seen_at")).first()[0])
+    # A claim that is over and that nothing closed arrived too late.
+    waits = (F.col("claims") > 0) & ~F.col("closed") & F.coalesce(F.col("over_at") >= last, F.lit(False))
+    sums = _counts(stored, F.col("at")).withColumn("waits", waits).groupBy("clean_url").agg(
+        F.sum("failures").cast("int").alias("retry_count"), F.max("completed").alias("completed"), F.max("waits").alias("waits"), F.max("max_retries").alias("most")
+    )
+    return sums.select("clean_url", _status(F.col("completed"), F.col("retry_count"), F.col("waits"), F.col("most")).alias("status"), "retry_count")
 
 
 def queue_status(log: DataFrame, until: Column, timeout: float = TIMEOUT, max_retries: int = MAX_RETRIES) -> DataFrame:
