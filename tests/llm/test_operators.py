@@ -483,3 +483,22 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert line_dedup.without_repeated_lines(df).count() == len(rows)
     assert fingerprints.fingerprints(df).count() == len(rows)
     assert packing.pack(df, tokenizer_path()).count() == len(rows)
+
+
+def test_scored_text_goes_to_the_task_once(spark):
+    """Twice the text in every Arrow batch was what scoring held most of; a text that is no string is still read as one."""
+    import numpy as np
+
+    from webtables.llm.toxicity import fit, score
+
+    docs = spark.createDataFrame([(i, f"bad worse w{i}" if i % 2 else f"good nice w{i}", i) for i in range(60)], "doc_id long, text string, n int")
+    model = fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    out = score(docs, model, name="s")
+    assert "_scored" not in out._jdf.queryExecution().analyzed().toString() and out.columns == ["doc_id", "text", "n", "s"]
+    got = {r.doc_id: r.s for r in out.collect()}
+    as_bytes = score(docs.withColumn("text", docs.text.cast("binary")), model, name="s")
+    assert as_bytes.dtypes == [("doc_id", "bigint"), ("text", "binary"), ("n", "int"), ("s", "double")]
+    assert {r.doc_id: r.s for r in as_bytes.collect()} == got
+    over = score(docs.withColumn("n", docs.text), model, text_col="n", name="n")
+    assert over.dtypes == [("doc_id", "bigint"), ("text", "string"), ("n", "double")] and {r.doc_id: r.n for r in over.collect()} == got
+    assert np.mean([got[i] for i in range(1, 60, 2)]) > np.mean([got[i] for i in range(0, 60, 2)])

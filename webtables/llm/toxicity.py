@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from webtables.llm import arrays as A
 from webtables.llm.exchange import BLOBS, arrow_schema, bucket_count, by_bucket, stored
@@ -36,7 +37,7 @@ DISCOUNT = 0.75
 #: Stretches over which the evidence is normalised, in words.
 STRETCHES = (1, 3, 8, 32)
 #: Words whose evidence a task keeps between slices.
-MEMORY = 500_000
+MEMORY = 100_000
 _BYTE = np.uint64(8)
 
 
@@ -304,13 +305,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != name]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(name, F.lit(0.0))
-    out = out.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_scored"), F.col(name))
+    own = [F.col(f"`{c}`") for c in kept]
+    text = F.col(f"`{text_col}`")
+    # A text that is kept as it is goes to the task once.
+    as_it_is = text_col in kept and docs.select(text).schema[0].dataType == StringType()
+    read = text_col if as_it_is else "_scored"
+    rows = docs.select(*own) if as_it_is else docs.select(*own, text.cast("string").alias("_scored"))
 
     def task(batches: Iterator) -> Iterator:
         words: dict = {}
-        for part in A.slices(batches, "_scored"):
-            values = sent.value.scores(sent.value.evidence(part.column("_scored"), words))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(values)], names=[*part.schema.names[:-2], name])
+        for part in A.slices(batches, read):
+            values = sent.value.scores(sent.value.evidence(part.column(read), words))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(values)], names=[*part.schema.names[: len(kept)], name])
 
-    return out.mapInArrow(task, out.drop("_scored").schema)
+    return rows.mapInArrow(task, docs.select(*own).withColumn(name, F.lit(0.0)).schema)
