@@ -300,6 +300,31 @@ def test_wand_misses_nothing(rng):
     assert got == want and want
 
 
+def test_texts_full_of_benchmark_words_need_bounded_memory(rng, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from webtables.llm import arrays as A
+
+    vocabulary = [f"v{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=40))) for k in range(400)]
+    index = decontamination.Index.of(items)
+    texts = [" ".join(rng.choices(vocabulary, k=60_000)) + " " + t for _, t in items[:3]]
+    h, first = decontamination._tokens(*A.text_bytes(pa.array(texts)))
+    tracemalloc.start()
+    found = index.retrieve(h, first)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20 and set(found[2].tolist()) >= {0, 1, 2}
+    # The length of a step changes nothing.
+    few = np.array([0, 150, 700, 700, 1500])
+    want = index.retrieve(h[-1500:], few)
+    monkeypatch.setattr(decontamination, "STEP", 64)
+    assert len(want[0]) and all(np.array_equal(x, y) for x, y in zip(index.retrieve(h[-1500:], few), want))
+
+
 def test_packing_round_trip(spark, docs, corpus, rng):
     from tokenizers import Tokenizer
 
@@ -435,6 +460,18 @@ def test_toxicity_on_held_out_texts(spark, rng):
     assert all(0 <= r.toxicity <= 1 for r in toxicity.score(df.limit(5), none).collect())
 
 
+def test_fitting_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Each Python step of its own in a plan is one more worker per core, and idle workers keep their memory."""
+    from webtables.llm import exchange
+
+    plans = []
+    monkeypatch.setattr(toxicity, "stored", lambda df: plans.append(df) or exchange.stored(df))
+    monkeypatch.setattr(toxicity, "by_bucket", lambda blobs, *a: plans.append(blobs) or exchange.by_bucket(blobs, *a))
+    df = importable(spark).createDataFrame([(k, "bad words" if k % 2 else "good words", k % 2) for k in range(40)], "doc_id bigint, text string, toxic int")
+    toxicity.fit(df, df)
+    assert [p._jdf.queryExecution().analyzed().toString().count("MapInArrow") for p in plans] == [1, 1]
+
+
 def test_toxicity_fitted_on_fewer_rows_keeps_the_base_rate(spark, rng):
     common = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su") for b in ("na", "ki", "po", "de", "ver", "en")]
     rows = []

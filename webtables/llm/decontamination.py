@@ -7,7 +7,8 @@ tokens as long as an item lies whole in one of them. Retrieval is block-max WAND
 of a slice at once: the terms whose greatest impacts together stay below the threshold are not
 essential; only blocks of items on the lists of essential terms are looked at, then bounded by
 the greatest impacts within the block, and only what remains is scored item by item. Nothing above
-the threshold is missed. A retrieved item counts if both its question (all but its last sentence)
+the threshold is missed. Passages are searched in runs with at most STEP entries on their lists (one
+passage at least), so a slice full of benchmark words needs no more memory than another. A retrieved item counts if both its question (all but its last sentence)
 and its answer (the last sentence) overlap with the passage by half of their 5-grams.
 
 The index is what travels to the tasks; a larger set of items is searched in shards of at most
@@ -37,6 +38,8 @@ OVERLAP = 0.5
 GRAM = 5
 BLOCK = 8
 SHARD_ITEMS = 50_000
+#: Entries of posting lists that are looked at in one step.
+STEP = 1 << 18
 _PARTS = re.compile(r"(?s)^(.*[.!?])\s+(\S.*)$")
 
 #: Bytes between tokens.
@@ -64,6 +67,18 @@ def parts_of(text: str) -> tuple[str, str]:
     return (found[1], found[2]) if found else (text, text)
 
 
+def _steps(many: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole groups (``group`` ascends) whose ``many`` come to at most STEP, one group at least."""
+    last = np.append(np.flatnonzero(np.diff(group)) + 1, len(group)) if len(group) else group
+    total = np.cumsum(many)
+    at = 0
+    while at < len(group):
+        most = int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right"))
+        k = max(int(np.searchsorted(last, most, "right")) - 1, int(np.searchsorted(last, at, "right")))
+        yield at, int(last[k])
+        at = int(last[k])
+
+
 @dataclass
 class Index:
     """Impacts by term and item, greatest impacts by term and block, and the items' n-grams."""
@@ -112,9 +127,8 @@ class Index:
         bounds = np.arange(len(terms) + 1)
         return cls([i for i, _ in items], terms, np.searchsorted(term, bounds), row, impact, highest, np.searchsorted(pair // count, bounds), pair % count, block_impact, grams, int(length.max(initial=1)))
 
-    def _weight(self, term: np.ndarray, value: np.ndarray, first: np.ndarray, values: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-        """Weight of (term, value), 0 where the term's list lacks the value."""
-        keys = np.repeat(np.arange(len(first) - 1), np.diff(first)) * size + values
+    def _weight(self, term: np.ndarray, value: np.ndarray, keys: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """Weight of (term, value), 0 where the term's list lacks the value; ``keys`` are the lists' entries term * size + value."""
         want = term * size + value
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return np.where(keys[at] == want, weights[at], 0.0)
@@ -154,30 +168,38 @@ class Index:
         # Blocks on the lists of essential terms, bounded by their greatest impacts there.
         p, t = passage[essential], term[essential]
         many = (self.block_first[1:] - self.block_first[:-1])[t]
-        slot = np.repeat(self.block_first[t], many) + A.ranges(many)
         blocks = len(self.items) // BLOCK + 1
-        pair, back = np.unique(np.repeat(p, many) * blocks + self.block[slot], return_inverse=True)
-        bound = np.bincount(back, self.block_impact[slot], minlength=len(pair)) + rest[pair // blocks]
-        pair = pair[bound >= THRESHOLD - 1e-9]
-        pair, bound = self._full(pair, blocks, passage, term, self.block_first, self.block, self.block_impact)
-        pair = pair[bound >= THRESHOLD - 1e-9]
-        # Items of the blocks that are left.
-        item = (pair % blocks * BLOCK)[:, None] + np.arange(BLOCK)
-        single = ((pair // blocks)[:, None] * (blocks * BLOCK) + item)[item < len(self.items)].ravel()
-        single, score = self._full(single, blocks * BLOCK, passage, term, self.first, self.item, self.impact)
-        hit = score >= THRESHOLD - 1e-9
-        p, item = single[hit] // (blocks * BLOCK), single[hit] % (blocks * BLOCK)
+        block_keys, item_keys = (np.repeat(np.arange(len(f) - 1), np.diff(f)) * n + v for f, n, v in ((self.block_first, blocks, self.block), (self.first, blocks * BLOCK, self.item)))
+        found = [none[2:]]
+        for at, end in _steps(many, p):
+            slot = np.repeat(self.block_first[t[at:end]], many[at:end]) + A.ranges(many[at:end])
+            pair, back = np.unique(np.repeat(p[at:end], many[at:end]) * blocks + self.block[slot], return_inverse=True)
+            bound = np.bincount(back, self.block_impact[slot], minlength=len(pair)) + rest[pair // blocks]
+            pair = pair[bound >= THRESHOLD - 1e-9]
+            bound = self._full(pair, blocks, passage, term, block_keys, self.block_impact)
+            pair = pair[bound >= THRESHOLD - 1e-9]
+            # Items of the blocks that are left.
+            item = (pair % blocks * BLOCK)[:, None] + np.arange(BLOCK)
+            single = ((pair // blocks)[:, None] * (blocks * BLOCK) + item)[item < len(self.items)].ravel()
+            score = self._full(single, blocks * BLOCK, passage, term, item_keys, self.impact)
+            hit = score >= THRESHOLD - 1e-9
+            found.append((single[hit], score[hit]))
+        single, score = (np.concatenate(x) for x in zip(*found))
+        p, item = single // (blocks * BLOCK), single % (blocks * BLOCK)
         row = np.searchsorted(base, p, "right") - 1
-        return row, (p - base[row]) * self.stride, item, score[hit]
+        return row, (p - base[row]) * self.stride, item, score
 
-    def _full(self, pair, size, passage, term, first, values, weights):
+    def _full(self, pair, size, passage, term, keys, weights):
         """Sum of weights over all terms of the passage, for pairs passage * size + value."""
         lo, hi = np.searchsorted(passage, pair // size), np.searchsorted(passage, pair // size, "right")
         count = hi - lo
-        slot = np.repeat(lo, count) + A.ranges(count)
-        owner = np.repeat(np.arange(len(pair)), count)
-        weight = self._weight(term[slot], (pair % size)[owner], first, values, weights, size)
-        return pair, np.bincount(owner, weight, minlength=len(pair))
+        out = np.zeros(len(pair))
+        for at, end in _steps(count, np.arange(len(pair))):
+            slot = np.repeat(lo[at:end], count[at:end]) + A.ranges(count[at:end])
+            owner = np.repeat(np.arange(end - at), count[at:end])
+            weight = self._weight(term[slot], (pair[at:end] % size)[owner], keys, weights, size)
+            out[at:end] = np.bincount(owner, weight, minlength=end - at)
+        return out
 
     def matches(self, column) -> list[tuple]:
         """(row, item id, score, question hits, question grams, answer hits, answer grams), a verified passage each."""

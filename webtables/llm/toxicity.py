@@ -19,7 +19,7 @@ without words, have no evidence and get the score of the curve's base rate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ DISCOUNT = 0.75
 STRETCHES = (1, 3, 8, 32)
 #: Words whose evidence a task keeps between slices.
 MEMORY = 100_000
+#: Bytes of text whose evidence is computed at once.
+SLICE = 1 << 20
 _BYTE = np.uint64(8)
 
 
@@ -64,12 +66,12 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.repeat(np.arange(len(length)), length)
 
 
-def gram_counts(labelled: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, counts by class): all strings of the rows (text, label), counted by Spark."""
+def gram_counts(docs: DataFrame, labelled: Callable[[Iterator], Iterator], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, counts by class): all strings of the rows (text, label) that ``labelled`` makes of batches of ``docs``, counted by Spark."""
     ddl = "blob binary"
 
     def ship(batches: Iterator) -> Iterator:
-        for part in A.slices(batches, "text"):
+        for part in A.slices(labelled(batches), "text"):
             coded, first = _words(part.column("text"))
             gram, word = _grams(coded.dictionary)
             row = np.repeat(np.arange(part.num_rows), np.diff(first))
@@ -93,7 +95,7 @@ def gram_counts(labelled: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([A.pack(values, *counts)], pa.binary())], schema=out)
 
     blobs, out = arrow_schema(BLOBS), arrow_schema(ddl)
-    parts = [A.unpack(r["blob"]) for r in by_bucket(labelled.select("text", "label").mapInArrow(ship, BLOBS), total, ddl).collect()]
+    parts = [A.unpack(r["blob"]) for r in by_bucket(docs.mapInArrow(ship, BLOBS), total, ddl).collect()]
     if not parts:
         return np.empty(0, np.uint64), np.zeros((2, 0), np.int64)
     values = np.concatenate([x[0] for x in parts])
@@ -253,11 +255,14 @@ def _packed(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], values[order]
 
 
-def _with_label(docs: DataFrame, sent, held: bool) -> DataFrame:
-    """(text, label) of the documents whose id is among the labelled ones that are held back, or among the others."""
+def _with_label(sent, held: bool) -> Callable[[Iterator], Iterator]:
+    """Makes (text, label) of the documents whose id is among the labelled ones that are held back, or among the others.
+
+    A step inside a task, for a task of its own would be a second Python worker per core.
+    """
     schema = arrow_schema("text string, label long")
 
-    def task(batches: Iterator) -> Iterator:
+    def labelled(batches: Iterator) -> Iterator:
         ids, values = sent.value
         for batch in batches:
             if not len(ids):
@@ -268,7 +273,7 @@ def _with_label(docs: DataFrame, sent, held: bool) -> DataFrame:
             hit = (ids[at] == doc) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (own == held)
             yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(values[at].astype(np.int64))], schema=schema).filter(pa.array(hit))
 
-    return docs.mapInArrow(task, "text string, label long")
+    return labelled
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int | None = None) -> Model:
@@ -284,18 +289,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if larger > most:
             one = one.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / larger * (1 << 30)))
     known = docs.sparkSession.sparkContext.broadcast(_packed(one))
-    model = Model.of(*gram_counts(_with_label(docs, known, False), bucket_count(docs.sparkSession, 1)))
+    model = Model.of(*gram_counts(docs, _with_label(known, False), bucket_count(docs.sparkSession, 1)))
+    held = _with_label(known, True)
     ddl = "label long, x array<double>"
     schema = arrow_schema(ddl)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator) -> Iterator:
         words: dict = {}
-        for part in A.slices(batches, "text"):
+        for part in A.slices(held(batches), "text", SLICE):
             x = sent.value.evidence(part.column("text"), words)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), schema.field(1).type)], schema=schema)
 
-    return model.fit_curve(stored(_with_label(docs, known, True).mapInArrow(task, ddl)))
+    return model.fit_curve(stored(docs.mapInArrow(task, ddl)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "toxicity") -> DataFrame:
@@ -314,7 +320,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def task(batches: Iterator) -> Iterator:
         words: dict = {}
-        for part in A.slices(batches, read):
+        for part in A.slices(batches, read, SLICE):
             values = sent.value.scores(sent.value.evidence(part.column(read), words))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(values)], names=[*part.schema.names[: len(kept)], name])
 
