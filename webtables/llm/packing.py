@@ -65,8 +65,8 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
     inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, s[plain], 1)
-    np.add.at(inside, e[plain], -1)
+    inside[s[plain]] += 1
+    inside[e[plain]] -= 1
     cut &= np.cumsum(inside, dtype=np.int8).astype(bool)
     cut[s] = True
     starts = np.flatnonzero(cut[:-1])
@@ -102,7 +102,7 @@ class Encoder:
             new = distinct
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for w, enc in zip(part, self.tokenizer.encode_batch([w[:-1].decode() for w in part], add_special_tokens=False)):
+            for w, enc in zip(part, self.tokenizer.encode_batch_fast([w[:-1].decode() for w in part], add_special_tokens=False)):
                 known[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
         parts = [known[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), "<u4")
