@@ -224,6 +224,24 @@ def test_line_dedup_of_a_text_of_more_lines_than_20_bits(spark):
     assert got == {(1, far + 40), (1, far + 41), (2, 0)}
 
 
+def test_line_dedup_sends_no_text_and_short_entries(spark, docs, rng, monkeypatch):
+    from webtables.llm import exchange
+
+    plans, blobs = [], []
+    monkeypatch.setattr(line_dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or exchange.stored(df))
+    monkeypatch.setattr(line_dedup, "by_bucket", lambda b, *a: blobs.append(sum(len(r.blob) for r in b.collect())) or exchange.by_bucket(b, *a))
+    # A filter that lets through nearly everything changes nothing.
+    want = {tuple(r) for r in line_dedup.repeated_lines(docs).collect()}
+    assert want and not any("Join" in p and "text#" in p for p in plans)
+    monkeypatch.setattr(line_dedup, "MARKS", 1 << 7)
+    assert {tuple(r) for r in line_dedup.repeated_lines(docs).collect()} == want
+    # Three words of each line of twelve are listed: six bytes of the word, eight of the line's set, the sketch, and places.
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(4000)]
+    df = importable(spark).createDataFrame([(k, "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(400)], "doc_id bigint, text string").coalesce(1)
+    line_dedup.repeated_lines(df).collect()
+    assert blobs[-1] < 45 * 3 * len(lines)
+
+
 def test_fingerprints(docs, corpus):
     ordered = sorted(corpus)
     out = {r.doc_id: r for r in fingerprints.fingerprints(docs).withColumn("near", fingerprints.likeness(F.col("sketch"), F.col("edited_sketch"))).collect()}

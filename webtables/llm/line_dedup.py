@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ CELLS = 1 << 18
 CHUNKS = 16
 PAIRS = 1 << 19
 #: Words of 64 bits in a line's parity sketch.
-WIDTH = 4
+WIDTH = 2
+#: Bits of the filter of lines whose sets are wanted; it lets a few others through.
+MARKS = 1 << 26
 FOUND = "kind int, doc long, line long, other_doc long, other_line long, far long, blob binary"
 _BREAK = np.arange(256) == 0x0A
 
@@ -250,25 +253,63 @@ def _candidates(group, doc, line, n, place, sketch, percent: int, asked) -> Iter
             yield _found(2, np.zeros(len(blob), np.int64), np.zeros(len(blob), np.int64), blobs=blob)
 
 
+def _mark(bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, value) of each line's bit in the filter; line -1 stands for the document."""
+    at = A.mix(A.mix(doc.astype(np.uint64)) + line.astype(np.uint64)) % np.uint64(8 * len(bits))
+    return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+
+def _marked(bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    at, value = _mark(bits, doc, line)
+    return bits[at] & value > 0
+
+
+def _marks(lines: DataFrame) -> np.ndarray:
+    """The filter of the lines (doc, line) and their documents, eight bits a byte: its size does not depend on their number."""
+    ddl = "chunk int, bits binary"
+    schema = arrow_schema(ddl)
+    whole = MARKS // 8
+    size = whole // CHUNKS
+
+    def task(batches: Iterator) -> Iterator:
+        total = np.zeros(whole, np.uint8)
+        for batch in batches:
+            doc, line = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
+            for number in (line, np.full(len(doc), -1)):
+                np.bitwise_or.at(total, *_mark(total, doc, number))
+        if total.any():
+            parts = [A.pack(total[k * size : (k + 1) * size]) for k in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+
+    def both(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint8)
+        for blob in table.column("bits").to_pylist():
+            total |= A.unpack(blob)[0]
+        return pa.table([table.column("chunk")[:1], pa.array([A.pack(total)], pa.binary())], schema=schema)
+
+    out = np.zeros(whole, np.uint8)
+    for r in lines.mapInArrow(task, ddl).groupBy("chunk").applyInArrow(both, ddl).collect():
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = A.unpack(r["bits"])[0]
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, line) of the pairs' later lines that are similar to the earlier one."""
+    """(doc, line) of the pairs' later lines that are similar to the earlier one.
+
+    Texts stay where they are: a filter of fixed size goes to them, and the sets of the lines that pass it
+    come back; those that passed by chance find no pair.
+    """
 
     def sets(batches: Iterator) -> Iterator:
+        bits = sent.value
         for part in A.slices(batches, "text"):
+            part = part.filter(pc.is_valid(part.column("doc_id")))
+            part = part.filter(pa.array(_marked(bits, part.column("doc_id").to_numpy(), np.full(part.num_rows, -1))))
             h, at, row, number = _lines(*A.text_bytes(part.column("text")))
-            ids = part.column("doc_id").to_numpy()
-            wanted = part.column("wanted").to_pylist()
-            begin = np.searchsorted(row, np.arange(part.num_rows))
-            have = np.bincount(row, minlength=part.num_rows)
-            out: tuple[list, list, list] = ([], [], [])
-            for r, lines in enumerate(wanted):
-                for x in lines:
-                    if x < have[r]:
-                        k = begin[r] + x
-                        own = h[np.searchsorted(at, k) : np.searchsorted(at, k, "right")]
-                        for column, value in zip(out, (int(ids[r]), x, np.unique(own).tobytes())):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc", "line", "items"])
+            doc = part.column("doc_id").to_numpy()[row]
+            hit = np.flatnonzero(_marked(bits, doc, number))
+            items = [np.unique(h[s:e]).tobytes() for s, e in zip(np.searchsorted(at, hit).tolist(), np.searchsorted(at, hit, "right").tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit]), pa.array(items, pa.binary())], names=["doc", "line", "items"])
 
     def check(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -282,8 +323,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     pairs = pairs.select("doc", "line", "other_doc", "other_line").distinct()
     needed = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line")))
-    needed = needed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
-    items = stored(docs.join(needed, "doc_id").select("doc_id", "text", "wanted").mapInArrow(sets, "doc long, line long, items binary"))
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(needed))
+    items = stored(docs.mapInArrow(sets, "doc long, line long, items binary"))
     x = items.withColumnRenamed("items", "x")
     y = items.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("items").alias("y"))
     both = pairs.join(x, ["doc", "line"]).join(y, ["other_doc", "other_line"])
