@@ -19,13 +19,14 @@ their rank within a length from counts per (length, salt), so no length is ranke
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ from webtables.llm.windows import plain
 CAPACITY = 4096
 END = 1
 GROUPS = 1024
-#: Distinct units whose ids a worker keeps; then it starts anew.
+#: Distinct units whose ids a worker keeps; then it goes on with those of the text at hand.
 MEMORY = 400_000
+#: Bytes of text that are tokenised at once.
+SLICE = 2 << 20
 
 #: Kinds of bytes: letters, digits and all else; digits stand alone.
 _KIND = np.array([1 if chr(b).isalpha() or b >= 0x80 else 2 if b in range(0x30, 0x3A) else 3 for b in range(256)], np.uint8)
@@ -45,6 +48,14 @@ _KIND = np.array([1 if chr(b).isalpha() or b >= 0x80 else 2 if b in range(0x30,
 _LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
 
+def _odd(data: np.ndarray) -> np.ndarray:
+    """The bytes that keep a word whole: they are no letter, digit or sign of ASCII or Latin-1 that always stands alone."""
+    after = np.append(data[1:], 0)
+    before = np.append(0, data[:-1])
+    pair = ((data == 0xC3) & _LATIN[after]) | ((before == 0xC3) & _LATIN[data])
+    return (data == 0x27) | ((data >= 0x80) & ~pair) | ((data == 0x3C) & (after == 0x7C))
+
+
 def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first) of the stretches that the tokenizer treats one by one; ``first`` by row.
 
@@ -55,10 +66,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     s, e, _ = A.words(data, off)
     if not len(s):
         return s, e, np.zeros(len(off), np.int64)
-    after = np.append(data[1:], 0)
-    before = np.append(0, data[:-1])
-    pair = ((data == 0xC3) & _LATIN[after]) | ((before == 0xC3) & _LATIN[data])
-    odd = (data == 0x27) | ((data >= 0x80) & ~pair) | ((data == 0x3C) & (after == 0x7C))
+    odd = _odd(data)
     sums = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
     plain = sums[e] == sums[s]
     kind = _KIND[data]
@@ -75,7 +83,26 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+class _Known:
+    """Units, each with a blank after it, and their ids, as arrays: ``flat[first[k]:first[k + 1]]`` belong to unit k."""
+
+    def __init__(self) -> None:
+        self.units = pa.array([], pa.large_binary())
+        self.flat = np.empty(0, np.uint32)
+        self.first = np.zeros(1, np.int64)
+
+    def add(self, units: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        self.units = pa.concat_arrays([self.units, units])
+        self.flat = np.concatenate([self.flat, flat])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(size))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these units one after the other, number of each)."""
+        size = self.first[at + 1] - self.first[at]
+        return self.flat[np.repeat(self.first[at], size) + A.ranges(size)], size
+
+
+_KNOWN: dict[str, _Known] = {}
 
 
 class Encoder:
@@ -86,27 +113,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _KNOWN.setdefault(path, {})
+        self.known = _KNOWN.setdefault(path, _Known())
+        #: The tokens that end a stretch of text, by id.
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.last = np.array([(x or "").endswith("</w>") for x in tokens])
+
+    def _one_by_one(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast([w[:-1].decode() for w in units], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _together(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As one text: each unit is one stretch of its own there, and ends with a token that ends a stretch."""
+        text, _ = A.text_bytes(units)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(units) or ends[-1] != len(ids):  # a vocabulary that does not mark ends
+            return self._one_by_one(units.to_pylist())
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Where the units, none of them known, are from now on."""
+        data, off = A.text_bytes(units)
+        odd = np.logical_or.reduceat(_odd(data), off[:-1])
+        rows, coded = [np.flatnonzero(~odd), np.flatnonzero(odd)], []
+        for row, way in zip(rows, (self._together, lambda x: self._one_by_one(x.to_pylist()))):
+            part = units.take(pa.array(row))
+            coded += [way(part.slice(at, 4096)) for at in range(0, len(part), 4096)]
+        order = np.concatenate(rows)
+        at = np.empty(len(order), np.int64)
+        at[order] = len(self.known.units) + np.arange(len(order))
+        self.known.add(units.take(pa.array(order)), *(np.concatenate(x) for x in zip(*coded)))
+        return at
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ``ids[first[d]:first[d + 1]]`` belong to row d."""
         s, e, first = units(data, off)
+        if not len(s):
+            return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
         text, s, _ = A.joined(A.LOWER[data], s, e)
         values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(text)).astype(np.int64)), pa.py_buffer(text)])
         coded = values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = distinct
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, enc in zip(part, self.tokenizer.encode_batch_fast([w[:-1].decode() for w in part], add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
-        parts = [known[w] for w in distinct]
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        distinct, known = coded.dictionary, self.known
+        at = pc.fill_null(pc.index_in(distinct, known.units), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(known.units) + len(new) > MEMORY:
+                old = at[at >= 0]
+                at[at >= 0] = np.arange(len(old))
+                kept, coded_ids = known.units.take(pa.array(old)), known.ids(old)
+                known.__init__()
+                known.add(kept, *coded_ids)
+            at[new] = self._learn(distinct.take(pa.array(new)))
+        flat, size = known.ids(at)
         start = np.cumsum(size) - size
         which = coded.indices.to_numpy()
         length = size[which]
@@ -121,7 +179,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
     def task(batches: Iterator) -> Iterator:
         encoder = Encoder(path)
-        for part in A.slices(batches, "text"):
+        for part in A.slices(batches, "text", SLICE):
             ids, first = encoder.ids(*A.text_bytes(part.column("text")))
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, s, e in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
